@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,9 +22,15 @@ def present(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return named.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "_v"]]))
 
 
-def largest_group(rows: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group; the counting combines on the map side."""
-    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+def has_hot_group(rows: DataFrame, keys: Sequence[str], hot_rows: int) -> bool:
+    """Whether some group exceeds ``hot_rows`` rows.
+
+    A table within the limit needs no look at its groups. Otherwise rows are counted per group,
+    combined on the map side, and only the largest count reaches the driver.
+    """
+    if rows.limit(hot_rows + 1).count() <= hot_rows:
+        return False
+    return (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > hot_rows
 
 
 def order_statistics(
@@ -53,18 +59,21 @@ def order_statistics(
             F.lit(0).cast("long").alias("before"), "lo", "hi", ranks(F.col("n")).alias("ranks"),
         )
     )
+    if (_largest_open(open_ranges) or 0) <= hot_rows:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("_v")).cast("long") - 1
+        numbered = vals.withColumn("rank", place).join(open_ranges.select(*keys, "n", "ranks"), keys)
+        return numbered.where(F.array_contains("ranks", F.col("rank"))).select(*keys, "n", "rank", F.col("_v").alias("value"))
+
     vals = vals.withColumn("slot", F.lit(""))
-    split = False
     while (_largest_open(open_ranges) or 0) > hot_rows:
         vals, open_ranges = _split(vals, open_ranges, keys, fanout)
-        split = True
-
     slot = [*keys, "slot"]
-    if split:
-        vals = attach(vals, open_ranges.select(*slot), slot, "inner")
-    counted = vals.groupBy(*slot, "_v").agg(F.count("*").alias("copies"))
+    counted = attach(vals, open_ranges.select(*slot), slot, "inner").groupBy(*slot, "_v").agg(F.count("*").alias("copies"))
     upto = F.sum("copies").over(Window.partitionBy(*slot).orderBy("_v")) + F.col("before")
-    hits = F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("copies")) & (r < F.col("upto")))
+    last = F.col("upto") - 1
+    single = F.when(F.array_contains("ranks", last), F.array(last)).otherwise(F.array().cast("array<long>"))
+    several = F.filter("ranks", lambda r: (r > last - F.col("copies")) & (r <= last))
+    hits = F.when(F.col("copies") == 1, single).otherwise(several)
     return (
         counted.join(open_ranges.select(*slot, "n", "before", "ranks"), slot)
         .withColumn("upto", upto)
@@ -106,31 +115,33 @@ def _split(vals: DataFrame, open_ranges: DataFrame, keys: list[str], fanout: int
     return parted.select(*keys, "_v", child.alias("slot")), smaller
 
 
+def quantile(p: float, rank: str = "rank", value: str = "value") -> Column:
+    """Aggregate giving the linearly interpolated quantile from rows that carry 0-based ``rank`` and
+    group size ``n``, provided the rows at both neighbouring ranks are among them."""
+    at = (F.col("n") - 1) * F.lit(p)
+    low = F.max(F.when(F.col(rank) == F.floor(at), F.col(value)))
+    high = F.max(F.when(F.col(rank) == F.ceil(at), F.col(value)))
+    return low + (high - low) * F.max(at - F.floor(at))
+
+
+def neighbour_ranks(probs: Sequence[float]) -> Callable[[Column], Column]:
+    """Ranks on both sides of every quantile of a group of ``n`` rows."""
+    def around(n: Column) -> Column:
+        at = [(n - 1) * F.lit(p) for p in probs]
+        return F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
+
+    return around
+
+
 def quantiles(
     rows: DataFrame,
     keys: Sequence[str],
     value: str,
-    probs: dict[str, float],
+    probs: Mapping[str, float],
     hot_rows: int = HOT_ROWS,
     fanout: int = FANOUT,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, one column per entry of ``probs``."""
-    keys = list(keys)
-    if largest_group(rows, keys) <= hot_rows:
-        points = F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]))
-        grouped = present(rows, keys, value).groupBy(*keys).agg(points.alias("_q"))
-        return grouped.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-
-    def around(n: Column) -> Column:
-        at = [(n - 1) * F.lit(p) for p in probs.values()]
-        return F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
-
-    def interpolated(p: float) -> Column:
-        at = (F.col("n") - 1) * F.lit(p)
-        low = F.max(F.when(F.col("rank") == F.floor(at), F.col("value")))
-        high = F.max(F.when(F.col("rank") == F.ceil(at), F.col("value")))
-        share = F.max(at - F.floor(at))
-        return low + (high - low) * share
-
-    picked = order_statistics(rows, keys, value, around, hot_rows, fanout)
-    return picked.groupBy(*keys).agg(*[interpolated(p).alias(name) for name, p in probs.items()])
+    """Exact linearly interpolated quantiles per group, one column per entry of ``probs``; groups may
+    be of any size."""
+    picked = order_statistics(rows, keys, value, neighbour_ranks(list(probs.values())), hot_rows, fanout)
+    return picked.groupBy(*keys).agg(*[quantile(p).alias(name) for name, p in probs.items()])

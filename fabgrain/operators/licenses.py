@@ -28,6 +28,7 @@ ENVELOPE = T.StructType(
         T.StructField("signature", T.StringType()),
     ]
 )
+BASE64 = r"^[A-Za-z0-9+/]+={0,2}$"
 LOCAL_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?$"
 
 
@@ -43,6 +44,11 @@ def local_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def base64_line(text: Column) -> Column:
+    """Base64 of a text on one line; Spark may break long ones, which strict decoders refuse."""
+    return F.translate(F.base64(F.encode(text, "UTF-8")), "\r\n", "")
+
+
 def encode_key(df: DataFrame, signature: Column) -> DataFrame:
     """Add ``license_key``: base64 of the JSON envelope of payload columns and signature.
 
@@ -50,7 +56,12 @@ def encode_key(df: DataFrame, signature: Column) -> DataFrame:
     """
     payload = F.struct("customer", "machine_id", "expiry", "features", "issued_at")
     envelope = F.to_json(F.struct(payload.alias("payload"), signature.alias("signature")))
-    return df.withColumn("license_key", F.base64(F.encode(envelope, "UTF-8")))
+    return df.withColumn("license_key", base64_line(envelope))
+
+
+def unbase64(text: Column) -> Column:
+    """Bytes of a base64 text, NULL where it is none; the pattern spares a failed attempt per bad row."""
+    return F.when(text.rlike(BASE64), F.try_to_binary(text, F.lit("base64")))
 
 
 def decode_key(df: DataFrame, key: str = "license_key") -> DataFrame:
@@ -59,11 +70,11 @@ def decode_key(df: DataFrame, key: str = "license_key") -> DataFrame:
     A key is well formed when it is base64 of a JSON envelope with a payload, a signature of at least
     three ``:``-separated parts whose third is base64, and an expiry that is a local time or absent.
     """
-    text = F.try_to_binary(F.col(key), F.lit("base64")).try_cast("string")
+    text = unbase64(F.col(key)).cast("string")
     parsed = df.withColumn("_e", F.from_json(text, ENVELOPE, {"mode": "PERMISSIVE"}))
     expiry = F.col("_e.payload.expiry")
     raw = F.get(F.split(F.col("_e.signature"), ":"), F.lit(2))
-    signed = F.try_to_binary(raw, F.lit("base64")).isNotNull()
+    signed = unbase64(raw).isNotNull()
     timed = expiry.isNull() | (expiry.rlike(LOCAL_TIME) & expiry.try_cast("timestamp_ntz").isNotNull())
     fine = F.col("_e.payload").isNotNull() & F.coalesce(signed, F.lit(False)) & timed
     return parsed.withColumns({"payload": F.col("_e.payload"), "well_formed": F.coalesce(fine, F.lit(False))}).drop("_e")

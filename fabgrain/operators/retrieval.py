@@ -16,8 +16,8 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
 def words(text: str) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.col(text)), WORD_BREAK), lambda w: w != "")
+    """Lower-case runs of letters and digits; the outermost ones may be empty text."""
+    return F.split(F.lower(text), WORD_BREAK)
 
 
 def bucket(word: Column, buckets: int = BUCKETS) -> Column:
@@ -28,10 +28,12 @@ def bucket(word: Column, buckets: int = BUCKETS) -> Column:
 def bucket_counts(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
     """Word count per document and bucket, ``(key, bucket, tf)``.
 
-    A document's words sit in one partition, so the count is complete before the shuffle.
+    Documents are spread by key as whole texts, which are smaller than their words; all grouping by
+    document that follows then needs no further shuffle.
     """
-    exploded = docs.select(key, F.explode(words(text)).alias("_word"))
-    return exploded.groupBy(key, bucket(F.col("_word"), buckets).alias("bucket")).agg(F.count("*").alias("tf"))
+    exploded = docs.select(key, text).repartition(key).select(key, F.explode(words(text)).alias("_word"))
+    grouped = exploded.where("_word <> ''").groupBy(key, bucket(F.col("_word"), buckets).alias("bucket"))
+    return grouped.agg(F.count("*").alias("tf"))
 
 
 def bucket_weights(counts: DataFrame, docs: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabgrain.functions.order_stats import HOT_ROWS, largest_group, quantiles
+from fabgrain.functions.order_stats import HOT_ROWS, has_hot_group, quantile, quantiles
 from fabgrain.functions.skew import attach, keep
 from fabgrain.sources.measurements import WAFER_KEYS
 
@@ -77,18 +77,20 @@ def wafer_cells(df: DataFrame) -> DataFrame:
 def box_plot(df: DataFrame, keys: Sequence[str] = tuple(WAFER_KEYS), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Minimum, quartiles, maximum and mean per wafer, exact with linear interpolation.
 
-    Usual groups take one aggregation. Groups too large for one task get their quartiles from
-    :func:`fabgrain.functions.order_stats.quantiles`.
+    Usual groups are sorted once and read off by rank. Where some group is too large for one task,
+    the quartiles come from :func:`fabgrain.functions.order_stats.quantiles`.
     """
     keys = list(keys)
-    rows = with_keys(df, keys)
+    rows = with_keys(df, keys).select(*keys, "value")
     extremes = [F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value")]
-    if largest_group(rows, keys) <= hot_rows:
-        q = F.percentile("value", F.array(*[F.lit(p) for p in QUARTILES.values()]))
-        grouped = rows.groupBy(*keys).agg(*extremes, q.alias("_q"))
-        plots = grouped.withColumns({name: F.col("_q")[i] for i, name in enumerate(QUARTILES)})
-    else:
+    if has_hot_group(rows, keys, hot_rows):
         plots = rows.groupBy(*keys).agg(*extremes).join(quantiles(rows, keys, "value", QUARTILES, hot_rows), keys, "left")
+    else:
+        group = Window.partitionBy(*keys)
+        # missing values sort behind all others and are not counted
+        place = F.row_number().over(group.orderBy(F.col("value").asc_nulls_last())) - 1
+        placed = rows.withColumns({"rank": place, "n": F.count("value").over(group)})
+        plots = placed.groupBy(*keys).agg(*extremes, *[quantile(p).alias(name) for name, p in QUARTILES.items()])
     return plots.select(*keys, "min_value", *QUARTILES, "max_value", "mean_value").orderBy(*keys)
 
 
@@ -113,33 +115,42 @@ def trend_extremes(df: DataFrame) -> DataFrame:
     )
 
 
+def mean_of(total: str = "_sum", n: str = "_n") -> Column:
+    """Mean from partial sums and counts; NULL without a value."""
+    return F.sum(total) / F.nullif(F.sum(n), F.lit(0))
+
+
 def lot_yield(df: DataFrame, lots: DataFrame | None = None, weighting: str = "die") -> DataFrame:
     """Mean yield of every lot, with its product.
 
     ``weighting="die"`` averages over rows, ``"wafer"`` over the wafers' own yields. The product
     comes from the rows, or from ``lots`` (one row per lot), which then joins the aggregated lots.
+    Rows are first summed per full key, since only numbers aggregate by hashing.
     """
-    rows = with_keys(df, ["lot_id"])
-    product = [] if lots is not None else [F.min("product_id").alias("product_id")]
+    keys = {"die": ["lot_id"], "wafer": WAFER_KEYS}[weighting]
+    product = ["product_id"] if lots is None else []
+    sums = with_keys(df, ["lot_id"]).groupBy(*keys, *product).agg(F.sum("yield").alias("_sum"), F.count("yield").alias("_n"))
+    named = [F.min("product_id").alias("product_id")] if product else []
     if weighting == "wafer":
-        rows = rows.groupBy(*WAFER_KEYS).agg(F.avg("yield").alias("yield"), *product)
-    elif weighting != "die":
-        raise ValueError("weighting is 'die' or 'wafer'")
-    per_lot = rows.groupBy("lot_id").agg(F.avg("yield").alias("yield"), *product)
+        sums = sums.groupBy(*keys).agg(mean_of().alias("_sum"), *named).withColumn("_n", F.col("_sum").isNotNull().cast("int"))
+    per_lot = sums.groupBy("lot_id").agg(mean_of().alias("yield"), *named)
     if lots is not None:
         per_lot = per_lot.join(lots.select("lot_id", "product_id"), "lot_id", "left")
     return per_lot.select("lot_id", "yield", "product_id")
 
 
 def wafer_yield(df: DataFrame, parameter_order: Sequence[str] = ("Thickness", "Resistance")) -> DataFrame:
-    """Mean yield of every wafer over its parameters, and the first of these in the given order."""
+    """Mean yield of every wafer over its parameters, and the first of these in the given order.
+
+    Rows are first summed per parameter, which leaves few rows for the choice of the parameter.
+    """
     known = F.array(*[F.lit(p) for p in parameter_order])
     place = F.array_position(known, F.col("parameter"))
     rank = F.struct(F.when(place > 0, place).otherwise(len(parameter_order) + 1), F.col("parameter"))
+    sums = with_keys(df, ["lot_id", "wafer_id"]).groupBy(*WAFER_KEYS).agg(F.sum("yield").alias("_sum"), F.count("yield").alias("_n"))
     return (
-        with_keys(df, ["lot_id", "wafer_id"])
-        .groupBy("lot_id", "wafer_id")
-        .agg(F.avg("yield").alias("yield"), F.min_by("parameter", rank).alias("parameter"))
+        sums.groupBy("lot_id", "wafer_id")
+        .agg(mean_of().alias("yield"), F.min_by("parameter", rank).alias("parameter"))
         .orderBy("lot_id", "wafer_id")
     )
 

@@ -18,8 +18,24 @@ PARAMETERS = ["N", "A", "R"]
 ROW_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+# Schemas of the stored tables; naming them saves a look into the files per read.
+SCHEMAS = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def _numbered(prefix: str, column: str, digits: int | None = None):
@@ -49,8 +65,8 @@ def measurements(spark: SparkSession, sf: str, extra: tuple[str, ...] = ()) -> M
             "parameter": F.col("l_returnflag"),
             "x": F.col("l_partkey") % 30 + 1,
             "y": F.col("l_orderkey") % 30 + 1,
-            "value": F.round(F.col("l_extendedprice") * 100),
-            "yield": F.lit(100.0) - F.lit(0.6875) * F.round(F.col("l_discount") * 100),
+            "value": F.rint(F.col("l_extendedprice") * 100),
+            "yield": F.lit(100.0) - F.lit(0.6875) * F.rint(F.col("l_discount") * 100),
         },
         locate={"lot_id": _numbered("Lot", "l_suppkey"), "wafer_id": _numbered("W", "l_linenumber", 2)},
         lots=lots(spark, sf),
@@ -125,7 +141,7 @@ def menu_grants(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_partkey").alias("l_partkey"), F.split("p_brand", "#")[1].cast("int").alias("menu_id")
     )
     sold = table(spark, sf, "lineitem").select(
-        "l_suppkey", "l_partkey", F.round(F.col("l_discount") * 100).cast("long").alias("percent")
+        "l_suppkey", "l_partkey", F.rint(F.col("l_discount") * 100).cast("long").alias("percent")
     )
     pairs = attach(attach(sold, nation, ["l_suppkey"], "inner"), brand, ["l_partkey"], "inner")
     totals = pairs.groupBy("group_id", "menu_id").agg(F.sum("percent").alias("percent"), F.count("*").alias("n"))
@@ -203,9 +219,9 @@ def licenses(spark: SparkSession, sf: str) -> DataFrame:
 
 def license_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Encoded licenses; those of pending orders are cut off and cannot be decoded."""
-    from fabgrain.operators.licenses import encode_key
+    from fabgrain.operators.licenses import base64_line, encode_key
 
-    signature = F.concat(F.lit("vault:v1:"), F.base64(F.encode("machine_id", "UTF-8")))
+    signature = F.concat(F.lit("vault:v1:"), base64_line(F.col("machine_id")))
     keys = encode_key(licenses(spark, sf), signature)
     broken = F.when(F.col("o_orderstatus") == "P", F.concat(F.substring("license_key", 1, 20), F.lit("!!"))).otherwise(F.col("license_key"))
     return keys.select("license_id", broken.alias("license_key"))
