@@ -25,10 +25,10 @@ def present(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def has_hot_group(rows: DataFrame, keys: Sequence[str], hot_rows: int) -> bool:
     """Whether some group exceeds ``hot_rows`` rows.
 
-    A table within the limit needs no look at its groups. Otherwise rows are counted per group,
-    combined on the map side, and only the largest count reaches the driver.
+    A table within the limit, which its file footers tell, needs no look at its groups. Otherwise
+    rows are counted per group, combined on the map side, and the largest count reaches the driver.
     """
-    if rows.limit(hot_rows + 1).count() <= hot_rows:
+    if rows.count() <= hot_rows:
         return False
     return (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > hot_rows
 

@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabgrain.session import durable
+
 # A summary row is a few keys and numbers, so this many rows stay in the tens of megabytes.
 BROADCAST_ROWS = 100_000
-SALTS = 32
+# Rows of one key that a single task may join.
+TASK_ROWS = 5_000_000
+# Tasks that rows without a key spread over.
+KEYLESS_PARTS = 1024
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cache a per-group summary that several later steps read; a lost block is recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
+    """Store a per-group summary that several later steps read, so that it is computed once.
 
-def fits_broadcast(df: DataFrame, limit_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``limit_rows + 1`` rows of ``df`` and tell whether it stays within the limit."""
-    return df.limit(limit_rows + 1).count() <= limit_rows
+    A checkpoint outlives executors and, unlike a cached plan, is never mistaken for a later state of
+    the same files.
+    """
+    return durable(df)
 
 
 def attach(
@@ -29,18 +33,30 @@ def attach(
     on: Sequence[str],
     how: str = "left",
     limit_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Join ``summary`` (one row per key) to ``rows``.
-
-    Within the counted limit the summary is broadcast and ``rows`` are not shuffled. Beyond it the
-    summary is repeated once per salt and every scan partition of ``rows`` takes one salt, so the
-    rows of a hot key spread over ``salts`` tasks. The salt depends on the partition number alone:
-    a recomputed task sends its rows where the lost one sent them.
+    """Join ``summary`` (one row per key) to ``rows``; ``how`` is "left" or "inner".
+
+    A summary of at most ``limit_rows`` rows, by count, is broadcast and ``rows`` are not shuffled.
+    Beyond that both sides are shuffled, with the rows of every key over ``task_rows`` spread: the
+    summary row of such a key is repeated once per share, and each partition of ``rows`` takes one
+    share. There are fewer such keys than ``limit_rows`` whatever the data, as none has less than a
+    ``limit_rows``-th of all rows. The share depends on the partition number alone, so a recomputed
+    task sends its rows where the lost one sent them.
     """
     on = list(on)
-    if fits_broadcast(summary, limit_rows):
+    if summary.count() <= limit_rows:
         return rows.join(F.broadcast(summary), on, how)
-    repeated = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    many = max(task_rows, rows.count() // limit_rows)
+    hot = durable(
+        rows.groupBy(*on).count().where(F.col("count") > many).select(*on, F.ceil(F.col("count") / many).cast("int").alias("_shares"))
+    )
+    if hot.isEmpty():
+        return rows.join(summary, on, how)
+    part = F.spark_partition_id()
+    keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    share = F.when(keyless, F.pmod(part, F.lit(KEYLESS_PARTS))).otherwise(F.pmod(part, F.coalesce("_shares", F.lit(1))))
+    spread = rows.join(F.broadcast(hot), on, "left").withColumn("_share", share).drop("_shares")
+    shares = F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))
+    repeated = summary.join(F.broadcast(hot), on, "left").withColumn("_share", shares).drop("_shares")
+    return spread.join(repeated, [*on, "_share"], how).drop("_share")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fabgrain.functions.skew import attach
+from fabgrain.functions.skew import attach, keep
 
 # Group of users without one, sort position of menus without one, and the roles that
 # see each navigation item.
@@ -71,7 +71,7 @@ def user_menus(users: DataFrame, menus: DataFrame, grants: DataFrame) -> DataFra
     entries = F.array_sort(F.collect_set(F.struct("position", "code")))
     per_group = attach(grants, listed, ["menu_id"], "inner").groupBy("group_id").agg(entries["code"].alias("menus"))
     none = F.array().cast("array<string>")
-    return attach(users, per_group, ["group_id"]).withColumn("menus", F.coalesce("menus", none))
+    return attach(users, keep(per_group), ["group_id"]).withColumn("menus", F.coalesce("menus", none))
 
 
 def grant(menus: DataFrame, groups: DataFrame, grants: DataFrame, rules: DataFrame | None = None, group_names: Sequence[str] = ()) -> DataFrame:

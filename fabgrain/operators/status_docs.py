@@ -12,7 +12,7 @@ SENTENCE = "Wafer %s in Lot %s status for %s: Average is %s, Std Dev is %s, Yiel
 
 
 def _number(column: str, digits: int) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", F.col(column)), F.lit("nan"))
+    return F.when(F.col(column).isNull(), "nan").otherwise(F.format_string(f"%.{digits}f", F.col(column)))
 
 
 def doc_id() -> Column:

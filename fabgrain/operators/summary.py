@@ -61,19 +61,6 @@ def lot_gallery(df: DataFrame) -> DataFrame:
     return attach(rows.select(*WAFER_KEYS, "x", "y", "value"), keep(wafer_summary(df)), WAFER_KEYS)
 
 
-def wafer_cells(df: DataFrame) -> DataFrame:
-    """One row per wafer with its cells as an array in row order, for handing out a single wafer.
-
-    A physical wafer bounds the array; use :func:`wafer_map` where nothing bounds the group.
-    """
-    cells = F.array_sort(F.collect_list(F.struct("y", "x", "value")))
-    return with_keys(df, WAFER_KEYS).groupBy(*WAFER_KEYS).agg(
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.transform(cells, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["value"].alias("value"))).alias("cells"),
-    )
-
-
 def box_plot(df: DataFrame, keys: Sequence[str] = tuple(WAFER_KEYS), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Minimum, quartiles, maximum and mean per wafer, exact with linear interpolation.
 
@@ -81,9 +68,9 @@ def box_plot(df: DataFrame, keys: Sequence[str] = tuple(WAFER_KEYS), hot_rows: i
     the quartiles come from :func:`fabgrain.functions.order_stats.quantiles`.
     """
     keys = list(keys)
-    rows = with_keys(df, keys).select(*keys, "value")
+    rows = with_keys(df.select(*keys, "value"), keys)
     extremes = [F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value")]
-    if has_hot_group(rows, keys, hot_rows):
+    if has_hot_group(df.select(*keys), keys, hot_rows):
         plots = rows.groupBy(*keys).agg(*extremes).join(quantiles(rows, keys, "value", QUARTILES, hot_rows), keys, "left")
     else:
         group = Window.partitionBy(*keys)
@@ -127,7 +114,7 @@ def lot_yield(df: DataFrame, lots: DataFrame | None = None, weighting: str = "di
     comes from the rows, or from ``lots`` (one row per lot), which then joins the aggregated lots.
     Rows are first summed per full key, since only numbers aggregate by hashing.
     """
-    keys = {"die": ["lot_id"], "wafer": WAFER_KEYS}[weighting]
+    keys = {"die": ["lot_id"], "wafer": ["lot_id", "wafer_id"]}[weighting]
     product = ["product_id"] if lots is None else []
     sums = with_keys(df, ["lot_id"]).groupBy(*keys, *product).agg(F.sum("yield").alias("_sum"), F.count("yield").alias("_n"))
     named = [F.min("product_id").alias("product_id")] if product else []

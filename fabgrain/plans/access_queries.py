@@ -54,11 +54,12 @@ def _(spark, sf):
 WITH {ACCESS}
 SELECT group_id, menu_id FROM grants
 UNION SELECT g.id, m.id FROM groups g, menus m WHERE g.name IN ('NATION_1', 'NATION_7')
-UNION SELECT g.id, m.id FROM groups g JOIN customer ON c_nationkey = g.id JOIN menus m ON m.code = 'brand#3' WHERE c_mktsegment = 'BUILDING'""")
+UNION SELECT g.id, m.id FROM groups g JOIN customer ON c_nationkey = g.id JOIN menus m ON m.id = c_nationkey % 5 + 1 WHERE c_mktsegment = 'BUILDING'""")
 def _(spark, sf):
+    code = F.concat(F.lit("brand#"), (F.col("id") % 5 + 1).cast("string"))
     rules = (
         table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("id")).distinct()
-        .join(groups(spark, sf), "id").select(F.col("name").alias("group_name"), F.lit("brand#3").alias("menu_code"))
+        .join(groups(spark, sf), "id").select(F.col("name").alias("group_name"), code.alias("menu_code"))
     )
     return access.grant(
         menus(spark, sf), groups(spark, sf), menu_grants(spark, sf), rules, group_names=["NATION_1", "NATION_7"]

@@ -215,10 +215,10 @@ def _(spark, sf):
 
 
 @query("a7_lot_yield_by_wafer", from_m("""
-, w AS (SELECT lot_id, wafer_id, parameter, avg(yield) AS yield, min(product_id) AS product_id FROM m GROUP BY ALL)
+, w AS (SELECT lot_id, wafer_id, avg(yield) AS yield, min(product_id) AS product_id FROM m GROUP BY ALL)
 SELECT lot_id, round(avg(yield), 6) AS yield, min(product_id) AS product_id FROM w GROUP BY lot_id"""))
 def _(spark, sf):
-    rows = summ.lot_yield(measurements(spark, sf).frame("lot_id", "wafer_id", "parameter", "yield"), lots(spark, sf), weighting="wafer")
+    rows = summ.lot_yield(measurements(spark, sf).frame("lot_id", "wafer_id", "yield"), lots(spark, sf), weighting="wafer")
     return rows.withColumn("yield", F.round("yield", 6))
 
 

@@ -79,13 +79,12 @@ def _quantile_sql() -> str:
 MEASURES = {f"le_{i}": f"count(*) FILTER (duration_s <= {b})" for i, b in enumerate(mon.LATENCY_BOUNDS)} | {"le_6": "count(*)"}
 T2_SQL = f"WITH {REQUESTS}, " + sliding_sql("service", MEASURES, 6, 1) + f"""
 , q AS (SELECT service, window_start, window_end, {_quantile_sql()} AS latency FROM w)
-SELECT service, window_start, window_end, round(latency, 6) AS latency, latency > 1 AS active FROM q"""
+SELECT service, window_start, window_end, latency, latency > 1 AS active FROM q"""
 
 
 @query("t2_slow_windows", T2_SQL)
 def _(spark, sf):
-    rows = mon.slow_windows(requests(spark, sf), ["service"], 6 * HOUR, HOUR)
-    return rows.withColumn("latency", F.round("latency", 6))
+    return mon.slow_windows(requests(spark, sf), ["service"], 6 * HOUR, HOUR)
 
 
 ERRORS = {"errors": "count(*) FILTER (status_code BETWEEN 500 AND 599)", "requests": "count(*)"}
@@ -120,18 +119,17 @@ def _(spark, sf):
 
 
 @query("t6_counter_rate", """
-WITH d AS (
-  SELECT event_type AS service, time_bucket(INTERVAL 1 DAY, ts) AS window_start, value,
-         lag(value) OVER (PARTITION BY event_type, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) AS before FROM events),
+WITH v AS (SELECT event_id, ts, event_type AS service, time_bucket(INTERVAL 1 DAY, ts) AS window_start, round(value * 100) AS counter FROM events),
+d AS (SELECT *, lag(counter) OVER (PARTITION BY service, window_start ORDER BY ts, event_id) AS before FROM v),
 r AS (SELECT service, window_start, count(*) AS samples,
-             sum(CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END) AS increase FROM d GROUP BY ALL)
-SELECT service, window_start, window_start + INTERVAL 1 DAY AS window_end, round(increase, 4) AS increase, samples, round(increase / 86400, 8) AS rate,
-       increase / 86400 > 0.03::DOUBLE AS active
+             sum(CASE WHEN before IS NULL THEN 0 WHEN counter < before THEN counter ELSE counter - before END) AS increase FROM d GROUP BY ALL)
+SELECT service, window_start, window_start + INTERVAL 1 DAY AS window_end, increase, samples, increase / 86400 AS rate, increase / 86400 > 3 AS active
 FROM r""")
 def _(spark, sf):
-    samples = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("service"), F.col("value").alias("counter"))
-    rates = mon.counter_rate(samples, ["service"], "counter", ["ts", "event_id"], DAY, threshold=0.03)
-    return rates.withColumns({"increase": F.round("increase", 4), "rate": F.round("rate", 8)})
+    # whole numbers, so that sums do not depend on the order of addition
+    counter = F.rint(F.col("value") * 100).alias("counter")
+    samples = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("service"), counter)
+    return mon.counter_rate(samples, ["service"], "counter", ["ts", "event_id"], DAY, threshold=3.0)
 
 
 @query("t7_callers_over_limit", """
@@ -176,8 +174,7 @@ def _(spark, sf):
 
 @query("t2_slow_stream", T2_SQL + f" WHERE {CLOSED}")
 def _(spark, sf):
-    rows = _plain(streams.drain(streams.slow_stream(request_stream(spark, sf), ["service"], 6 * HOUR, HOUR), "t2"))
-    return rows.withColumn("latency", F.round("latency", 6))
+    return _plain(streams.drain(streams.slow_stream(request_stream(spark, sf), ["service"], 6 * HOUR, HOUR), "t2"))
 
 
 @query("t3_error_stream", T3_CTE + f" SELECT * FROM e WHERE {CLOSED}")

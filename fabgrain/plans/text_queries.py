@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fabgrain.functions.skew import keep
 from fabgrain.operators import chat, licenses, retrieval
 from fabgrain.operators import status_docs as docs
 from fabgrain.operators.summary import status_summary
@@ -112,7 +113,7 @@ def _(spark, sf):
 
 @query("r6_search")
 def _(spark, sf):
-    texts = docs.status_documents(_summary(spark, sf)).select("id", "document")
+    texts = keep(docs.status_documents(_summary(spark, sf)).select("id", "document"))
     return retrieval.search(texts, "wafers with low yield in Lot Lot17 for parameter R")
 
 
