@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabgrain.functions.skew import attach, keep
+from fabgrain.functions.skew import BROADCAST_ROWS, attach, keep
 
 # Up to this many rows a group is sorted or counted within one task.
 HOT_ROWS = 1_000_000
@@ -43,78 +43,83 @@ def order_statistics(
 ) -> DataFrame:
     """Values at given 0-based ascending ranks of each group: ``(*keys, n, rank, value)``.
 
-    ``ranks`` maps the group size column to an array of distinct ranks. Groups over ``hot_rows``
-    rows are not sorted whole: each pass counts rows per value range (combined on the map side),
-    keeps the ranges that hold a wanted rank, and splits those again until each has at most
-    ``hot_rows`` rows or a single value. Only rows of the last ranges are then shuffled.
+    ``ranks`` maps the group size column to an array of distinct ranks. Groups within ``hot_rows``
+    are sorted and numbered. Larger ones go through :func:`_narrowed`, which never sorts or shuffles
+    them whole. There are fewer large groups than the broadcast limit, since the bar rises with the
+    table: each holds at least that share of all rows.
     """
     keys = list(keys)
     vals = present(rows, keys, value)
-    # "open" ranges: the value ranges [lo, hi] that hold wanted ranks; "before" rows sort below them
-    open_ranges = keep(
+    groups = keep(
         vals.groupBy(*keys)
         .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-        .select(
-            *keys, F.lit("").alias("slot"), "n", F.col("n").alias("size"),
-            F.lit(0).cast("long").alias("before"), "lo", "hi", ranks(F.col("n")).alias("ranks"),
-        )
+        .withColumn("ranks", ranks(F.col("n")))
     )
-    if (_largest_open(open_ranges) or 0) <= hot_rows:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("_v")).cast("long") - 1
-        numbered = vals.withColumn("rank", place).join(open_ranges.select(*keys, "n", "ranks"), keys)
-        return numbered.where(F.array_contains("ranks", F.col("rank"))).select(*keys, "n", "rank", F.col("_v").alias("value"))
-
-    vals = vals.withColumn("slot", F.lit(""))
-    while (_largest_open(open_ranges) or 0) > hot_rows:
-        vals, open_ranges = _split(vals, open_ranges, keys, fanout)
+    total, largest = groups.agg(F.sum("n"), F.max("n")).first()
+    bar = max(hot_rows, (total or 0) // BROADCAST_ROWS)
+    if (largest or 0) <= bar:
+        return _numbered(vals, groups, keys)
+    large = groups.where(F.col("n") > bar)
+    found = [
+        _numbered(vals.join(F.broadcast(large.select(*keys)), keys, "left_anti"), groups.where(F.col("n") <= bar), keys),
+        large.where("lo = hi").select(*keys, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("value")),
+        _narrowed(vals, large.where("lo < hi"), keys, bar, fanout),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _numbered(vals: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Wanted ranks of groups small enough to sort."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_v")).cast("long") - 1
+    placed = vals.withColumn("rank", place).join(groups.select(*keys, "n", "ranks"), keys)
+    return placed.where(F.array_contains("ranks", F.col("rank"))).select(*keys, "n", "rank", F.col("_v").alias("value"))
+
+
+def _narrowed(vals: DataFrame, groups: DataFrame, keys: list[str], hot_rows: int, fanout: int) -> DataFrame:
+    """Wanted ranks of large groups, by closing in on the values.
+
+    Each pass cuts the value ranges that hold wanted ranks into ``fanout`` equal widths, counts rows
+    per part (combined on the map side), and keeps the parts that still hold one, until a part has at
+    most ``hot_rows`` rows or a single value. Only rows of these last parts are shuffled and sorted.
+    """
     slot = [*keys, "slot"]
-    counted = attach(vals, open_ranges.select(*slot), slot, "inner").groupBy(*slot, "_v").agg(F.count("*").alias("copies"))
+    zero = F.lit(0).cast("long")
+    ranges = groups.select(*keys, F.lit(0).alias("slot"), "n", F.col("n").alias("size"), zero.alias("before"), "lo", "hi", "ranks")
+    vals = attach(vals, ranges.select(*slot, "lo", "hi"), keys, "inner")
+    # halves keep the width finite for values of any size
+    share = (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    part = F.when(F.col("lo") < F.col("hi"), F.least(F.lit(fanout - 1), F.floor(share * fanout))).otherwise(0).cast("int")
+    while (ranges.where("lo < hi").agg(F.max("size")).first()[0] or 0) > hot_rows:
+        parts = vals.select(*slot, "_v", part.alias("part"))
+        counts = parts.groupBy(*slot, "part").agg(F.count("*").alias("size"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        below = F.sum("size").over(Window.partitionBy(*slot).orderBy("part")) - F.col("size")
+        wanted = F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size")))
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy("parent", "part"))
+        ranges = keep(
+            counts.withColumn("below", below)
+            .join(ranges.select(*slot, "n", "before", "ranks"), slot)
+            .withColumn("before", F.col("before") + F.col("below"))
+            .withColumn("ranks", wanted)
+            .where(F.size("ranks") > 0)
+            .withColumnRenamed("slot", "parent")
+            .withColumn("slot", number)
+        )
+        path = ranges.select(*keys, F.col("parent").alias("_parent"), "part", "slot", "lo", "hi")
+        vals = attach(parts.withColumnRenamed("slot", "_parent"), path, [*keys, "_parent", "part"], "inner").drop("_parent", "part")
+
+    counted = vals.groupBy(*slot, "_v").agg(F.count("*").alias("copies"))
     upto = F.sum("copies").over(Window.partitionBy(*slot).orderBy("_v")) + F.col("before")
     last = F.col("upto") - 1
     single = F.when(F.array_contains("ranks", last), F.array(last)).otherwise(F.array().cast("array<long>"))
     several = F.filter("ranks", lambda r: (r > last - F.col("copies")) & (r <= last))
     hits = F.when(F.col("copies") == 1, single).otherwise(several)
     return (
-        counted.join(open_ranges.select(*slot, "n", "before", "ranks"), slot)
+        counted.join(ranges.select(*slot, "n", "before", "ranks"), slot)
         .withColumn("upto", upto)
         .select(*keys, "n", F.explode(hits).alias("rank"), F.col("_v").alias("value"))
     )
 
 
-def _largest_open(open_ranges: DataFrame) -> int | None:
-    return open_ranges.where("lo < hi").agg(F.max("size")).first()[0]
-
-
-def _split(vals: DataFrame, open_ranges: DataFrame, keys: list[str], fanout: int):
-    """Cut every open range into ``fanout`` equal widths and keep the parts holding a wanted rank."""
-    slot = [*keys, "slot"]
-    # halves keep the width finite for values of any size
-    part = F.when(F.col("lo") < F.col("hi"), F.least(
-        F.lit(fanout - 1),
-        F.floor((F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * fanout),
-    )).otherwise(0).cast("long")
-    parted = (
-        attach(vals, open_ranges.select(*slot, "lo", "hi"), slot, "inner")
-        .withColumn("part", part)
-        .drop("lo", "hi")
-    )
-    counts = parted.groupBy(*slot, "part").agg(
-        F.count("*").alias("size"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
-    )
-    below = F.sum("size").over(Window.partitionBy(*slot).orderBy("part")) - F.col("size")
-    child = F.concat_ws(".", "slot", F.col("part").cast("string"))
-    wanted = F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size")))
-    smaller = keep(
-        counts.withColumn("below", below)
-        .join(open_ranges.select(*slot, "n", "before", "ranks"), slot)
-        .withColumn("before", F.col("before") + F.col("below"))
-        .withColumn("ranks", wanted)
-        .where(F.size("ranks") > 0)
-        .select(*keys, child.alias("slot"), "n", "size", "before", "lo", "hi", "ranks")
-    )
-    return parted.select(*keys, "_v", child.alias("slot")), smaller
-
-
 def quantile(p: float, rank: str = "rank", value: str = "value") -> Column:
     """Aggregate giving the linearly interpolated quantile from rows that carry 0-based ``rank`` and
     group size ``n``, provided the rows at both neighbouring ranks are among them."""

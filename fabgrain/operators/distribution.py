@@ -69,7 +69,7 @@ def control_chart(df: DataFrame, sigmas: float = 3.0) -> DataFrame:
     )
     off = F.lit(sigmas) * F.col("_sigma")
     return (
-        attach(means, keep(lines), LOT_KEYS)
+        attach(means, lines, LOT_KEYS)
         .withColumn("lower_limit", F.col("centre") - off)
         .withColumn("upper_limit", F.col("centre") + off)
         .withColumn("out_of_control", ~F.col("mean_value").between(F.col("lower_limit"), F.col("upper_limit")))

@@ -68,11 +68,11 @@ def _(spark, sf):
 
 @query("j5_insert_absent", f"""
 WITH {ACCESS}
-SELECT code, name, coalesce(sort_order, -1) AS sort_order FROM menus WHERE id <= 12
+SELECT code, name, coalesce(sort_order, -1) AS sort_order FROM menus WHERE sort_order IS NOT NULL
 UNION ALL
-SELECT lower(p_brand), min(p_type), -1 FROM part WHERE lower(p_brand) NOT IN (SELECT code FROM menus WHERE id <= 12) GROUP BY p_brand""")
+SELECT lower(p_brand), min(p_type), -1 FROM part WHERE lower(p_brand) NOT IN (SELECT code FROM menus WHERE sort_order IS NOT NULL) GROUP BY p_brand""")
 def _(spark, sf):
-    stored = menus(spark, sf).where("id <= 12").select("code", "name", "sort_order")
+    stored = menus(spark, sf).where("sort_order IS NOT NULL").select("code", "name", "sort_order")
     seeds = table(spark, sf, "part").select(F.lower("p_brand").alias("code"), F.col("p_type").alias("name"))
     return shown(access.insert_absent(stored, seeds, "code"), "sort_order")
 
@@ -100,14 +100,14 @@ def _(spark, sf):
 WITH {USERS}, c(check_name, observed, expected) AS (
   SELECT 'no admins yet', count(*), 0::BIGINT FROM users WHERE user_group = 'admin'
   UNION ALL SELECT 'no blank names', count(*), 0 FROM users WHERE name IS NULL OR trim(name) = ''
-  UNION ALL SELECT 'one zero id', count(*), 1 FROM users WHERE id = 0)
+  UNION ALL SELECT 'all in a group', count(*), 0 FROM users WHERE group_id IS NULL)
 SELECT *, observed = expected AS passed FROM c""")
 def _(spark, sf):
     u = users(spark, sf)
     return access.expect_rows({
         "no admins yet": (u.where("user_group = 'admin'"), 0),
         "no blank names": (access.blank_values(u, "name"), 0),
-        "one zero id": (u.where("id = 0"), 1),
+        "all in a group": (u.where("group_id IS NULL"), 0),
     })
 
 

@@ -96,7 +96,7 @@ def _(spark, sf):
 @query("s6_ingest_if_empty", "SELECT c_custkey AS id, c_name AS document FROM customer")
 def _(spark, sf):
     incoming = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("document"))
-    return tables.ingest_if_empty(incoming.where("id < 0"), incoming)
+    return tables.ingest_if_empty(incoming.where("id IS NULL"), incoming)
 
 
 @query("s7_json", from_m("""

@@ -156,12 +156,14 @@ def _(spark, sf):
 def request_stream(spark, sf) -> DataFrame:
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return as_requests(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+    # the stored times are UTC, whatever the session's zone
+    return as_requests(stream).withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
 
 
 def _plain(df: DataFrame) -> DataFrame:
     """Timestamps without zone, as the stored events have them."""
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
+    utc = {c: F.to_utc_timestamp(c, F.current_timezone()) for c, t in df.dtypes if t == "timestamp"}
+    return df.withColumns({c: t.cast("timestamp_ntz") for c, t in utc.items()})
 
 
 CLOSED = "window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"

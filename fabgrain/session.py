@@ -47,6 +47,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store ``df`` as a table in the shared folder and read it back, which cuts its lineage.
+
+    The table outlives executors, is computed once, and its files tell its size to the optimizer.
+    """
+    path = new_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,12 +23,17 @@ DELAY = "10 minutes"
 def windowed(
     requests: DataFrame, keys: Sequence[str], measures: Mapping[str, Column], length: int, step: int, delay: str = DELAY
 ) -> DataFrame:
-    """Measures per sliding window of a stream whose ``ts`` is a TIMESTAMP."""
-    at = F.window("ts", f"{length} seconds", f"{step} seconds")
-    grouped = requests.withWatermark("ts", delay).groupBy(at.alias("_w"), *keys)
-    return grouped.agg(*[c.alias(n) for n, c in measures.items()]).select(
-        *keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *measures
-    )
+    """Additive measures per sliding window of a stream whose ``ts`` is a TIMESTAMP.
+
+    Rows are counted once per step; a second aggregation adds the steps of each window up.
+    """
+    steps = requests.withWatermark("ts", delay).groupBy(F.window("ts", f"{step} seconds").alias("_s"), *keys)
+    counted = steps.agg(*[c.alias(n) for n, c in measures.items()])
+    if length == step:
+        return counted.select(*keys, F.col("_s.start").alias("window_start"), F.col("_s.end").alias("window_end"), *measures)
+    at = F.window(F.window_time("_s"), f"{length} seconds", f"{step} seconds")
+    grouped = counted.groupBy(at.alias("_w"), *keys).agg(*[F.sum(n).alias(n) for n in measures])
+    return grouped.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *measures)
 
 
 def rate_stream(requests: DataFrame, labels: Sequence[str] = tuple(LABELS), length: int = RATE_SECONDS, step: int = EVALUATION_SECONDS, delay: str = DELAY) -> DataFrame:

@@ -1,7 +1,7 @@
 """Stateful stream operators: held alerts, liveness and the sliding request limiter.
 
 Each keeps a small state per key with ``applyInPandasWithState``; the batch twins are in
-:mod:`fabgrain.operators.monitor`. Time columns are TIMESTAMPs in a UTC session.
+:mod:`fabgrain.operators.monitor`. Time columns are TIMESTAMPs.
 """
 
 from __future__ import annotations
@@ -22,10 +22,6 @@ from fabgrain.operators.monitor import (
 DELAY = "10 minutes"
 
 
-def _times(micros: Sequence[int]) -> pd.Series:
-    return pd.to_datetime(pd.Series(micros, dtype="int64"), unit="us")
-
-
 def held_alert_stream(
     evaluations: DataFrame, key: str, hold: int = HOLD_SECONDS, step: int = EVALUATION_SECONDS, at: str = "window_end"
 ) -> DataFrame:
@@ -34,6 +30,8 @@ def held_alert_stream(
     ``evaluations`` has ``active`` per key and step, arriving in time order.
     """
     needed = -(-hold // step) * step * SECOND
+    # helpers live inside: functions sent to the tasks must not need this package there
+    times = lambda micros: pd.to_datetime(pd.Series(micros, dtype="int64"), unit="us", utc=True)
 
     def advance(group, batches, state):
         start, last, fired = state.get if state.exists else (-1, -1, False)
@@ -52,7 +50,7 @@ def held_alert_stream(
         state.update((start, last, fired))
         if alerts:
             yield pd.DataFrame({
-                key: [a[0] for a in alerts], "active_from": _times([a[1] for a in alerts]), "fires_at": _times([a[2] for a in alerts]),
+                key: [a[0] for a in alerts], "active_from": times([a[1] for a in alerts]), "fires_at": times([a[2] for a in alerts]),
             })
 
     key_type = dict(evaluations.dtypes)[key]
@@ -73,6 +71,7 @@ def down_stream(heartbeats: DataFrame, key: str, threshold: int = HOLD_SECONDS,
     Each batch is reduced to the first and last heartbeat per threshold-long slot as it is read.
     """
     gap = threshold * SECOND
+    times = lambda micros: pd.to_datetime(pd.Series(micros, dtype="int64"), unit="us", utc=True)
 
     def advance(group, batches, state):
         (last,) = state.get if state.exists else (-1,)
@@ -99,7 +98,7 @@ def down_stream(heartbeats: DataFrame, key: str, threshold: int = HOLD_SECONDS,
             state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1))
         if silences:
             yield pd.DataFrame({
-                key: [group[0]] * len(silences), "down_from": _times(silences), "alert_at": _times([s + gap for s in silences]),
+                key: [group[0]] * len(silences), "down_from": times(silences), "alert_at": times([s + gap for s in silences]),
             })
 
     key_type = dict(heartbeats.dtypes)[key]
