@@ -45,18 +45,32 @@ def _(spark, sf):
     return rows.withColumn("std", F.round("std", 2))
 
 
-WORDS = """
+def words_sql(table: str, key: str, text: str) -> str:
+    return f"""
 words AS (
-  SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS word FROM documents
+  SELECT {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS word FROM {table}
 ),
 counts AS (
-  SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 4096 AS bucket, count(*) AS tf FROM words GROUP BY ALL
+  SELECT {key}, ('0x' || substr(md5(word), 1, 8))::BIGINT % 4096 AS bucket, count(*) AS tf FROM words GROUP BY ALL
 ),
 weights AS (
-  SELECT bucket, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM counts GROUP BY bucket
+  SELECT bucket, ln(((SELECT count(*) FROM {table}) + 1) / (count(*) + 1)) AS idf FROM counts GROUP BY bucket
 )"""
 
 
+WORDS = words_sql("documents", "doc_id", "text")
+
+
+def similar_sql(key: str, question: str, n: int) -> str:
+    return f"""
+q AS (SELECT bucket, coalesce(count(w), 0) * any_value(idf) AS q_weight FROM weights LEFT JOIN (
+        SELECT unnest(string_split('{question}', ' ')) AS w) ON ('0x' || substr(md5(w), 1, 8))::BIGINT % 4096 = bucket GROUP BY bucket),
+d AS (SELECT {key}, sqrt(sum((tf * idf) ** 2)) AS norm, sum(tf * idf * q_weight) AS dot
+      FROM counts JOIN weights USING (bucket) JOIN q USING (bucket) GROUP BY {key}),
+f AS (SELECT {key}, CASE WHEN norm > 0 THEN round(dot / (norm * (SELECT sqrt(sum(q_weight ** 2)) FROM q)), 6) ELSE 0 END AS similarity FROM d),
+best AS (SELECT {key}, similarity, row_number() OVER (ORDER BY similarity DESC, {key})::INTEGER AS rank FROM f ORDER BY rank LIMIT {n})"""
+
+
 @query("r3_text_vectors", f"""
 WITH {WORDS}, n AS (SELECT doc_id, sqrt(sum((tf * idf) ** 2)) AS norm FROM counts JOIN weights USING (bucket) GROUP BY doc_id)
 SELECT doc_id, bucket, round(tf * idf / norm, 6) AS weight
@@ -69,14 +83,7 @@ def _(spark, sf):
 QUESTION = "of the one that is on the with and by"
 
 
-@query("r4_nearest_text", f"""
-WITH {WORDS},
-q AS (SELECT bucket, coalesce(count(w), 0) * any_value(idf) AS q_weight FROM weights LEFT JOIN (
-        SELECT unnest(string_split('{QUESTION}', ' ')) AS w) ON ('0x' || substr(md5(w), 1, 8))::BIGINT % 4096 = bucket GROUP BY bucket),
-d AS (SELECT doc_id, sqrt(sum((tf * idf) ** 2)) AS norm, sum(tf * idf * q_weight) AS dot
-      FROM counts JOIN weights USING (bucket) JOIN q USING (bucket) GROUP BY doc_id),
-f AS (SELECT doc_id, CASE WHEN norm > 0 THEN round(dot / (norm * (SELECT sqrt(sum(q_weight ** 2)) FROM q)), 6) ELSE 0 END AS similarity FROM d)
-SELECT doc_id, similarity, row_number() OVER (ORDER BY similarity DESC, doc_id)::INTEGER AS rank FROM f ORDER BY rank LIMIT 3""")
+@query("r4_nearest_text", f"WITH {WORDS}, {similar_sql('doc_id', QUESTION, 3)} SELECT * FROM best")
 def _(spark, sf):
     return retrieval.nearest_text(table(spark, sf, "documents"), "doc_id", "text", QUESTION)
 
@@ -111,10 +118,15 @@ def _(spark, sf):
     return docs.wafer_status(_summary(spark, sf), "W03").withColumn("std", F.round("std", 2))
 
 
-@query("r6_search")
+ISSUE = "wafers with low yield in Lot Lot17 for parameter R"
+
+
+@query("r6_search", f"""
+WITH {DOCUMENTS}, {words_sql('docs', 'id', 'document')}, {similar_sql('id', ISSUE.lower(), 5)}
+SELECT rank, id, document, similarity FROM best JOIN docs USING (id)""")
 def _(spark, sf):
     texts = keep(docs.status_documents(_summary(spark, sf)).select("id", "document"))
-    return retrieval.search(texts, "wafers with low yield in Lot Lot17 for parameter R")
+    return retrieval.search(texts, ISSUE)
 
 
 @query("r7_low_yield", f"""
