@@ -46,7 +46,7 @@ def local_time(ts: Column) -> Column:
 
 def base64_line(text: Column) -> Column:
     """Base64 of a text on one line; Spark may break long ones, which strict decoders refuse."""
-    return F.translate(F.base64(F.encode(text, "UTF-8")), "\r\n", "")
+    return F.replace(F.base64(F.encode(text, "UTF-8")), F.lit("\r\n"), F.lit(""))
 
 
 def encode_key(df: DataFrame, signature: Column) -> DataFrame:

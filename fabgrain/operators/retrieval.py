@@ -21,8 +21,11 @@ def words(text: str) -> Column:
 
 
 def bucket(word: Column, buckets: int = BUCKETS) -> Column:
-    """Bucket of a word: leading 32 bits of its MD5."""
-    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    """Bucket of a word: leading 32 bits of its MD5.
+
+    Never NULL by type, or joins on the bucket would hash every word once more to test for it.
+    """
+    return F.coalesce(F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(buckets)), F.lit(0).cast("long"))
 
 
 def bucket_counts(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
@@ -51,15 +54,9 @@ def hashed_tfidf(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -
     counts = bucket_counts(docs, key, text, buckets)
     weights = F.broadcast(bucket_weights(counts, docs))  # at most ``buckets`` rows
     raw = counts.join(weights, "bucket").select(key, "bucket", (F.col("tf") * F.col("idf")).alias("_w"))
-    entries = F.collect_list(F.struct("bucket", F.col("_w").alias("w")))  # at most ``buckets`` entries
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")))
-    return (
-        raw.groupBy(key)
-        .agg(entries.alias("_entries"), norm.alias("_norm"))
-        .where("_norm > 0")
-        .select(key, "_norm", F.inline("_entries"))
-        .select(key, "bucket", (F.col("w") / F.col("_norm")).alias("weight"))
-    )
+    # a document has at most ``buckets`` rows, which lie together already
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return raw.withColumn("_norm", norm).where("_norm > 0").select(key, "bucket", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
 def nearest_text(docs: DataFrame, key: str, text: str, query: str, n: int = 3, buckets: int = BUCKETS) -> DataFrame:
