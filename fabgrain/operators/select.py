@@ -93,8 +93,9 @@ def sort_order(df: DataFrame, sort_by: str = "wafer_id", direction: str = "asc",
 
 
 def sort_rows(df: DataFrame, sort_by: str = "wafer_id", direction: str = "asc", tie: Sequence[str] = tuple(DIE_KEYS)) -> DataFrame:
-    """All rows in the order of :func:`sort_order`."""
-    return df.orderBy(*sort_order(df, sort_by, direction, tie))
+    """All rows in the order of :func:`sort_order`; copies of one row spread by their source partition."""
+    order = sort_order(df, sort_by, direction, tie)
+    return df.withColumn("_part", F.spark_partition_id()).orderBy(*order, "_part").drop("_part")
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, limit: int = PAGE_ROWS, shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
@@ -116,7 +117,8 @@ def deep_page(df: DataFrame, order: Sequence[Column], start: int, end: int) -> D
     the page touches, and only those are ranked.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    placed = df.withColumn("_part", F.spark_partition_id()).repartitionByRange(parts, *order, "_part").drop("_part")
+    ranged = durable(placed.withColumn("_range", F.spark_partition_id()))
     below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     touched = (
         ranged.groupBy("_range")
@@ -172,13 +174,13 @@ def page_links(total: DataFrame, limit: int = PAGE_ROWS) -> DataFrame:
 
     ``total`` is a one-row frame; an empty result has the single empty page 1.
     """
-    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / limit)).cast("long")
+    rows = total.first()["total"]
     number = F.col("page")
-    return total.withColumn("page", F.explode(F.sequence(F.lit(1).cast("long"), pages))).select(
+    return total.sparkSession.range(1, max(1, -(-rows // limit)) + 1).select(F.col("id").alias("page")).select(
         "page",
-        F.least(F.lit(limit), F.col("total") - (number - 1) * limit).cast("long").alias("page_rows"),
+        F.least(F.lit(limit), F.lit(rows) - (number - 1) * limit).cast("long").alias("page_rows"),
         (number > 1).alias("has_previous"),
-        (number * limit < F.col("total")).alias("has_next"),
+        (number * limit < F.lit(rows)).alias("has_next"),
     )
 
 

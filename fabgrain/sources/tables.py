@@ -17,13 +17,16 @@ NUMBERS = (T.NumericType,)
 def overwrite_measurements(df: DataFrame, path: str, max_rows_per_file: int = 20_000_000) -> None:
     """Replace the table at ``path``, one folder per parameter, rows clustered by lot and wafer.
 
-    Ranges over the whole die key keep a large lot or parameter from landing in one task; the file
-    statistics on lot and wafer then let readers skip files.
+    Ranges over the whole die key keep a large lot or parameter from landing in one task, and the
+    source partition as the last key does so for copies of one row. The file statistics on lot and
+    wafer then let readers skip files.
     """
     order = ["parameter", *[k for k in DIE_KEYS if k != "parameter"]]
     (
-        df.repartitionByRange(*order)
+        df.withColumn("_part", F.spark_partition_id())
+        .repartitionByRange(*order, "_part")
         .sortWithinPartitions(*order)
+        .drop("_part")
         .write.mode("overwrite")
         .option("maxRecordsPerFile", max_rows_per_file)
         .partitionBy("parameter")

@@ -6,8 +6,6 @@ Each keeps a small state per key with ``applyInPandasWithState``; the batch twin
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame

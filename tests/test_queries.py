@@ -23,8 +23,10 @@ def duck():
 
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query_equals_its_sql(spark, duck, name):
-    got = entry.queries()[name](spark, FOLDER).toPandas()
-    assert check_oracles.compare(got, duck.execute(entry.oracle_sql()[name]).df()) == "ok"
+    df = entry.queries()[name](spark, FOLDER)
+    text = plan(df)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert check_oracles.compare(df.toPandas(), duck.execute(entry.oracle_sql()[name]).df()) == "ok"
 
 
 def test_every_query_has_sql():
@@ -61,11 +63,3 @@ def test_rows_aggregate_by_hashing_before_the_shuffle(spark, name):
     below = plan(entry.queries()[name](spark, FOLDER)).split("Exchange hashpartitioning")[-1]
     assert "HashAggregate" in below and "SortAggregate" not in below
 
-
-STREAMS = {n for n in entry.queries() if n.endswith("_stream")}
-
-
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMS))
-def test_no_query_pairs_all_rows(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
