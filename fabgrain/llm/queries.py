@@ -10,9 +10,12 @@ from fabgrain.llm import (
     byte_bpe,
     compression_rules,
     exact_dedup,
+    ngram_join,
     packing,
+    quality_cnn,
     secret_scan,
     token_store,
+    warc,
 )
 from fabgrain.llm.common import table
 from fabgrain.plans.registry import query
@@ -21,6 +24,20 @@ from fabgrain.session import new_path
 #: Folder-independent names of the tokenizer files; another folder may be given by replacing ``tokenizer``.
 tokenizer = public_tokenizers.path
 
+
+@query("op1_warc", """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN later IS NULL THEN 'response' ELSE 'revisit' END AS record_type, later AS refers_to
+FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+             CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000
+                  THEN nullif(max(page_id) OVER (PARTITION BY html), page_id) END AS later
+      FROM pages)
+""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.payload_table(spark, path)
+
+
 @query("op2_token_store")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "tokens")
@@ -28,6 +45,17 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.documents(spark, path).withColumnRenamed("key", "doc_id")
 
 
+@query("op3_ngram_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_quality_cnn")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_cnn.score(docs, quality_cnn.fit(docs, table(spark, folder, "labels")))
+
+
 @query("op5_compression_rules")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return compression_rules.judge(table(spark, folder, "documents"))
