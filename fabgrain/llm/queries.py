@@ -14,6 +14,7 @@ from fabgrain.llm import (
     packing,
     quality_cnn,
     secret_scan,
+    substring_dedup,
     token_store,
     warc,
 )
@@ -66,9 +67,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 @query("op8_certified_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), room=2048, end_id=0)
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN, room=2048, end_id=0)
 
 
 @query("op9_secret_scan")
