@@ -22,7 +22,7 @@ PERCENT = 75
 #: one only means more candidates, so the sketch has this size for any corpus.
 SKETCH = 1 << 20
 #: N-grams that one task puts into tries at once; larger clusters are worked off in blocks.
-BLOCK_GRAMS = 2_000_000
+BLOCK_GRAMS = 500_000
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     marks = durable(repeated.shared(rows, extract).select("key", "size", "shared"))
     hopeful = marks.where(f"key is not null and size > 0 and 100 * shared >= {percent} * size").select("key").distinct()
-    sets = durable(_sets(rows.join(hopeful, "key", "left_semi")))
+    sets = durable(_sets(rows.join(hopeful.hint("merge"), "key", "left_semi")))  # their number follows the corpus
     reps = sets.groupBy("fp").agg(F.min("key").alias("key"))
     classes = durable(sets.join(reps, ["fp", "key"], "left_semi"))
     links = _cluster_links(classes, _clusters(classes, percent), percent, block_grams)
