@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,34 +20,34 @@ PER_PARTITION = 50_000
 ROUNDS = 3
 
 
-def cut(docs: DataFrame, tokenizer_path: str, room: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of at most ``room`` tokens: ``key``, ``piece``, ``start``, ``length`` and the raw ``ids`` as 32-bit integers.
+def cut(docs: DataFrame, tokenizer_path: str, pattern: str, room: int, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """Pieces of at most ``room`` tokens: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``, and ``ids`` as 32-bit integers.
 
-    The text's ids are followed by ``end_id``. Only longer documents are cut; the first piece takes the remainder.
+    ``pattern`` is what the tokenizer splits text by. The ids are followed by ``end_id``. Only longer documents are cut;
+    the first piece takes the remainder. Without ``with_ids`` only the checksum of the ids leaves the task.
     """
     keyed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = keyed.schema["key"].dataType.simpleString()
-    names = ["key", "piece", "start", "length", "ids"]
+    names = ["piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * with_ids]
     end = np.array([end_id], "<u4").tobytes()
 
+    def pieces_of(texts: list[str]) -> Iterator[tuple]:
+        for k, ids in enumerate(pieces.load(tokenizer_path, pattern).packed(texts)):
+            data = memoryview(ids + end)
+            n = len(data) // 4
+            borders = [0, *range(n % room or room, n + 1, room)]
+            for i, (a, z) in enumerate(zip(borders, borders[1:], strict=False)):
+                part = data[4 * a : 4 * z]
+                yield (k, i, a, z - a, zlib.crc32(part), *[bytes(part)] * with_ids)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces.load(tokenizer_path, pieces.cut_blanks)
         for b in parts:
-            for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
-                rows, source = [], []
-                for k, ids in enumerate(encoder.packed(strings(part.column(1)))):
-                    ids += end
-                    n = len(ids) // 4
-                    borders = [0, *range(n % room or room, n + 1, room)]
-                    for i, (a, z) in enumerate(zip(borders, borders[1:], strict=False)):
-                        rows.append((i, a, z - a, ids[4 * a : 4 * z]))
-                        source.append(k)
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(source, pa.int64())),
-                     *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True))], names=names)
-
-    return keyed.mapInArrow(run, f"key {kind}, piece int, start bigint, length int, ids binary")
+            for part in (b.slice(i, 2000) for i in range(0, b.num_rows, 2000)):
+                source, *columns = zip(*pieces_of(strings(part.column(1))), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(source, pa.int64())), *map(pa.array, columns, types)], names=["key", *names])
+
+    return keyed.mapInArrow(run, f"key {kind}, piece int, start bigint, length int, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
 def lower_bound(lengths: np.ndarray, room: int) -> int:
@@ -139,13 +140,12 @@ def pack(items: DataFrame, room: int, per_partition: int = PER_PARTITION, rounds
     return functools.reduce(DataFrame.unionByName, done)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, room: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, room: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and ``offset``.
 
     A null or empty text is a document of its end id alone. Null keys and repeated rows are packed like any others; an
     empty table gives no rows. Other columns are not looked at.
     """
-    parts = cut(docs, tokenizer_path, room, end_id, key, text)
-    items = durable(parts.select("key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    items = durable(cut(docs, tokenizer_path, pattern, room, end_id, key, text, with_ids=False))
     return pack(items, room).select(F.col("key").alias(key), "piece", "start", F.col("length").cast("long").alias("length"),
                                     "ids_crc32", "sequence_id", "offset")

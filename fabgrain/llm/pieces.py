@@ -1,34 +1,53 @@
-"""Whole texts through the tokenizers library, each distinct piece once per worker."""
+"""Whole texts through the tokenizers library, each distinct piece as a rule once per worker."""
 
 from __future__ import annotations
 
+import array
 import functools
+import gc
 import os
 import re
+import unicodedata
+from collections.abc import Iterator
 from itertools import chain
 
-import numpy as np
+import regex
 
-REMEMBERED = 300_000
-WHITE = re.compile(r"\s")
-#: Before a blank that has text on its left: no match of a byte-level pattern reaches across.
-BYTE_LEVEL_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: White space that may stand before a blank; a run of white space is not cut.
-RUNS = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
-ASCII_RUNS = [r for r in RUNS if r.isascii()]
+#: Pieces in one generation of a worker's memory. A full generation becomes the old one; pieces used again move on.
+REMEMBERED = 600_000
+#: Characters whose pieces are looked up at once.
+AT_ONCE = 4_000_000
 
 
-def cut_words(text: str) -> list[str]:
-    """Pieces for a tokenizer that drops white space: cut at blanks and line ends, which no token contains."""
-    return text.replace("\n", " ").split(" ")
+#: A blank in the alphabet of byte-level tokenizers.
+BLANK = "\u0120"
+#: White space to the pattern's reader here, but not to the library.
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Letters whose lower case depends on what follows, or has several characters.
+ODD_CASE = "\u0130\u03a3"
 
 
-def cut_blanks(text: str) -> list[str]:
-    """Pieces for a byte-level tokenizer, whose tokens may start with the blank before a word."""
-    if any(r in text for r in (ASCII_RUNS if text.isascii() else RUNS)):
-        return BYTE_LEVEL_CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)] if rest else [first]
+def pattern_cut(pattern: str, folds: bool = False):
+    """Pieces for a tokenizer that encodes each match of ``pattern`` on its own; texts that might be cut elsewhere stay whole.
+
+    With ``folds``, for one that first composes characters, folds case, and drops white space. ASCII texts go a faster way.
+    """
+    general = regex.compile(pattern).findall
+    plain = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", "[^\\sA-Za-z0-9]").replace(r"[\p{L}]", "[A-Za-z]").replace(r"[\p{N}]", "[0-9]")
+                       .replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII).findall
+
+    def cut(text: str) -> list[str]:
+        if any(c in text for c in ODD_SPACE):
+            return [text]
+        if text.isascii():
+            return plain(text.lower() if folds else text)
+        if folds:
+            if any(c in text for c in ODD_CASE) or not unicodedata.is_normalized("NFC", text):
+                return [text]
+            text = text.lower()
+        return general(text)
+
+    return cut
 
 
 class Encoder:
@@ -41,21 +60,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = cut
-        self.known: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def packed(self, texts: list[str]) -> list[bytes]:
+    def packed(self, texts: list[str]) -> Iterator[bytes]:
         """Per text, its ids as little-endian unsigned 32-bit integers."""
-        cuts = [self.cut(t) for t in texts]
-        if len(self.known) >= REMEMBERED:
-            self.known = {"": b""}
-        new = list(set(chain.from_iterable(cuts)).difference(self.known))
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known = self.known
-        known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, coded, strict=True))
-        return [b"".join(map(known.__getitem__, c)) for c in cuts]
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
+                size += len(texts[end])
+                end += 1
+            yield from self._packed(texts[at:end])
+            at = end
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # millions of short-lived strings, and no cycles
+        try:
+            cuts = [self.cut(t) for t in texts]
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            young = self.young
+            new = set(chain.from_iterable(cuts)).difference(young)
+            if self.old:
+                again = new.intersection(self.old)
+                young.update((p, self.old[p]) for p in again)
+                new -= again
+            # Printable ASCII goes straight to the library's merges; in the byte alphabet only the blank looks different.
+            merges = self.tokenizer.model.tokenize
+            simple = [p for p in new if p.isascii() and p.isprintable()]
+            young.update((p, array.array("I", [t.id for t in merges(p.replace(" ", BLANK))]).tobytes()) for p in simple)
+            others = list(new.difference(simple))
+            coded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+            young.update((p, array.array("I", e.ids).tobytes()) for p, e in zip(others, coded, strict=True))
+            return [b"".join(map(young.__getitem__, c)) for c in cuts]
+        finally:
+            if collecting:
+                gc.enable()
 
 
 @functools.lru_cache(maxsize=2)
-def load(path: str, cut) -> Encoder:
+def load(path: str, pattern: str, folds: bool = False) -> Encoder:
     """One per Python worker."""
-    return Encoder(path, cut)
+    return Encoder(path, pattern_cut(pattern, folds))

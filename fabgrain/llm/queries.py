@@ -22,8 +22,10 @@ from fabgrain.llm.common import table
 from fabgrain.plans.registry import query
 from fabgrain.session import new_path
 
-#: Folder-independent names of the tokenizer files; another folder may be given by replacing ``tokenizer``.
+#: Place of a tokenizer file.
 tokenizer = public_tokenizers.path
+#: How word_bpe_49k.json splits folded text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @query("op1_warc", """
@@ -42,7 +44,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_token_store")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "tokens")
-    token_store.write(table(spark, folder, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=1)
+    token_store.write(table(spark, folder, "documents"), path, tokenizer("word_bpe_49k.json"), WORD_PATTERN, end_id=1)
     return token_store.documents(spark, path).withColumnRenamed("key", "doc_id")
 
 

@@ -160,11 +160,11 @@ class Shard:
         return self.ids[offset : offset + length].astype("<u4").tobytes()
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text",
+def write(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int, key: str = "doc_id", text: str = "text",
           shard_ids: int = SHARD_IDS, width: int = 2) -> None:
     """Encode every whole text, append ``end_id``, and write shards in ascending key order, then the index.
 
-    A null or empty text has just the end id; a null key comes first; rows that repeat a key lie next to each other.
+    ``pattern`` is what the tokenizer splits text by, after folding case and before dropping white space. A null or empty text has just the end id; a null key comes first; rows that repeat a key lie next to each other.
     ``width`` is the bytes per stored id, 2 or 4; an id that does not fit is an error.
     """
     spark = docs.sparkSession
@@ -176,7 +176,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str
     schema = pa.schema([("data", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces.load(tokenizer_path, pieces.cut_words)
+        encoder = pieces.load(tokenizer_path, pattern, folds=True)
         keys: list[int | None] = []
         held: list[np.ndarray] = []
         size = number = part = 0
@@ -186,7 +186,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str
 
         for b in batches:
             part = b.column(2)[0].as_py() if b.num_rows else part
-            for s in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
+            for s in (b.slice(i, 2000) for i in range(0, b.num_rows, 2000)):
                 for k, packed in zip(s.column(0).to_pylist(), encoder.packed(strings(s.column(1))), strict=True):
                     ids = np.frombuffer(packed + end, "<u4")
                     if width == 2:
