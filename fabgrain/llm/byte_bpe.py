@@ -87,7 +87,7 @@ class BytePairs:
                 limit, a = a, self.halves[a][1]
             else:
                 break
-        if len(self.fits) >= REMEMBERED * 4:
+        if len(self.fits) >= REMEMBERED * 2:
             self.fits.clear()
         self.fits[pair] = fits
         return fits

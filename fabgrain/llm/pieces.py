@@ -14,9 +14,9 @@ from itertools import chain
 import regex
 
 #: Pieces in one generation of a worker's memory. A full generation becomes the old one; pieces used again move on.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 #: Characters whose pieces are looked up at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 3_000_000
 
 
 #: A blank in the alphabet of byte-level tokenizers.

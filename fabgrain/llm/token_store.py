@@ -227,6 +227,7 @@ def _named(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def _write_index(spark: SparkSession, path: str) -> None:
+    """Read the shards back, note what they hold, and index it."""
     directory(spark, path).write.parquet(f"{path}/directory")
     rows = spark.read.parquet(f"{path}/directory")
     shards = rows.groupBy("shard").agg(F.count("*").alias("documents"), F.sum("length").alias("tokens"))
@@ -308,12 +309,12 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
     Each key goes through the index; the place found there must hold a document of the payload, whose ids are summed.
     """
-    payload = spark.read.parquet(f"{path}/directory")
+    payload = spark.read.parquet(f"{path}/directory")  # read back from the shards when the index was made
     places = payload.groupBy("key").agg(F.count("*").alias("n")).select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ordinal"))
     found = lookup(spark, path, places)
     starts = spark.read.parquet(f"{path}/starts").select("shard", F.col("start").alias("shard_start"))
     return (
-        found.join(directory(spark, path).select("shard", "offset", "length", "ids_crc32"), ["shard", "offset", "length"])
+        found.join(payload.select("shard", "offset", "length", "ids_crc32"), ["shard", "offset", "length"])
         .join(starts, "shard")
         .select("key", (F.col("shard_start") + F.col("offset")).alias("start"), F.col("length").alias("n_tokens"), "ids_crc32")
     )
