@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fabgrain.llm import repeated
@@ -20,7 +20,7 @@ WORDS = 5
 PERCENT = 75
 #: Counters of the frequency sketch that orders n-grams from rare to common. Any order gives the same result; a rough
 #: one only means more candidates, so the sketch has this size for any corpus.
-SKETCH = 1 << 20
+SKETCH = 1 << 21
 #: N-grams that one task puts into tries at once; larger clusters are worked off in blocks.
 BLOCK_GRAMS = 500_000
 
@@ -164,6 +164,16 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "key bigint, size bigint, fp string, grams binary")
 
 
+def _with_partners(classes: DataFrame, percent: int) -> DataFrame:
+    """The sets of which enough n-grams occur in other sets too, as ``key``, ``size`` (of the whole set) and those ``grams``."""
+    def extract(grams: bytes) -> tuple[np.ndarray, int, str]:
+        g = np.frombuffer(grams, np.uint64)
+        return g, len(g), ""
+
+    marks = repeated.shared(durable(classes).select("key", F.col("grams").alias("text")), extract, listed=True)
+    return marks.where(f"100 * shared >= {percent} * size").select("key", "size", F.col("marks").alias("grams"))
+
+
 def _sketch(classes: DataFrame) -> np.ndarray:
     """How many sets have an n-gram in each of ``SKETCH`` slots; of fixed size, so it may pass through the driver."""
     blocks, per = 16, SKETCH // 16
@@ -197,14 +207,15 @@ def _clusters(classes: DataFrame, percent: int) -> DataFrame:
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rep, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for rep, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 g = np.frombuffer(data.as_buffer(), np.uint64)
                 often = counts.value[(g % np.uint64(SKETCH)).astype(np.int64)]
-                first = np.lexsort((g, often))[: len(g) + percent * -len(g) // 100 + 1]
-                first = first[often[first] > 1]  # one in its slot has no partner
+                # N-grams of this set alone are the rarest of all; they take up places but have no partner.
+                first = np.lexsort((g, often))[: max(0, n + percent * -n // 100 + 1 - (n - len(g)))]
+                first = first[often[first] > 1]
                 yield record(schema, [g[first].astype(np.int64), np.full(len(first), rep)])
 
-    postings = durable(classes.select("key", "grams").mapInArrow(rare, "gram bigint, rep bigint"))
+    postings = durable(classes.select("key", "size", "grams").mapInArrow(rare, "gram bigint, rep bigint"))
     centres = postings.groupBy("gram").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").drop("most")
     return components(postings.join(centres, "gram").select(F.col("rep").alias("a"), "b").where("a <> b").distinct())
 
@@ -216,7 +227,7 @@ def _links(percent: int, cross: bool):
         keys = np.array(group.column("key").to_pylist(), np.int64)
         sets = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
         asked = int(np.sum(group.column("asked").to_numpy())) if cross else len(sets)
-        labels = linked([len(s) for s in sets], sets, list(range(asked)), percent) if len(sets) > 1 else np.arange(len(sets))
+        labels = linked(group.column("size").to_pylist(), sets, list(range(asked)), percent) if len(sets) > 1 else np.arange(len(sets))
         least = {}
         for label, key in zip(labels.tolist(), keys.tolist(), strict=True):
             least[label] = min(key, least.get(label, key))
@@ -227,6 +238,11 @@ def _links(percent: int, cross: bool):
     return run
 
 
+def _task(*parts: str) -> Column:
+    """One key for a cluster's part, so that the parts of a cluster go to different tasks."""
+    return F.xxhash64("cluster", *parts).alias("task")
+
+
 def _cluster_links(classes: DataFrame, clusters: DataFrame, percent: int, block_grams: int) -> DataFrame:
     """Links that join the sets of each cluster, as (a, b); a cluster of more than a block's n-grams is cut.
 
@@ -234,26 +250,26 @@ def _cluster_links(classes: DataFrame, clusters: DataFrame, percent: int, block_
     component found so far can add a link; they are compared with all blocks.
     """
     members = durable(classes.select("key", "size", "grams").join(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")), "key"))
-    weight = members.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block_grams)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    placed = members.join(weight, "cluster").withColumn("block", own)
+    large = durable(members.groupBy("cluster").agg(F.ceil(F.sum("size") / block_grams).cast("int").alias("blocks")).where("blocks > 1"))
+    placed = members.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+        "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     everywhere = F.when(F.col("key") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = durable(placed.withColumn("block", F.explode(everywhere)).groupBy("cluster", "block").applyInArrow(_links(percent, False), "a bigint, b bigint"))
-    if not weight.where("blocks > 1").head(1):
+    first = durable(placed.withColumn("block", F.explode(everywhere)).groupBy(_task("block")).applyInArrow(_links(percent, False), "a bigint, b bigint"))
+    if not large.head(1):
         return first
 
     found = components(first)
-    several = placed.where("blocks > 1").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = durable(placed.where("blocks > 1").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
     parts = several.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     main = parts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     rest = several.join(main, "cluster").where("root <> main")
     amount = rest.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block_grams)).cast("int").alias("asks"))
     asked = rest.join(amount, "cluster").select(
-        "cluster", "key", "grams", F.pmod(F.xxhash64("key", F.lit(1)), F.col("asks")).cast("int").alias("ask"),
+        "cluster", "key", "size", "grams", F.pmod(F.xxhash64("key", F.lit(1)), F.col("asks")).cast("int").alias("ask"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asked"))
     against = several.join(amount, "cluster").select(
-        "cluster", "key", "grams", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "block", F.lit(False).alias("asked"))
-    second = asked.unionByName(against).groupBy("cluster", "block", "ask").applyInArrow(_links(percent, True), "a bigint, b bigint")
+        "cluster", "key", "size", "grams", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "block", F.lit(False).alias("asked"))
+    second = asked.unionByName(against).groupBy(_task("block", "ask")).applyInArrow(_links(percent, True), "a bigint, b bigint")
     return first.unionByName(durable(second))
 
 
@@ -264,7 +280,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     repeat a key are one node. Other columns are not looked at. N-grams are compared by 64-bit hashes.
 
     Only documents of whose n-grams at least ``percent`` occur elsewhere can have a partner. Of these, equal sets become
-    one class; candidate clusters share rare n-grams; each cluster is joined in a trie.
+    one class, and classes without enough n-grams in other classes go; candidate clusters share rare n-grams; each
+    cluster is joined in a trie.
     """
     rows = repeated.keyed_texts(docs, key, text)
 
@@ -276,7 +293,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     hopeful = marks.where(f"key is not null and size > 0 and 100 * shared >= {percent} * size").select("key").distinct()
     sets = durable(_sets(rows.join(hopeful.hint("merge"), "key", "left_semi")))  # their number follows the corpus
     reps = sets.groupBy("fp").agg(F.min("key").alias("key"))
-    classes = durable(sets.join(reps, ["fp", "key"], "left_semi"))
+    classes = durable(_with_partners(sets.join(reps, ["fp", "key"], "left_semi"), percent))
     links = _cluster_links(classes, _clusters(classes, percent), percent, block_grams)
 
     members = sets.select("key", "fp").distinct().join(reps.withColumnRenamed("key", "rep"), "fp").select("key", "rep")
