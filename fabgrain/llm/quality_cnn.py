@@ -8,6 +8,7 @@ maximum into one probability.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,7 +25,7 @@ DIM = EMBED + 1
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
 GRAM = 8
 
-#: Bound of the sample that is brought to the driver: this many documents of each label, whole ones of at most so many bytes.
+#: Bound of the sample that one task learns from: this many documents of each label, whole ones of at most so many bytes.
 SAMPLE_PER_LABEL = 1200
 SAMPLE_BYTES = 1 << 15
 EPOCHS = 14
@@ -189,21 +190,29 @@ def held_out(key: str = "doc_id"):
     return (F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == HELD_OUT)
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[list[str], list[int]]:
-    """At most ``per_label`` labelled documents of each label, those with the smallest hash of their key, none held out.
-
-    Documents of more than ``SAMPLE_BYTES`` bytes are scored but not learned from.
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """Columns ``t`` and ``y`` of at most ``per_label`` labelled documents of each label, those with the smallest hash of
+    their key, none held out. Documents of more than ``SAMPLE_BYTES`` bytes are scored but not learned from.
     """
     usable = labels.where(~held_out(key) & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).distinct()
     chosen = [usable.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_label) for y in (0, 1)]
     few = chosen[0].unionByName(chosen[1])  # its size is bounded, so it may be sent to all tasks
     short = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES)
-    rows = short.join(F.broadcast(few), "k").orderBy("k", "y", "t").limit(4 * per_label).collect()
-    return [r["t"] for r in rows], [r["y"] for r in rows]
+    return short.join(F.broadcast(few), "k").orderBy("k", "y", "t").limit(4 * per_label).select("t", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    return train(*sample(docs, labels, **options))
+    """Trained in one task, on the bounded sample; only the weights come to the driver."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        marks: list[int] = []
+        for b in parts:
+            texts += strings(b.column(0))
+            marks += b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(train(texts, marks)))], pa.binary())], names=["model"])
+
+    trained = sample(docs, labels, **options).coalesce(1).mapInArrow(run, "model binary").collect()
+    return Model(*pickle.loads(trained[0]["model"])) if trained else initial()
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
