@@ -12,8 +12,8 @@ from fabgrain.functions.skew import BROADCAST_ROWS, attach, keep
 
 # Up to this many rows a group is sorted or counted within one task.
 HOT_ROWS = 1_000_000
-# Value ranges a larger group is split into per pass.
-FANOUT = 1024
+# Cuts that a larger group's value range gets per pass.
+FANOUT = 32
 
 
 def present(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -45,8 +45,7 @@ def order_statistics(
 
     ``ranks`` maps the group size column to an array of distinct ranks. Groups within ``hot_rows``
     are sorted and numbered. Larger ones go through :func:`_narrowed`, which never sorts or shuffles
-    them whole. There are fewer large groups than the broadcast limit, since the bar rises with the
-    table: each holds at least that share of all rows.
+    them whole. The limit is the same for tables of any size.
     """
     keys = list(keys)
     vals = present(rows, keys, value)
@@ -55,15 +54,16 @@ def order_statistics(
         .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
         .withColumn("ranks", ranks(F.col("n")))
     )
-    total, largest = groups.agg(F.sum("n"), F.max("n")).first()
-    bar = max(hot_rows, (total or 0) // BROADCAST_ROWS)
-    if (largest or 0) <= bar:
+    number_large = groups.where(F.col("n") > hot_rows).count()
+    if not number_large:
         return _numbered(vals, groups, keys)
-    large = groups.where(F.col("n") > bar)
+    large = groups.where(F.col("n") > hot_rows)
+    names = large.select(*keys)
+    names = F.broadcast(names) if number_large <= BROADCAST_ROWS else names
     found = [
-        _numbered(vals.join(F.broadcast(large.select(*keys)), keys, "left_anti"), groups.where(F.col("n") <= bar), keys),
+        _numbered(vals.join(names, keys, "left_anti"), groups.where(F.col("n") <= hot_rows), keys),
         large.where("lo = hi").select(*keys, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("value")),
-        _narrowed(vals, large.where("lo < hi"), keys, bar, fanout),
+        _narrowed(vals, large.where("lo < hi"), keys, hot_rows, fanout),
     ]
     return reduce(DataFrame.unionByName, found)
 
@@ -78,19 +78,25 @@ def _numbered(vals: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
 def _narrowed(vals: DataFrame, groups: DataFrame, keys: list[str], hot_rows: int, fanout: int) -> DataFrame:
     """Wanted ranks of large groups, by closing in on the values.
 
-    Each pass cuts the value ranges that hold wanted ranks into ``fanout`` equal widths, counts rows
-    per part (combined on the map side), and keeps the parts that still hold one, until a part has at
-    most ``hot_rows`` rows or a single value. Only rows of these last parts are shuffled and sorted.
+    Each pass cuts the value ranges that hold wanted ranks at about ``fanout`` values that occur, evenly spread by rank;
+    a value that is cut at is a part of its own. Rows are counted per part (combined on the map side), and the parts
+    that still hold a wanted rank are kept, until a part has at most ``hot_rows`` rows or a single value. Only
+    rows of these last parts are shuffled and sorted. Cuts at ranks work alike for any values, infinite ones too.
     """
     slot = [*keys, "slot"]
     zero = F.lit(0).cast("long")
     ranges = groups.select(*keys, F.lit(0).alias("slot"), "n", F.col("n").alias("size"), zero.alias("before"), "lo", "hi", "ranks")
-    vals = attach(vals, ranges.select(*slot, "lo", "hi"), keys, "inner")
-    # halves keep the width finite for values of any size
-    share = (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-    part = F.when(F.col("lo") < F.col("hi"), F.least(F.lit(fanout - 1), F.floor(share * fanout))).otherwise(0).cast("int")
-    while (ranges.where("lo < hi").agg(F.max("size")).first()[0] or 0) > hot_rows:
-        parts = vals.select(*slot, "_v", part.alias("part"))
+    vals = attach(vals, ranges.select(*slot), keys, "inner")
+    shares = [i / fanout for i in range(fanout + 1)]
+    size = None
+    while (left := ranges.where("lo < hi").agg(F.max("size")).first()[0] or 0) > hot_rows:
+        if size is not None and left >= size:
+            raise RuntimeError(f"a part of {left} rows did not become smaller")
+        size = left
+        cuts = keep(vals.groupBy(*slot).agg(F.array_distinct(F.percentile_approx("_v", shares, 50 * fanout)).alias("cuts")))
+        below_value = F.size(F.filter("cuts", lambda c: c < F.col("_v")))
+        part = (2 * below_value + F.array_contains("cuts", F.col("_v")).cast("int")).alias("part")
+        parts = attach(vals.select(*slot, "_v"), cuts, slot, "inner").select(*slot, "_v", part)
         counts = parts.groupBy(*slot, "part").agg(F.count("*").alias("size"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
         below = F.sum("size").over(Window.partitionBy(*slot).orderBy("part")) - F.col("size")
         wanted = F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size")))

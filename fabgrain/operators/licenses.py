@@ -68,14 +68,16 @@ def decode_key(df: DataFrame, key: str = "license_key") -> DataFrame:
     """Add ``payload`` and ``well_formed``.
 
     A key is well formed when it is base64 of a JSON envelope with a payload, a signature of at least
-    three ``:``-separated parts whose third is base64, and an expiry that is a local time or absent.
+    three ``:``-separated parts whose third is base64, and an expiry that is a local time or
+    absent; an expiry of null is neither.
     """
     text = unbase64(F.col(key)).cast("string")
     parsed = df.withColumn("_e", F.from_json(text, ENVELOPE, {"mode": "PERMISSIVE"}))
     expiry = F.col("_e.payload.expiry")
     raw = F.get(F.split(F.col("_e.signature"), ":"), F.lit(2))
     signed = unbase64(raw).isNotNull()
-    timed = expiry.isNull() | (expiry.rlike(LOCAL_TIME) & expiry.try_cast("timestamp_ntz").isNotNull())
+    stated = F.array_contains(F.json_object_keys(F.get_json_object(text, "$.payload")), "expiry")
+    timed = ~F.coalesce(stated, F.lit(False)) | (expiry.rlike(LOCAL_TIME) & expiry.try_cast("timestamp_ntz").isNotNull())
     fine = F.col("_e.payload").isNotNull() & F.coalesce(signed, F.lit(False)) & timed
     return parsed.withColumns({"payload": F.col("_e.payload"), "well_formed": F.coalesce(fine, F.lit(False))}).drop("_e")
 

@@ -59,12 +59,16 @@ def hashed_tfidf(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -
     return raw.withColumn("_norm", norm).where("_norm > 0").select(key, "bucket", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
+#: Beyond this, values differ by the order of summation only.
+RANK_DECIMALS = 12
+
+
 def nearest_text(docs: DataFrame, key: str, text: str, query: str, n: int = 3, buckets: int = BUCKETS) -> DataFrame:
     """The ``n`` documents of highest cosine similarity to a query text, ``(key, similarity, rank)``.
 
     The query gets the documents' bucket weights. Each document folds its buckets into one norm and
-    one product, so a single pass over the counts and one top-k suffice. Similarity is compared at
-    six decimals; ties go to the smaller key. Documents sharing no weighted word have similarity 0.
+    one product, so a single pass over the counts and one top-k suffice. Similarity is compared
+    at ``RANK_DECIMALS``; ties go to the smaller key. Documents sharing no weighted word have similarity 0.
     """
     counts = bucket_counts(docs, key, text, buckets)
     spark = docs.sparkSession
@@ -76,7 +80,7 @@ def nearest_text(docs: DataFrame, key: str, text: str, query: str, n: int = 3, b
     w = F.col("tf") * F.col("idf")
     per_doc = weighted.groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("_norm"), F.sum(w * F.col("q_weight")).alias("_dot"))
     both = F.col("_norm") * q_norm
-    similarity = F.round(F.when(both > 0, F.col("_dot") / both).otherwise(0.0), 6)
+    similarity = F.round(F.when(both > 0, F.col("_dot") / both).otherwise(0.0), RANK_DECIMALS)
     best = per_doc.select(key, similarity.alias("similarity")).orderBy(F.desc("similarity"), key).limit(n)
     return ranked(best, [F.desc("similarity"), F.col(key)])
 
@@ -111,10 +115,10 @@ def nearest_vectors(
 ) -> DataFrame:
     """The ``n`` rows nearest to a query vector, ``(key, distance, rank)``: one scan and one top-k.
 
-    Distances are compared at six decimals; ties go to the smaller key.
+    Distances are compared at ``RANK_DECIMALS``; ties go to the smaller key.
     """
     target = F.array(*[F.lit(float(v)) for v in query])
-    distance = F.round(METRICS[metric](F.col(vector), target), 6)
+    distance = F.round(METRICS[metric](F.col(vector), target), RANK_DECIMALS)
     best = corpus.select(key, distance.alias("distance")).where("distance IS NOT NULL")
     return ranked(best.orderBy("distance", key).limit(n), [F.col("distance"), F.col(key)])
 

@@ -49,9 +49,8 @@ def wafer_like_typed(m: Measurements, typed: str) -> Measurements:
 
 
 def yield_status(column: str = "yield", threshold: float = LOW_YIELD) -> Column:
-    """"low" strictly below the threshold, otherwise "ok"; NULL yields stay NULL."""
-    col = F.col(column)
-    return F.when(col < threshold, "low").when(col.isNotNull(), "ok")
+    """"low" strictly below the threshold, otherwise "ok"; a missing yield counts as 100, as in the diagnosis."""
+    return F.when(F.col(column) < threshold, "low").otherwise("ok")
 
 
 def zero_based(df: DataFrame) -> DataFrame:

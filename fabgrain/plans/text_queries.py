@@ -67,8 +67,8 @@ q AS (SELECT bucket, coalesce(count(w), 0) * any_value(idf) AS q_weight FROM wei
         SELECT unnest(string_split('{question}', ' ')) AS w) ON ('0x' || substr(md5(w), 1, 8))::BIGINT % 4096 = bucket GROUP BY bucket),
 d AS (SELECT {key}, sqrt(sum((tf * idf) ** 2)) AS norm, sum(tf * idf * q_weight) AS dot
       FROM counts JOIN weights USING (bucket) JOIN q USING (bucket) GROUP BY {key}),
-f AS (SELECT {key}, CASE WHEN norm > 0 THEN round(dot / (norm * (SELECT sqrt(sum(q_weight ** 2)) FROM q)), 6) ELSE 0 END AS similarity FROM d),
-best AS (SELECT {key}, similarity, row_number() OVER (ORDER BY similarity DESC, {key})::INTEGER AS rank FROM f ORDER BY rank LIMIT {n})"""
+f AS (SELECT {key}, CASE WHEN norm > 0 THEN round(dot / (norm * (SELECT sqrt(sum(q_weight ** 2)) FROM q)), 12) ELSE 0 END AS exact FROM d),
+best AS (SELECT {key}, round(exact, 6) AS similarity, row_number() OVER (ORDER BY exact DESC, {key})::INTEGER AS rank FROM f ORDER BY rank LIMIT {n})"""
 
 
 @query("r3_text_vectors", f"""
@@ -85,7 +85,7 @@ QUESTION = "of the one that is on the with and by"
 
 @query("r4_nearest_text", f"WITH {WORDS}, {similar_sql('doc_id', QUESTION, 3)} SELECT * FROM best")
 def _(spark, sf):
-    return retrieval.nearest_text(table(spark, sf, "documents"), "doc_id", "text", QUESTION)
+    return retrieval.nearest_text(table(spark, sf, "documents"), "doc_id", "text", QUESTION).withColumn("similarity", F.round("similarity", 6))
 
 
 def _first_vector(spark, sf):
@@ -95,13 +95,13 @@ def _first_vector(spark, sf):
 def _nearest_sql(distance: str) -> str:
     return f"""
 WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
-d AS (SELECT vec_id, round({distance}, 6) AS distance FROM embeddings, q)
-SELECT vec_id, distance, row_number() OVER (ORDER BY distance, vec_id)::INTEGER AS rank FROM d ORDER BY rank LIMIT 10"""
+d AS (SELECT vec_id, round({distance}, 12) AS exact FROM embeddings, q)
+SELECT vec_id, abs(round(exact, 6)) AS distance, row_number() OVER (ORDER BY exact, vec_id)::INTEGER AS rank FROM d ORDER BY rank LIMIT 10"""
 
 
 @query("r4_nearest_l2", _nearest_sql("list_distance(embedding::DOUBLE[], q::DOUBLE[])"))
 def _(spark, sf):
-    return retrieval.nearest_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", _first_vector(spark, sf), 10)
+    return retrieval.nearest_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", _first_vector(spark, sf), 10).withColumn("distance", F.round("distance", 6))
 
 
 @query("r4_nearest_cosine", _nearest_sql("1 - list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[])"))
@@ -109,7 +109,7 @@ def _(spark, sf):
     rows = retrieval.nearest_vectors(
         table(spark, sf, "embeddings"), "vec_id", "embedding", _first_vector(spark, sf), 10, metric="cosine"
     )
-    return rows.withColumn("distance", F.abs("distance"))
+    return rows.withColumn("distance", F.abs(F.round("distance", 6)))
 
 
 @query("r5_wafer_status", f"""
@@ -126,7 +126,7 @@ WITH {DOCUMENTS}, {words_sql('docs', 'id', 'document')}, {similar_sql('id', ISSU
 SELECT rank, id, document, similarity FROM best JOIN docs USING (id)""")
 def _(spark, sf):
     texts = keep(docs.status_documents(_summary(spark, sf)).select("id", "document"))
-    return retrieval.search(texts, ISSUE)
+    return retrieval.search(texts, ISSUE).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("r7_low_yield", f"""
