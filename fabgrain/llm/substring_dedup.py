@@ -167,8 +167,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     branching = paths.groupBy("anchor").agg(F.min("path_id").alias("a"), F.max("path_id").alias("b")).where("a <> b").select("anchor")
     straight = paths.where("first < last").join(branching, "anchor", "left_anti").select("anchor", "path_id", F.array("first").alias("firsts"))
     edges = durable(_edges(paths.join(branching, "anchor", "left_semi")))
-    sources = edges.groupBy("anchor", "edge").agg(F.min("first").alias("source"))
-    branched = edges.join(sources, ["anchor", "edge"]).groupBy("anchor", "path_id").agg(
+    # Stored, so that the join below shuffles both of its sides and Spark can split an edge that many paths have.
+    sources = durable(edges.groupBy("anchor", "edge").agg(F.min("first").alias("source")))
+    branched = edges.join(sources.hint("merge"), ["anchor", "edge"]).groupBy("anchor", "path_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "source"))), lambda s: s["source"]).alias("firsts"))
     resolved = straight.unionByName(branched)
     occurrences = stored.join(resolved, ["anchor", "path_id"]).where(F.array_min("firsts") < F.col("key"))
