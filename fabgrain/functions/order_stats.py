@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabgrain.functions.skew import BROADCAST_ROWS, attach, keep
+from fabgrain.functions.skew import attach, keep
 
 # Up to this many rows a group is sorted or counted within one task.
 HOT_ROWS = 1_000_000
@@ -54,12 +54,10 @@ def order_statistics(
         .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
         .withColumn("ranks", ranks(F.col("n")))
     )
-    number_large = groups.where(F.col("n") > hot_rows).count()
-    if not number_large:
-        return _numbered(vals, groups, keys)
     large = groups.where(F.col("n") > hot_rows)
-    names = large.select(*keys)
-    names = F.broadcast(names) if number_large <= BROADCAST_ROWS else names
+    if large.isEmpty():
+        return _numbered(vals, groups, keys)
+    names = large.select(*keys)  # stored, so its bytes decide whether it is broadcast
     found = [
         _numbered(vals.join(names, keys, "left_anti"), groups.where(F.col("n") <= hot_rows), keys),
         large.where("lo = hi").select(*keys, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("value")),

@@ -3,20 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fabgrain.session import durable
 
-# A summary row is a few keys and numbers, so this many rows stay in the tens of megabytes.
-BROADCAST_ROWS = 100_000
-# Rows of one key that a single task may join.
-TASK_ROWS = 5_000_000
-# Tasks that rows without a key spread over.
-KEYLESS_PARTS = 1024
-
 
 def keep(df: DataFrame) -> DataFrame:
     """Store a per-group summary that several later steps read, so that it is computed once.
@@ -27,36 +18,12 @@ def keep(df: DataFrame) -> DataFrame:
     return durable(df)
 
 
-def attach(
-    rows: DataFrame,
-    summary: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    limit_rows: int = BROADCAST_ROWS,
-    task_rows: int = TASK_ROWS,
-) -> DataFrame:
+def attach(rows: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join ``summary`` (one row per key) to ``rows``; ``how`` is "left" or "inner".
 
-    A summary of at most ``limit_rows`` rows, by count, is broadcast and ``rows`` are not shuffled.
-    Beyond that both sides are shuffled, with the rows of every key over ``task_rows`` spread: the
-    summary row of such a key is repeated once per share, and each partition of ``rows`` takes one
-    share. There are fewer such keys than ``limit_rows`` whatever the data, as none has less than a
-    ``limit_rows``-th of all rows. The share depends on the partition number alone, so a recomputed
-    task sends its rows where the lost one sent them.
+    Spark broadcasts the summary where its bytes are within ``spark.sql.autoBroadcastJoinThreshold``, as it knows them from
+    files or from the shuffle. Otherwise both sides are shuffled, and the adaptive skew join splits the rows of a hot
+    key, or of none, over several tasks. A summary made by grouping on the same keys should be stored with
+    :func:`keep` before: read from files, it leaves both sides of the join free to be split.
     """
-    on = list(on)
-    if summary.count() <= limit_rows:
-        return rows.join(F.broadcast(summary), on, how)
-    many = max(task_rows, rows.count() // limit_rows)
-    hot = durable(
-        rows.groupBy(*on).count().where(F.col("count") > many).select(*on, F.ceil(F.col("count") / many).cast("int").alias("_shares"))
-    )
-    if hot.isEmpty():
-        return rows.join(summary, on, how)
-    part = F.spark_partition_id()
-    keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    share = F.when(keyless, F.pmod(part, F.lit(KEYLESS_PARTS))).otherwise(F.pmod(part, F.coalesce("_shares", F.lit(1))))
-    spread = rows.join(F.broadcast(hot), on, "left").withColumn("_share", share).drop("_shares")
-    shares = F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))
-    repeated = summary.join(F.broadcast(hot), on, "left").withColumn("_share", shares).drop("_shares")
-    return spread.join(repeated, [*on, "_share"], how).drop("_share")
+    return rows.join(summary, list(on), how)

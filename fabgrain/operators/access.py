@@ -106,9 +106,26 @@ def insert_absent(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return target.unionByName(once, allowMissingColumns=True)
 
 
-def update_by_key(df: DataFrame, key: str, column: str, updates: DataFrame) -> DataFrame:
-    """Set ``column`` where ``updates`` (``key``, ``new_value``) names the key; other rows stay."""
-    joined = attach(df, updates.select(key, "new_value"), [key])
+def merge_changes(changes: DataFrame, key: str, columns: Sequence[str], version: str | None = None) -> DataFrame:
+    """One row per key with the last non-null value of each column by ``version``.
+
+    Equal versions, or none, leave the largest value. A NULL key names no row. An often repeated key is merged before
+    the shuffle.
+    """
+    def last(c: str) -> Column:
+        if version is None:
+            return F.max(c).alias(c)
+        return F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(version).alias("v"), F.col(c).alias("c"))))["c"].alias(c)
+
+    return changes.dropna(subset=[key]).groupBy(key).agg(*map(last, columns))
+
+
+def update_by_key(df: DataFrame, key: str, column: str, updates: DataFrame, version: str | None = None) -> DataFrame:
+    """Set ``column`` where ``updates`` (``key``, ``new_value``) names the key; other rows stay.
+
+    Of several updates of one key the last by ``version`` counts, see :func:`merge_changes`.
+    """
+    joined = attach(df, merge_changes(updates, key, ["new_value"], version), [key])
     return joined.withColumn(column, F.coalesce("new_value", column)).select(*df.columns)
 
 
@@ -179,9 +196,10 @@ def keys_exist(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(present, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def apply_changes(df: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Overwrite ``columns`` with the non-null values of the change row of the same key."""
-    renamed = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+def apply_changes(df: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], version: str | None = None) -> DataFrame:
+    """Overwrite ``columns`` with the non-null values of the changes of the same key, see :func:`merge_changes`."""
+    merged = merge_changes(changes, key, columns, version)
+    renamed = merged.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = df.join(renamed, key, "left")
     return joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).select(*df.columns)
 

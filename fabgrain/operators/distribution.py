@@ -126,15 +126,13 @@ def die_coverage(df: DataFrame, grid: int = GRID) -> DataFrame:
 def missing_dies(df: DataFrame, grid: int = GRID) -> DataFrame:
     """Positions on the wafer that a wafer and parameter has no row for.
 
-    Wafers are far fewer than rows; each gets the grid as an array of fixed length.
+    The places of a wafer are one set, of at most the grid's size; what the grid has beyond it is unfolded.
     """
     keys = ["lot_id", "wafer_id", "parameter"]
-    spots = with_keys(df, [*keys, "x", "y"]).select(*keys, "x", "y").distinct()
-    places = F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1)))
-    wanted = (
-        spots.select(*keys).distinct()
-        .withColumn("_place", places)
-        .select(*keys, (F.col("_place") % grid + 1).cast("long").alias("x"), (F.floor(F.col("_place") / grid) + 1).cast("long").alias("y"))
-        .where(centre_distance(grid) <= RADIUS_SHARE * grid)
-    )
-    return wanted.join(spots, [*keys, "x", "y"], "left_anti")
+    on_grid = F.col("x").between(1, grid) & F.col("y").between(1, grid)
+    place = ((F.col("y") - 1) * grid + F.col("x") - 1).cast("int")
+    centre, reach = (grid - 1) / 2, (RADIUS_SHARE * grid) ** 2
+    on_wafer = [p for p in range(grid * grid) if (p % grid - centre) ** 2 + (p // grid - centre) ** 2 <= reach]
+    measured = with_keys(df, [*keys, "x", "y"]).groupBy(*keys).agg(F.collect_set(F.when(on_grid, place)).alias("_places"))
+    missing = measured.select(*keys, F.explode(F.array_except(F.lit(on_wafer), "_places")).alias("_place"))
+    return missing.select(*keys, (F.col("_place") % grid + 1).cast("long").alias("x"), (F.floor(F.col("_place") / grid) + 1).cast("long").alias("y"))

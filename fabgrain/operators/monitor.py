@@ -96,11 +96,16 @@ def sliding(
         raise ValueError("the window length must be a multiple of the step")
     at_step = F.window(ts, f"{step} seconds")["start"].alias("_step")
     counted = df.groupBy(*keys, at_step).agg(*[c.alias(n) for n, c in measures.items()])
+    return _over_windows(counted, keys, list(measures), length, step)
+
+
+def _over_windows(counted: DataFrame, keys: Sequence[str], names: Sequence[str], length: int, step: int) -> DataFrame:
+    """Sums over sliding windows of what was counted per step, in rows ``(*keys, _step, *names)``."""
     starts = F.sequence(F.col("_step") - seconds(length - step), F.col("_step"), seconds(step))
     return (
         counted.withColumn("window_start", F.explode(starts))
         .groupBy(*keys, "window_start")
-        .agg(*[F.sum(n).alias(n) for n in measures])
+        .agg(*[F.sum(n).alias(n) for n in names])
         .withColumn("window_end", F.col("window_start") + seconds(length))
     )
 
@@ -200,39 +205,44 @@ def down_periods(
 
 def counter_rate(
     samples: DataFrame, keys: Sequence[str], value: str, order: Sequence[str] = ("ts",), length: int = RATE_SECONDS,
-    threshold: float = BUSY_RATE, parts: int = 60, ts: str = "ts",
+    step: int = EVALUATION_SECONDS, threshold: float = BUSY_RATE, ts: str = "ts",
 ) -> DataFrame:
-    """Increase per second of a counter within tumbling windows; a drop counts as a restart from 0.
+    """Increase per second of a counter over sliding windows; a drop counts as a restart from 0.
 
-    Only differences between samples of the same window count. A window is worked off in ``parts``
-    time slices, whose first and last samples are then joined up.
+    Each sample's increase over the one before it counts at the sample's time, whichever windows the two lie in; the
+    first sample of a counter has none. Rates are not extrapolated to the window's borders. Samples are worked off in
+    evaluation steps; the second ordering, over one row per step, joins a step's first sample to the last one before.
     """
-    keys = [*keys, "window_start"]
-    part = F.floor(micros(samples, ts) / max(1, length * SECOND // parts))
-    placed = samples.withColumns({"window_start": F.window(ts, f"{length} seconds")["start"], "_part": part})
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    keys = list(keys)
+    placed = samples.withColumn("_step", F.window(ts, f"{step} seconds")["start"])
+    inside = Window.partitionBy(*keys, "_step").orderBy(*order)
     now, before = F.col(value), F.lag(value).over(inside)
-    grown = F.when(before.isNull(), 0.0).when(now < before, now).otherwise(now - before)
     place = F.struct(*order)
-    slices = (
-        placed.withColumn("_grown", grown)
-        .groupBy(*keys, "_part")
+    steps = (
+        placed.withColumn("_grown", _growth(now, before))
+        .groupBy(*keys, "_step")
         .agg(
-            F.sum("_grown").alias("_grown"), F.count("*").alias("_n"),
+            F.sum("_grown").alias("_grown"), F.count("*").alias("samples"),
             F.min_by(value, place).alias("_first"), F.max_by(value, place).alias("_last"),
         )
     )
-    previous = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_part"))
-    step = F.when(previous.isNull(), 0.0).when(F.col("_first") < previous, F.col("_first")).otherwise(F.col("_first") - previous)
+    previous = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_step"))
+    counted = steps.select(*keys, "_step", (F.col("_grown") + _growth(F.col("_first"), previous)).alias("increase"), "samples")
     rate = F.col("increase") / length
-    return (
-        slices.withColumn("_step", step)
-        .groupBy(*keys)
-        .agg(F.sum(F.col("_grown") + F.col("_step")).alias("increase"), F.sum("_n").alias("samples"))
-        .withColumn("window_end", F.col("window_start") + seconds(length))
-        .withColumn("rate", rate)
-        .withColumn("active", rate > threshold)
-    )
+    return _over_windows(counted, keys, ["increase", "samples"], length, step).withColumn("rate", rate).withColumn("active", rate > threshold)
+
+
+def _growth(now: Column, before: Column) -> Column:
+    """Increase of a counter from one sample to the next."""
+    return F.when(before.isNull(), 0.0).when(now < before, now).otherwise(now - before)
+
+
+def busy_alerts(
+    samples: DataFrame, keys: Sequence[str], value: str, order: Sequence[str] = ("ts",), length: int = RATE_SECONDS,
+    step: int = EVALUATION_SECONDS, threshold: float = BUSY_RATE, hold: int = BUSY_HOLD_SECONDS, ts: str = "ts",
+) -> DataFrame:
+    """Alerts of counters whose rate exceeded the threshold at every step for ``hold`` seconds."""
+    return held_alerts(counter_rate(samples, keys, value, order, length, step, threshold, ts), keys, hold, step)
 
 
 def callers_over_limit(

@@ -109,6 +109,18 @@ def page(df: DataFrame, order: Sequence[Column], number: int = 1, limit: int = P
     return deep_page(df, order, (number - 1) * limit, number * limit)
 
 
+def page_of(
+    m: Measurements, number: int = 1, limit: int = PAGE_ROWS, sort_by: str = "wafer_id", direction: str = "asc",
+    tie: Sequence[str] = tuple(DIE_KEYS), shallow_rows: int = SHALLOW_ROWS,
+) -> DataFrame:
+    """One page of measurements; a product kept per lot joins the rows of the page, unless the order needs it."""
+    late = m.lots is not None and sort_by != "product_id"
+    rows = m.frame(*[c for c in m.available() if not (late and c == "product_id")])
+    order = sort_order(rows, sort_by, direction, tie)
+    chosen = page(rows, order, number, limit, shallow_rows)
+    return attach(chosen, m.lots, ["lot_id"]).orderBy(*order) if late else chosen
+
+
 def deep_page(df: DataFrame, order: Sequence[Column], start: int, end: int) -> DataFrame:
     """Rows ``[start, end)`` of the order, without gathering the rows before them.
 
@@ -159,13 +171,17 @@ def report(
     direction: str = "asc",
     tie: Sequence[str] = tuple(DIE_KEYS),
 ) -> DataFrame:
-    """One page of filtered, sorted rows with ``total``, ``page`` and ``page_limit`` on each row."""
-    rows = optional_filters(m, product_id, lot_id, wafer_id).frame()
-    total = rows.agg(F.count("*").alias("total"))
-    chosen = page(rows, sort_order(rows, sort_by, direction, tie), number, limit)
-    return report_columns(chosen).select(
-        "*", total.scalar().alias("total"), F.lit(number).alias("page"), F.lit(limit).alias("page_limit")
-    )
+    """One page of filtered, sorted rows with ``total``, ``page`` and ``page_limit`` on each row.
+
+    A page without rows is one row of these three, with NULL in all other columns.
+    """
+    kept = optional_filters(m, product_id, lot_id, wafer_id)
+    total = kept.frame("lot_id").agg(F.count("*").alias("total"))
+    chosen = report_columns(page_of(kept, number, limit, sort_by, direction, tie))
+    envelope = [F.lit(number).alias("page"), F.lit(limit).alias("page_limit")]
+    none = [F.lit(None).cast(t).alias(c) for c, t in chosen.dtypes]
+    empty = total.where(F.col("total") <= (number - 1) * limit).select(*none, "total", *envelope)
+    return chosen.select("*", total.scalar().alias("total"), *envelope).unionByName(empty)
 
 
 def page_links(total: DataFrame, limit: int = PAGE_ROWS) -> DataFrame:

@@ -27,14 +27,18 @@ def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(keys))
 
 
-def catalogue(df: DataFrame) -> DataFrame:
+def catalogue(df: DataFrame, lots: DataFrame | None = None) -> DataFrame:
     """Distinct products, lots, wafers and parameters as rows ``(dimension, id)``, in order.
 
-    Distinct combinations are taken first, so only those are unfolded and not every row.
+    Distinct combinations are taken first, so only those are unfolded and not every row. Where ``lots`` (one row per lot)
+    has the product, it joins the combinations.
     """
-    present = {name: c for name, c in DIMENSIONS.items() if c in df.columns}
+    stored = [c for c in DIMENSIONS.values() if c in df.columns and not (lots is not None and c == "product_id")]
+    combinations = df.select(*stored).distinct()
+    if lots is not None:
+        combinations = attach(combinations, lots.select("lot_id", "product_id"), ["lot_id"])
+    present = {name: c for name, c in DIMENSIONS.items() if c in combinations.columns}
     entries = F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(c).alias("id")) for n, c in present.items()])
-    combinations = df.select(*present.values()).distinct()
     return combinations.select(F.inline(entries)).where("id IS NOT NULL").distinct().orderBy("dimension", "id")
 
 

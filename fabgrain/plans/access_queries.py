@@ -164,6 +164,23 @@ def _(spark, sf):
     return shown(access.apply_changes(users(spark, sf), _changes(spark, sf), "id", ["email", "name"]), "group_id")
 
 
+@query("j11_repeated_changes", f"""
+WITH {USERS},
+raw AS (SELECT o_custkey * 2 AS id, o_orderkey AS version, CASE WHEN o_orderkey % 2 = 0 THEN 'new-' || o_orderkey || '@example.com' END AS email,
+               CASE WHEN o_orderpriority < '3' THEN o_orderpriority END AS name FROM orders),
+c AS (SELECT id, arg_max(email, version) FILTER (email IS NOT NULL) AS email, arg_max(name, version) FILTER (name IS NOT NULL) AS name FROM raw GROUP BY id)
+SELECT u.id, username, coalesce(c.email, u.email) AS email, coalesce(c.name, u.name) AS name, user_group, coalesce(group_id, -1) AS group_id
+FROM users u LEFT JOIN c USING (id)""")
+def _(spark, sf):
+    order = F.col("o_orderkey")
+    raw = table(spark, sf, "orders").select(
+        (F.col("o_custkey") * 2).alias("id"), order.alias("version"),
+        F.when(order % 2 == 0, F.concat(F.lit("new-"), order.cast("string"), F.lit("@example.com"))).alias("email"),
+        F.when(F.col("o_orderpriority") < "3", F.col("o_orderpriority")).alias("name"),
+    )
+    return shown(access.apply_changes(users(spark, sf), raw, "id", ["email", "name"], "version"), "group_id")
+
+
 @query("j11_unmatched", f"WITH {USERS}, {CHANGES} SELECT * FROM changes WHERE id NOT IN (SELECT id FROM users)")
 def _(spark, sf):
     return access.unmatched_changes(users(spark, sf), _changes(spark, sf), "id")

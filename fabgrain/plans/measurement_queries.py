@@ -99,10 +99,19 @@ def _(spark, sf):
     return tables.ingest_if_empty(incoming.where("id IS NULL"), incoming)
 
 
+@query("s6_ingest_if_empty_keeps", "SELECT c_custkey AS id, c_name AS document FROM customer WHERE c_acctbal < 5000")
+def _(spark, sf):
+    customer = table(spark, sf, "customer")
+    stored = customer.where("c_acctbal < 5000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("document"))
+    return tables.ingest_if_empty(stored, customer.select(F.col("c_custkey").alias("id"), F.lit("new").alias("document")))
+
+
 @query("s7_json", from_m("""
-SELECT to_json({'lot_id': lot_id, 'wafer_id': wafer_id, 'parameter': parameter, 'x': x, 'y': y, 'yield': yield})::VARCHAR AS record FROM m"""))
+SELECT to_json({'product_id': product_id, 'lot_id': lot_id, 'wafer_id': wafer_id, 'parameter': parameter, 'x': x, 'y': y, 'value': value / 100,
+                'yield': yield})::VARCHAR AS record FROM m"""))
 def _(spark, sf):
-    rows = measurements(spark, sf).frame("lot_id", "wafer_id", "parameter", "x", "y", "yield")
+    # whole units of money, as engines write large numbers in several ways
+    rows = measurements(spark, sf).frame().withColumn("value", F.col("value") / 100)
     return tables.json_records(rows)
 
 
@@ -167,7 +176,7 @@ def _(spark, sf):
 SELECT 'product' AS dimension, product_id AS id FROM m WHERE product_id IS NOT NULL UNION SELECT 'lot', lot_id FROM m
 UNION SELECT 'wafer', wafer_id FROM m UNION SELECT 'parameter', parameter FROM m"""))
 def _(spark, sf):
-    return summ.catalogue(measurements(spark, sf).frame("product_id", "lot_id", "wafer_id", "parameter"))
+    return summ.catalogue(measurements(spark, sf).frame("lot_id", "wafer_id", "parameter"), lots(spark, sf))
 
 
 @query("a2_wafer_map", from_m("""
@@ -214,6 +223,12 @@ def _(spark, sf):
     return summ.lot_yield(measurements(spark, sf).frame("lot_id", "yield"), lots(spark, sf))
 
 
+@query("a7_lot_yield_of_product", from_m("""
+SELECT lot_id, avg(yield) AS yield, min(product_id) AS product_id FROM m WHERE product_id = 'PRD-3' GROUP BY lot_id"""))
+def _(spark, sf):
+    return summ.lot_yield(measurements(spark, sf).where(product_id="PRD-3").frame("lot_id", "yield", "product_id"))
+
+
 @query("a7_lot_yield_by_wafer", from_m("""
 , w AS (SELECT lot_id, wafer_id, avg(yield) AS yield, min(product_id) AS product_id FROM m GROUP BY ALL)
 SELECT lot_id, round(avg(yield), 6) AS yield, min(product_id) AS product_id FROM w GROUP BY lot_id"""))
@@ -239,6 +254,15 @@ def _(spark, sf):
     return rows.withColumn("std", F.round("std", 2))
 
 
+@query("a9_status_one_yield", from_m("""
+SELECT lot_id, wafer_id, parameter, avg(value) AS mean, round(stddev_samp(value), 2) AS std, min(value) AS min, max(value) AS max,
+       max(yield) AS yield
+FROM m GROUP BY ALL"""))
+def _(spark, sf):
+    rows = summ.status_summary(measurements(spark, sf).frame("lot_id", "wafer_id", "parameter", "value", "yield"))
+    return rows.withColumn("std", F.round("std", 2))
+
+
 @query("a10_total", from_m("SELECT count(*) AS total FROM m WHERE wafer_id = 'W05'"))
 def _(spark, sf):
     return summ.row_total(sel.optional_filters(measurements(spark, sf), wafer_id="W05").frame("wafer_id"))
@@ -338,14 +362,13 @@ def _(spark, sf):
 
 
 @query("c6_missing_dies", from_m(f"""
-, spots AS (SELECT DISTINCT lot_id, wafer_id, x, y FROM m),
+, spots AS (SELECT DISTINCT lot_id, wafer_id, parameter, x, y FROM m),
 grid AS (SELECT a.i AS x, b.i AS y FROM range(1, 31) a(i), range(1, 31) b(i)),
-wafers AS (SELECT DISTINCT lot_id, wafer_id FROM m)
-SELECT lot_id, wafer_id, 'any' AS parameter, x, y FROM wafers, grid WHERE {ON_WAFER}
-EXCEPT SELECT lot_id, wafer_id, 'any', x, y FROM spots"""))
+wafers AS (SELECT DISTINCT lot_id, wafer_id, parameter FROM m)
+SELECT lot_id, wafer_id, parameter, x, y FROM wafers, grid WHERE {ON_WAFER}
+EXCEPT SELECT lot_id, wafer_id, parameter, x, y FROM spots"""))
 def _(spark, sf):
-    rows = measurements(spark, sf).frame("lot_id", "wafer_id", "x", "y").withColumn("parameter", F.lit("any"))
-    return dist.missing_dies(rows)
+    return dist.missing_dies(measurements(spark, sf).frame("lot_id", "wafer_id", "parameter", "x", "y"))
 
 
 # --- order and paging
@@ -363,14 +386,12 @@ ORDER BY value DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 100 OF
 
 @query("l2_page", PAGE_SQL.format(offset=200))
 def _(spark, sf):
-    rows = measurements(spark, sf, ROW_KEY).frame()
-    return sel.report_columns(sel.page(rows, sel.sort_order(rows, "value", "desc", ROW_KEY), number=3))
+    return sel.report_columns(sel.page_of(measurements(spark, sf, ROW_KEY), 3, 100, "value", "desc", ROW_KEY))
 
 
 @query("l2_deep_page", PAGE_SQL.format(offset=5000))
 def _(spark, sf):
-    rows = measurements(spark, sf, ROW_KEY).frame()
-    return sel.report_columns(sel.page(rows, sel.sort_order(rows, "value", "desc", ROW_KEY), number=51, shallow_rows=1000))
+    return sel.report_columns(sel.page_of(measurements(spark, sf, ROW_KEY), 51, 100, "value", "desc", ROW_KEY, shallow_rows=1000))
 
 
 @query("l2_next_page", from_m("""
@@ -390,6 +411,13 @@ def _(spark, sf):
     )
 
 
+@query("l3_report_empty", from_m("""
+SELECT NULL::VARCHAR AS product_id, NULL::VARCHAR AS lot_id, NULL::VARCHAR AS wafer_id, NULL::VARCHAR AS parameter, NULL::BIGINT AS x, NULL::BIGINT AS y,
+       NULL::DOUBLE AS value, count(*) AS total, 1000000000 AS page, 50 AS page_limit FROM m WHERE product_id = 'PRD-3'"""))
+def _(spark, sf):
+    return sel.report(measurements(spark, sf, ROW_KEY), number=10**9, limit=50, product_id="PRD-3", tie=ROW_KEY)
+
+
 @query("l4_top_lots", from_m("""
 SELECT lot_id, avg(yield) AS yield, min(product_id) AS product_id FROM m GROUP BY lot_id ORDER BY lot_id DESC LIMIT 25"""))
 def _(spark, sf):

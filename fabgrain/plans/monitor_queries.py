@@ -118,18 +118,33 @@ def _(spark, sf):
     return mon.down_periods(requests(spark, sf), ["caller"], 12 * HOUR, as_of)
 
 
-@query("t6_counter_rate", """
-WITH v AS (SELECT event_id, ts, event_type AS service, time_bucket(INTERVAL 1 DAY, ts) AS window_start, round(value * 100) AS counter FROM events),
-d AS (SELECT *, lag(counter) OVER (PARTITION BY service, window_start ORDER BY ts, event_id) AS before FROM v),
-r AS (SELECT service, window_start, count(*) AS samples,
-             sum(CASE WHEN before IS NULL THEN 0 WHEN counter < before THEN counter ELSE counter - before END) AS increase FROM d GROUP BY ALL)
-SELECT service, window_start, window_start + INTERVAL 1 DAY AS window_end, increase, samples, increase / 86400 AS rate, increase / 86400 > 3 AS active
-FROM r""")
-def _(spark, sf):
+T6_SQL = """
+WITH v AS (SELECT event_id, ts, event_type AS service, round(value * 100) AS counter FROM events),
+d AS (SELECT *, time_bucket(INTERVAL '6 hours', ts) AS st, lag(counter) OVER (PARTITION BY service ORDER BY ts, event_id) AS before FROM v),
+r AS (SELECT service, st, count(*) AS samples,
+             sum(CASE WHEN before IS NULL THEN 0 WHEN counter < before THEN counter ELSE counter - before END) AS increase FROM d GROUP BY ALL),
+w AS (SELECT service, st - to_hours(k * 6) AS window_start, st - to_hours(k * 6) + to_hours(24) AS window_end, sum(increase) AS increase,
+             sum(samples)::BIGINT AS samples FROM r, range(4) AS g(k) GROUP BY ALL)"""
+
+
+def _samples(spark, sf) -> DataFrame:
     # whole numbers, so that sums do not depend on the order of addition
     counter = F.rint(F.col("value") * 100).alias("counter")
-    samples = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("service"), counter)
-    return mon.counter_rate(samples, ["service"], "counter", ["ts", "event_id"], DAY, threshold=3.0)
+    return table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("service"), counter)
+
+
+@query("t6_counter_rate", T6_SQL + " SELECT *, increase / 86400 AS rate, increase / 86400 > 3 AS active FROM w")
+def _(spark, sf):
+    return mon.counter_rate(_samples(spark, sf), ["service"], "counter", ["ts", "event_id"], DAY, 6 * HOUR, threshold=3.0)
+
+
+@query("t6_held", T6_SQL + """
+, a AS (SELECT service, window_end AS w_end, window_end - to_hours((6 * row_number() OVER (PARTITION BY service ORDER BY window_end))::INTEGER) AS island
+        FROM w WHERE increase / 86400 > 3),
+i AS (SELECT service, min(w_end) AS active_from, max(w_end) AS active_until FROM a GROUP BY service, island)
+SELECT service, active_from, active_from + to_hours(12) AS fires_at, active_until FROM i WHERE active_until >= active_from + to_hours(12)""")
+def _(spark, sf):
+    return mon.busy_alerts(_samples(spark, sf), ["service"], "counter", ["ts", "event_id"], DAY, 6 * HOUR, 3.0, 12 * HOUR)
 
 
 @query("t7_callers_over_limit", """

@@ -52,26 +52,31 @@ class Measurements:
 
     def where(self, **equal: str | None) -> Measurements:
         """Equality filters on measurement columns; a missing or empty value filters nothing."""
-        source, lots = self.source, self.lots
+        source, lots, product = self.source, self.lots, None
         for name, value in equal.items():
             if value in (None, ""):
                 continue
             if name == "product_id" and lots is not None:
-                lots = lots.where(F.col("product_id") == value)
+                product = value
             else:
                 test = self.locate.get(name, lambda v, c=self.columns[name]: c == F.lit(v))
                 source = source.where(test(value))
-        kept = replace(self, source=source, lots=lots)
-        return kept if lots is self.lots else kept._of_kept_lots()
+        kept = replace(self, source=source)
+        return kept if product is None else kept._of_product(product)
 
-    def _of_kept_lots(self) -> Measurements:
+    def _of_product(self, product: str) -> Measurements:
+        """Rows of the product's lots; one join, as the product of the rows left is known."""
         tagged = self.source.withColumn("lot_id", self.columns["lot_id"])
-        kept = attach(tagged, self.lots.select("lot_id"), ["lot_id"], "inner")
-        return replace(self, source=kept, columns={**self.columns, "lot_id": F.col("lot_id")})
+        kept = attach(tagged, self.lots.where(F.col("product_id") == product).select("lot_id"), ["lot_id"], "inner")
+        return replace(self, source=kept, lots=None, columns={**self.columns, "lot_id": F.col("lot_id"), "product_id": F.lit(product)})
+
+    def available(self) -> tuple[str, ...]:
+        """The measurement columns this table can give."""
+        return tuple(n for n in COLUMNS if n in self.columns or n == "product_id" and self.lots is not None)
 
     def frame(self, *names: str) -> DataFrame:
         """The named measurement columns (all by default); nothing else is read."""
-        names = names or tuple(n for n in COLUMNS if n in self.columns or self.lots is not None)
+        names = names or self.available()
         from_lots = self.lots is not None and "product_id" in names
         needed = [n for n in names if not (from_lots and n == "product_id")]
         if from_lots and "lot_id" not in needed:

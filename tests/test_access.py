@@ -105,4 +105,9 @@ def test_lookups_and_changes(seed, spark):
     emails = {r.id: r.email for r in access.apply_changes(users, changes, "id", ["email"]).collect()}
     assert emails == {1: "a@x", 2: "d@x", 3: None, 4: "new@x", 5: "l@x"}
     assert rows_of(access.unmatched_changes(users, changes, "id")) == [(42, "no@x")]
+    several = spark.createDataFrame([(1, 2, None), (1, 1, "old@x"), (4, 1, "z@x"), (4, 2, "b@x"), (None, 1, "n@x")], "id int, v int, email string")
+    emails = rows_of(access.apply_changes(users, several, "id", ["email"], "v").select("id", "email"))
+    assert emails == [(1, "old@x"), (2, "d@x"), (3, None), (4, "b@x"), (5, "l@x")]
+    twice = several.select("id", "v", F.col("email").alias("new_value"))
+    assert rows_of(access.update_by_key(users, "id", "email", twice, "v").select("id", "email")) == emails
     assert {r.id for r in access.delete_keys(users, changes, "id").collect()} == {2, 3, 5}

@@ -104,13 +104,23 @@ def test_down_periods(spark):
     assert rows_of(mon.down_periods(df, ["caller"]), "caller", "down_from") == [("a", at(100)), ("a", at(699))]
 
 
-@pytest.mark.parametrize("parts", [1, 7, 300])
-def test_counter_rate_survives_restarts(spark, parts):
+@pytest.mark.parametrize("step", [15, 60, 300])
+def test_counter_rate_survives_restarts_and_crosses_windows(spark, step):
     samples = [(0, 100.0), (60, 160.0), (61, 170.0), (120, 5.0), (180, 25.0), (299, 25.0), (300, 1000.0), (310, 1300.0)]
     df = spark.createDataFrame([("p", at(t), v) for t, v in samples], "process string, ts timestamp, cpu double")
-    got = mon.counter_rate(df, ["process"], "cpu", parts=parts).orderBy("window_start").collect()
-    assert [(r.increase, r.samples, r.active) for r in got] == [(70 + 5 + 20, 6, False), (300, 2, True)]
-    assert got[0].rate == pytest.approx(95 / 300)
+    got = {r.window_start: r for r in mon.counter_rate(df, ["process"], "cpu", step=step).collect()}
+    first, second = got[at(0)], got[at(300)]
+    assert (first.increase, first.samples, first.active) == (70 + 5 + 20, 6, False) and first.rate == pytest.approx(95 / 300)
+    assert (second.increase, second.samples, second.active) == (975 + 300, 2, True)
+
+
+@pytest.mark.parametrize("rate, fires", [(0.82, True), (0.78, False)])
+def test_busy_alert_needs_the_rate_for_ten_minutes(spark, rate, fires):
+    df = spark.createDataFrame([("p", at(t), t * rate) for t in range(0, 1801, 15)], "process string, ts timestamp, cpu double")
+    got = mon.busy_alerts(df, ["process"], "cpu").collect()
+    assert [r.fires_at - r.active_from for r in got] == ([timedelta(seconds=600)] if fires else [])
+    short = df.where(F.col("ts") < F.lit(at(800)))
+    assert mon.busy_alerts(short, ["process"], "cpu").collect() == []
 
 
 def test_fixed_window_limit_is_strict(spark):

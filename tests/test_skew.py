@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fabgrain.functions.order_stats import order_statistics, quantiles
-from fabgrain.functions.skew import attach
+from fabgrain.functions.skew import attach, keep
 from fabgrain.operators.distribution import cdf_ranks, empirical_cdf
 from fabgrain.operators.select import deep_page, page, sort_order
 from fabgrain.operators.summary import box_plot
@@ -16,30 +16,29 @@ def rows_of(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_attach_gives_the_same_rows_however_it_joins(spark, how):
-    key = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 10 == 1, F.lit(None)).otherwise(F.col("id") % 11)
-    rows = spark.range(0, 2000, numPartitions=16).select(F.col("id").alias("v"), key.cast("int").alias("k"))
-    summary = spark.createDataFrame([(k, k * 10) for k in range(9)], "k int, s int")
-    plain = rows_of(rows.join(summary, ["k"], how))
-    assert rows_of(attach(rows, summary, ["k"], how)) == plain
-    assert rows_of(attach(rows, summary, ["k"], how, limit_rows=5, task_rows=50)) == plain
-    assert rows_of(attach(rows, summary, ["k"], how, limit_rows=5, task_rows=10**9)) == plain
-
-
-def test_attach_spreads_a_hot_key(spark):
-    rows = spark.range(0, 4000, numPartitions=16).select(F.col("id").alias("v"), F.lit(1).alias("k"))
-    summary = spark.createDataFrame([(k, k) for k in range(8)], "k int, s int")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_attach_splits_a_hot_key_and_rows_without_one(spark):
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id") % 11)
+    rows = spark.range(0, 60000, numPartitions=16).select(F.col("id").alias("v"), key.cast("int").alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("t"))
+    summary = keep(spark.createDataFrame([(k, k * 10) for k in range(9)], "k int, s int"))
+    plain = {how: rows_of(rows.join(F.broadcast(summary), "k", how).select("v", "s")) for how in ("left", "inner")}
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
     try:
-        joined = attach(rows, summary, ["k"], limit_rows=4, task_rows=250)
-        per_task = joined.groupBy(F.spark_partition_id()).count().collect()
+        for how in ("left", "inner"):
+            joined = attach(rows, summary, ["k"], how).select("v", "s", F.length("t").alias("n"), F.spark_partition_id().alias("task"))
+            got = joined.collect()
+            assert sorted([(r.v, r.s) for r in got], key=str) == plain[how]
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+            assert len({r.task for r in got if r.s == 70}) > 1
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert sum(r[1] for r in per_task) == 4000
-    assert len(per_task) > 1
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def skewed_values(spark):
