@@ -76,6 +76,13 @@ def batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 2000) -> Itera
         yield record(schema, list(zip(*held, strict=True)))
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until ``docs`` has no column of it."""
+    taken = {c.lower() for c in docs.columns}
+    longest = max(map(len, taken), default=0)
+    return [n if n.lower() not in taken else n + "_" * longest for n in names]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabgrain.llm.common import record, strings, text_or_empty
+from fabgrain.llm.common import free_names, record, strings, text_or_empty
 from fabgrain.session import durable
 
 CHUNK = 1 << 16
@@ -181,11 +181,12 @@ def _arrow(kind):
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay, with all their columns; a group that loses no row is not looked at again."""
     verdicts = groups(docs, key, text)
+    own, k, sha = free_names(docs, "_sha0", "_k", "_sha")
     several = verdicts.where("group_size > 1")
-    gone = several.where(~F.col("kept")).select(F.col(key).alias("_k"), F.col("text_sha256").alias("_sha")).distinct()
-    tied = several.where("kept").select(F.col(key).alias("_k"), F.col("text_sha256").alias("_sha")).join(gone, ["_k", "_sha"], "left_semi")
-    marked = docs.withColumn("_sha0", F.sha2(F.encode(text_or_empty(text), "utf-8"), 256))
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_sha0") == F.col("_sha"))
-    rest = marked.join(gone, same, "left_anti").drop("_sha0")
-    once = marked.join(tied, same, "left_semi").dropDuplicates([key, "_sha0"]).drop("_sha0")
+    gone = several.where(~F.col("kept")).select(F.col(key).alias(k), F.col("text_sha256").alias(sha)).distinct()
+    tied = several.where("kept").select(F.col(key).alias(k), F.col("text_sha256").alias(sha)).join(gone, [k, sha], "left_semi")
+    marked = docs.withColumn(own, F.sha2(F.encode(text_or_empty(text), "utf-8"), 256))
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.col(own) == F.col(sha))
+    rest = marked.join(gone, same, "left_anti").drop(own)
+    once = marked.join(tied, same, "left_semi").dropDuplicates([key, own]).drop(own)
     return rest.unionByName(once)

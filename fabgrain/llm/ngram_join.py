@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fabgrain.llm import repeated
-from fabgrain.llm.common import hashed, mixed, record, strings, windows
+from fabgrain.llm.common import free_names, hashed, mixed, record, strings, windows
 from fabgrain.llm.components import components
 from fabgrain.session import durable
 
@@ -307,5 +307,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs`` without those whose group has a smaller key, with all their columns."""
-    gone = near_duplicates(docs, key, text, percent).where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    (name,) = free_names(docs, "_gone")
+    gone = near_duplicates(docs, key, text, percent).where(F.col("component_id") < F.col(key)).select(F.col(key).alias(name)).distinct()
+    return docs.join(gone, F.col(key) == F.col(name), "left_anti")

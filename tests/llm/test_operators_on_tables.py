@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from fabgrain.llm import byte_bpe, components, compression_rules, exact_dedup, ngram_join, packing, quality_cnn, secret_scan, substring_dedup, token_store, warc
 from fabgrain.session import new_path
@@ -168,3 +169,22 @@ def test_archives(spark):
     empty = new_path(spark, "warc")
     warc.write_archives(pages.limit(0), empty)
     assert warc.payload_table(spark, empty).count() == 0
+
+
+def test_filters_keep_columns_whose_names_the_operators_use_too(spark, odd_docs):
+    taken = ["_gone", "_k", "_sha", "_SHA0", "key", "note", "size", "kept", "component_id", "length", "spans"]
+    wide = odd_docs
+    for i, name in enumerate(c for c in taken if c.lower() not in {x.lower() for x in odd_docs.columns}):
+        wide = wide.withColumn(name, F.lit(i))
+    for keep in (exact_dedup.drop_copies, ngram_join.one_of_each, secret_scan.mask_secrets, lambda d: quality_cnn.keep_good(d, quality_cnn.initial(), threshold=0.0)):
+        got, plain = keep(wide), keep(odd_docs)
+        assert got.columns == wide.columns
+        assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, (r.doc_id for r in plain.collect())))
+    assert packing.pack_documents(wide, *BYTE).count() == packing.pack_documents(odd_docs, *BYTE).count()
+
+
+def test_substrings_of_a_passage_in_many_contexts(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.range(0, 300, numPartitions=5).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("a"), "id"), F.lit(passage), F.concat(F.lit("z"), "id")).alias("text"))
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == {i: (62, 60 if i else 0) for i in range(300)}
