@@ -85,6 +85,34 @@ def nearest_text(docs: DataFrame, key: str, text: str, query: str, n: int = 3, b
     return ranked(best, [F.desc("similarity"), F.col(key)])
 
 
+def document_vectors(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
+    """:func:`hashed_tfidf` as one row per document, ``(key, vector)``: a map from bucket to weight.
+
+    Made once and stored, together with :func:`bucket_weights`, these answer any number of questions.
+    """
+    entries = F.collect_list(F.struct("bucket", "weight"))  # at most ``buckets`` of a document
+    return hashed_tfidf(docs, key, text, buckets).groupBy(key).agg(F.map_from_entries(entries).alias("vector"))
+
+
+def nearest_stored(
+    vectors: DataFrame, weights: DataFrame, key: str, query: str, n: int = 3, vector: str = "vector", buckets: int = BUCKETS
+) -> DataFrame:
+    """:func:`nearest_text` over stored :func:`document_vectors` and :func:`bucket_weights`: one scan and one top-k, no text.
+
+    A document without any weighted word has no vector and is not found.
+    """
+    spark = vectors.sparkSession
+    asked = bucket_counts(spark.createDataFrame([(0, query)], "q int, text string"), "q", "text", buckets)
+    found = asked.join(weights, "bucket").select("bucket", (F.col("tf") * F.col("idf")).alias("w")).collect()  # the question's own words
+    length = sum(r["w"] ** 2 for r in found) ** 0.5
+    similarity = F.lit(0.0)
+    if length > 0:
+        pairs = F.array(*[F.struct(F.lit(r["bucket"]).cast("long").alias("b"), F.lit(r["w"] / length).alias("w")) for r in found])
+        similarity = F.aggregate(pairs, similarity, lambda s, p: s + p["w"] * F.coalesce(F.try_element_at(vector, p["b"]), F.lit(0.0)))
+    best = vectors.select(key, F.round(similarity, RANK_DECIMALS).alias("similarity")).orderBy(F.desc("similarity"), key).limit(n)
+    return ranked(best, [F.desc("similarity"), F.col(key)])
+
+
 def ranked(few: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Number the rows of a top-k result from 1."""
     return few.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
@@ -123,9 +151,13 @@ def nearest_vectors(
     return ranked(best.orderBy("distance", key).limit(n), [F.col("distance"), F.col(key)])
 
 
-def search(docs: DataFrame, query: str, n: int = 5, key: str = "id", text: str = "document") -> DataFrame:
-    """The ``n`` documents nearest to a question, with their text, in order."""
-    found = keep(nearest_text(docs, key, text, query, n))
+def search(
+    docs: DataFrame, query: str, n: int = 5, key: str = "id", text: str = "document",
+    vectors: DataFrame | None = None, weights: DataFrame | None = None,
+) -> DataFrame:
+    """The ``n`` documents nearest to a question, with their text, in order; through stored vectors where given."""
+    stored = vectors is not None and weights is not None
+    found = keep(nearest_stored(vectors, weights, key, query, n) if stored else nearest_text(docs, key, text, query, n))
     return docs.join(F.broadcast(found), key).select("rank", key, text, "similarity").orderBy("rank")
 
 

@@ -88,6 +88,14 @@ def _(spark, sf):
     return retrieval.nearest_text(table(spark, sf, "documents"), "doc_id", "text", QUESTION).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("r4_nearest_stored", f"WITH {WORDS}, {similar_sql('doc_id', QUESTION, 3)} SELECT * FROM best")
+def _(spark, sf):
+    texts = table(spark, sf, "documents")
+    vectors = keep(retrieval.document_vectors(texts, "doc_id", "text"))
+    weights = keep(retrieval.bucket_weights(retrieval.bucket_counts(texts, "doc_id", "text"), texts))
+    return retrieval.nearest_stored(vectors, weights, "doc_id", QUESTION).withColumn("similarity", F.round("similarity", 6))
+
+
 def _first_vector(spark, sf):
     return table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 
