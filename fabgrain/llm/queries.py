@@ -48,7 +48,23 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.documents(spark, path).withColumnRenamed("key", "doc_id")
 
 
-@query("op3_ngram_join")
+@query("op3_ngram_join", r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS grams FROM texts),
+classes AS (SELECT min(doc_id) AS rep, grams, len(grams) AS n FROM sets WHERE len(grams) > 0 GROUP BY grams),
+postings AS (SELECT rep, n, unnest(grams) AS gram FROM classes),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM postings a JOIN postings b ON a.gram = b.gram AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reached AS (SELECT rep AS node, rep AS other FROM classes UNION SELECT node, b FROM reached JOIN links ON other = a),
+roots AS (SELECT node, min(other) AS root FROM reached GROUP BY node)
+SELECT doc_id, len(s.grams) AS n_shingles, coalesce(root, doc_id) AS component_id
+FROM sets s LEFT JOIN classes c ON s.grams = c.grams LEFT JOIN roots ON node = rep
+""")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
@@ -69,7 +85,23 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@query("op7_substring_dedup")
+@query("op7_substring_dedup", r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lists AS (
+  SELECT doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' '))) AS h FROM texts WHERE len(w) >= 50),
+windows AS (SELECT doc_id, unnest(h) AS h, generate_subscripts(h, 1) AS place FROM lists),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+repeats AS (SELECT doc_id, place FROM windows JOIN firsts USING (h) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM texts),
+marked AS (
+  SELECT a.doc_id, word, a.place,
+         count(r.place) OVER (PARTITION BY a.doc_id ORDER BY a.place ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM words a LEFT JOIN repeats r ON a.doc_id = r.doc_id AND a.place = r.place),
+kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS text FROM marked GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept k USING (doc_id)
+""")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
