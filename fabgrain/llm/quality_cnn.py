@@ -88,11 +88,13 @@ def windows_of(model: Model, rows: np.ndarray, repeat: np.ndarray) -> np.ndarray
     return np.ascontiguousarray(w).reshape(len(rows) * POSITIONS, WIDTH * DIM)
 
 
-def pooled(model: Model, rows: np.ndarray, repeat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per chunk and filter the largest response, not under zero, and where it is."""
-    out = (windows_of(model, rows, repeat) @ model.filters).reshape(len(rows), POSITIONS, FILTERS)
+def pooled(model: Model, rows: np.ndarray, repeat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per chunk and filter the largest response, not under zero, and where it is; and all filter inputs of the chunks."""
+    inputs = windows_of(model, rows, repeat)
+    out = (inputs @ model.filters).reshape(len(rows), POSITIONS, FILTERS)
     place = out.argmax(axis=1)
-    return np.maximum(np.take_along_axis(out, place[:, None], axis=1)[:, 0] + model.bias, 0), place
+    most = np.maximum(np.take_along_axis(out, place[:, None], axis=1)[:, 0] + model.bias, 0)
+    return most, place, inputs.reshape(len(rows), POSITIONS, WIDTH * DIM)
 
 
 def combine(model: Model, mean: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +115,7 @@ def scores(model: Model, texts: list[str], at_once: int = 64) -> np.ndarray:
 
     def work() -> None:
         rows = np.concatenate(held)
-        got, _ = pooled(model, rows, repeats(rows))
+        got, _, _ = pooled(model, rows, repeats(rows))
         at = np.array(owners)
         np.add.at(total, at, got)
         np.maximum.at(most, at, got)
@@ -133,8 +135,11 @@ def scores(model: Model, texts: list[str], at_once: int = 64) -> np.ndarray:
     return combine(model, (total / np.maximum(number, 1)[:, None]).astype(np.float32), most)[2]
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7, at_once: int = 32) -> Model:
-    """Adam on the cross entropy, each label weighted to half; the largest response alone passes its gradient on."""
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7, at_once: int = 32, block: int = 64) -> Model:
+    """Adam on the cross entropy, each label weighted to half; the largest response alone passes its gradient on.
+
+    The chunks of a step are worked off in blocks, so that the filter inputs of few chunks are held at a time.
+    """
     model = initial(seed)
     if not texts:
         return model
@@ -154,10 +159,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             sizes = np.array([len(cut[i]) for i in chosen])
             starts = np.cumsum(sizes) - sizes
             owner = np.repeat(np.arange(len(chosen)), sizes)
-            inputs = windows_of(model, rows, repeat).reshape(len(rows), POSITIONS, WIDTH * DIM)
-            out = inputs @ model.filters
-            place = out.argmax(axis=1)
-            p = np.maximum(np.take_along_axis(out, place[:, None], axis=1)[:, 0] + model.bias, 0)
+            p, place, at = np.empty((len(rows), FILTERS), np.float32), np.empty((len(rows), FILTERS), np.int64), np.empty((len(rows), FILTERS, WIDTH * DIM), np.float32)
+            for a in range(0, len(rows), block):
+                part = slice(a, a + block)
+                p[part], place[part], inputs = pooled(model, rows[part], repeat[part])
+                at[part] = inputs[np.arange(len(inputs))[:, None], place[part]]
             mean, most = np.add.reduceat(p, starts) / sizes[:, None].astype(np.float32), np.maximum.reduceat(p, starts)
             f, hidden, prob = combine(model, mean, most)
             dz = ((prob - y[chosen]) * weight[chosen] / len(chosen)).astype(np.float32)
@@ -169,12 +175,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             dp = df[owner, :FILTERS] / sizes[owner, None]
             np.add.at(dp, (first.ravel(), np.tile(np.arange(FILTERS), len(chosen))), df[:, FILTERS:].ravel())
             dp *= p > 0
-            at = inputs[np.arange(len(rows))[:, None], place]  # rows x filters x inputs
             dfilters = np.einsum("rfi,rf->if", at, dp)
             dx = (dp[:, :, None] * model.filters.T[None]).reshape(len(rows), FILTERS, WIDTH, DIM)[..., :EMBED]
-            dembed = np.zeros_like(model.embed)
             where = place[:, :, None] * STRIDE + np.arange(WIDTH)
-            np.add.at(dembed, rows[np.arange(len(rows))[:, None, None], where], dx)
+            taken = rows[np.arange(len(rows))[:, None, None], where].ravel()
+            dembed = np.stack([np.bincount(taken, dx[..., e].ravel(), 257) for e in range(EMBED)], axis=1).astype(np.float32)
             dembed[256] = 0
             step += 1
             rate = 0.004 * min(1, step / 50) * (1 - step / (total + 1)) + 1e-5
