@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(FOLDER_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError(f"set {FOLDER_SETTING} to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="fabgrain-")
     if spark.sparkContext.getCheckpointDir() is None:

@@ -118,33 +118,33 @@ def limiter_stream(
     """Every request with ``recent``, ``over_limit`` and ``blocked``, as it arrives.
 
     State is kept per caller and time slice, like the batch twin, and dropped once the watermark has
-    passed the slice. Requests of one caller must arrive in time order from batch to batch.
+    passed the slice. It holds a count per moment and the moments over the limit, back to the watermark, so that a late
+    request counts what had come before its own time. Answers already given do not change.
     """
     window, block, width = window_seconds * SECOND, block_seconds * SECOND, slice_seconds * SECOND
 
     def advance(group, batches, state):
-        kept, last_over = state.get if state.exists else ([], -1)
         if state.hasTimedOut:
             state.remove()
             return
+        times, counts, overs = state.get if state.exists else ([], [], [])
         new = pd.concat(list(batches)).sort_values(["at", request_id])
-        at = np.concatenate([np.asarray(kept, dtype="int64"), new["at"].to_numpy()])
-        first_new = len(kept)
+        now = new["at"].to_numpy()
+        at, place = np.unique(np.concatenate([np.asarray(times, dtype="int64"), now]), return_inverse=True)
+        count = np.bincount(place, np.concatenate([counts, np.ones(len(now))]), len(at)).astype("int64")
+        upto = np.concatenate([[0], np.cumsum(count)])
         # rows at the same time count each other, as in a range frame
-        recent = np.searchsorted(at, at, side="right") - np.searchsorted(at, at - window, side="left")
-        over = recent > limit
-        over[:first_new] = False
-        latest_over = np.maximum.accumulate(np.where(over, at, last_over))
-        # requests at one moment share the outcome
-        latest_over = latest_over[np.searchsorted(at, at, side="right") - 1]
-        blocked = (latest_over >= 0) & (at < latest_over + block)
+        recent = upto[1:] - upto[np.searchsorted(at, at - window, side="left")]
+        over = np.union1d(np.asarray(overs, dtype="int64"), at[recent > limit])
+        last_over = np.concatenate([[np.iinfo("int64").min // 2], over])[np.searchsorted(over, now, side="right")]
+        counted = recent[np.searchsorted(at, now)]
         own = new["own"].to_numpy()
-        out = new[[request_id, key, ts]].assign(
-            recent=recent[first_new:], over_limit=over[first_new:], blocked=blocked[first_new:]
-        )
+        out = new[[request_id, key, ts]].assign(recent=counted, over_limit=counted > limit, blocked=now < last_over + block)
         if own.any():
             yield out[own]
-        state.update((at[at >= at[-1] - window].tolist(), int(latest_over[-1])))
+        since = min(int(at[-1]), state.getCurrentWatermarkMs() * 1000)
+        held = at >= since - window
+        state.update((at[held].tolist(), count[held].tolist(), over[over >= since - block].tolist()))
         end_ms = (int(group[1]) + 1) * width // 1000
         state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
 
@@ -156,6 +156,6 @@ def limiter_stream(
         .applyInPandasWithState(
             advance,
             f"`{request_id}` {types[request_id]}, `{key}` {types[key]}, `{ts}` timestamp, recent long, over_limit boolean, blocked boolean",
-            "kept array<long>, last_over long", "append", GroupStateTimeout.EventTimeTimeout,
+            "times array<long>, counts array<long>, overs array<long>", "append", GroupStateTimeout.EventTimeTimeout,
         )
     )

@@ -245,3 +245,19 @@ def test_limiter_stream_matches_batch(spark, folder):
     stream = as_stream(spark, folder, rows, REQUEST, CUTS)
     got = streams.drain(state.limiter_stream(stream, "event_id", slice_seconds=2000), "limiter", f"{folder}/limiter")
     assert rows_of(got, "event_id", "recent", "over_limit", "blocked") == limiter_by_hand(rows)
+
+
+@pytest.mark.parametrize("slice_seconds", [100, 100_000])
+def test_limiter_stream_counts_late_rows_at_their_time(spark, folder, slice_seconds):
+    times = np.random.default_rng(6).integers(0, 400, 90).tolist()
+    rows = [request(i + 1, float(t), caller="ab"[i % 2]) for i, t in enumerate(times)]
+    seen, overs, wanted = [], set(), []
+    for batch in (rows[:30], rows[30:60], rows[60:]):
+        seen += batch
+        recent = {r[0]: sum(o[4] == r[4] and r[1] - timedelta(seconds=60) <= o[1] <= r[1] for o in seen) for r in seen}
+        overs |= {(r[4], r[1]) for r in seen if recent[r[0]] > 7}
+        wanted += [(r[0], recent[r[0]], recent[r[0]] > 7, any(c == r[4] and o <= r[1] < o + timedelta(seconds=30) for c, o in overs)) for r in batch]
+    stream = as_stream(spark, folder, rows, REQUEST, [31, 61], "event_id")
+    got = state.limiter_stream(stream, "event_id", limit=7, block_seconds=30, slice_seconds=slice_seconds)
+    got = rows_of(streams.drain(got, "late", f"{folder}/late"), "event_id", "recent", "over_limit", "blocked")
+    assert got == sorted(wanted) and 0 < sum(w[3] and not w[2] for w in wanted)
