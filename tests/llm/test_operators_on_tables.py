@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fabgrain.llm import byte_bpe, components, compression_rules, exact_dedup, ngram_join, packing, quality_cnn, secret_scan, substring_dedup, token_store, warc
+from fabgrain.llm.common import hashed, windows
 from fabgrain.session import new_path
 
 BYTE = (P.path("byte_bpe_50k.json"), P.PATTERN)
@@ -188,3 +189,40 @@ def test_substrings_of_a_passage_in_many_contexts(spark):
     docs = spark.range(0, 300, numPartitions=5).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("a"), "id"), F.lit(passage), F.concat(F.lit("z"), "id")).alias("text"))
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()}
     assert got == {i: (62, 60 if i else 0) for i in range(300)}
+
+
+def window_brute_force(texts):
+    """Per text: words, words that go, and the hash of what is left; windows are compared by their words."""
+    words, first, out = [t.split() for t in texts], {}, {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    for i, w in enumerate(words):
+        gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
+        out[i] = (len(w), len(gone), substring_dedup.joined_sha([x.encode() for j, x in enumerate(w) if j not in gone]))
+    return out
+
+
+def test_windows_whose_hashes_agree_in_32_bits_are_told_apart(spark):
+    passage, seen, pair = [f"p{i}" for i in range(30)], {}, None
+    for i in range(40_000):
+        words = [*(f"a{i}_{j}" for j in range(25)), *passage, *(f"z{i}_{j}" for j in range(25))]
+        hashes = hashed([w.encode() for w in words])
+        for anchor, edge in zip(substring_dedup.anchors(hashes, 50).tolist(), (windows(hashes, 50) & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
+            if seen.setdefault((anchor, edge), (i, words))[0] != i:
+                pair = seen[anchor, edge][1], words
+        if pair:
+            break
+    texts = [" ".join(w) for w in pair]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.remove_repeats(docs).collect()} == window_brute_force(texts)
+
+
+@pytest.mark.parametrize("bits", [0, 3, 9])
+def test_source_words_decide_where_window_hashes_agree(spark, bits):
+    r = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([*(f"w{x}" for x in r.integers(0, 9, r.integers(0, 30))), *passage, *(f"w{x}" for x in r.integers(0, 9, r.integers(0, 30)))]) for _ in range(60)]
+    texts += [t + " tail" for t in texts[10:20]] + [texts[3] + " " + texts[7]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.remove_repeats(docs, bits=bits).collect()} == window_brute_force(texts)
