@@ -19,17 +19,22 @@ LEVEL = 3
 
 
 class Band(NamedTuple):
-    """Limits of the ratio plain / compressed for texts of at least ``least`` bytes."""
+    """Highest ratio plain / compressed of texts of at least ``least`` bytes."""
 
     least: int
-    low: float
     high: float
 
 
-#: Longer texts compress better, so each length class has limits of its own. Prose of any of the languages at hand stays
-#: well inside; texts under 200 bytes carry the compressor's fixed cost and are not judged.
-WHOLE = (Band(200, 0.95, 3.2), Band(1000, 1.2, 3.6), Band(4000, 1.3, 4.2), Band(16_000, 1.4, 5.0), Band(64_000, 1.4, 6.0))
-CHUNK = Band(2048, 1.05, 5.0)
+#: Longer texts compress better, so each length class has limits of its own; texts under 200 bytes carry the compressor's
+#: fixed cost and are not judged.
+WHOLE = (Band(200, 3.2), Band(1000, 3.6), Band(4000, 4.2), Band(16_000, 5.0), Band(64_000, 6.0))
+CHUNK = Band(2048, 5.0)
+#: Lowest ratios by length, read between the lengths on a log scale. For ASCII, they lie over what random base64 and random
+#: printable text reach (1.06, 1.11, 1.20, 1.24, 1.27, 1.29, 1.31, 1.33, 1.34). Prose in scripts of several bytes a letter
+#: compresses no better than that when short (Chinese 0.96, 0.97, 1.11, 1.18, 1.28, -, 1.51, -, 2.31), and has its own.
+LOW_SIZES = (200, 300, 500, 700, 1000, 1500, 2048, 4000, 16_000)
+LOW_ASCII = (1.085, 1.13, 1.215, 1.26, 1.295, 1.315, 1.42, 1.45, 1.6)
+LOW_WIDE = (0.95, 0.95, 1.05, 1.1, 1.2, 1.3, 1.42, 1.45, 1.6)
 #: A text is rejected when more than this share of its chunks lies outside the band.
 BAD_CHUNKS = 0.25
 
@@ -62,23 +67,35 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - white, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), _repeated(ids)
 
 
+def beyond_ascii(data: bytes) -> float:
+    """Share of the bytes that are not ASCII."""
+    return float(np.count_nonzero(np.frombuffer(data, np.uint8) > 127)) / len(data) if data else 0.0
+
+
+def lowest(size: int, beyond: float) -> float:
+    """Least ratio of ``size`` bytes: the limit of ASCII, or that of other scripts from a share ``beyond`` of a half on."""
+    ascii_low, wide = (float(np.interp(np.log(size), np.log(LOW_SIZES), low)) for low in (LOW_ASCII, LOW_WIDE))
+    return ascii_low + (wide - ascii_low) * min(1.0, 2 * beyond)
+
+
 def ratios(data: bytes, squeeze: zstandard.ZstdCompressor, chunk: int = CHUNK.least) -> tuple[float, float]:
     """Ratio of the whole text, and the share of its full chunks whose ratio is outside the band."""
     if not data:
         return 1.0, 0.0
     whole = len(data) / len(squeeze.compress(data))
+    low = lowest(chunk, 0.0)
     bad = n = 0
     for at in range(0, len(data) - chunk + 1, chunk):
         r = chunk / len(squeeze.compress(data[at : at + chunk]))
-        bad += not CHUNK.low <= r <= CHUNK.high
+        bad += not low <= r <= CHUNK.high
         n += 1
     return whole, bad / n if n else 0.0
 
 
-def verdict(size: int, whole: float, bad_chunks: float) -> bool:
-    """True if the compression bands accept a text of ``size`` bytes."""
+def verdict(size: int, whole: float, bad_chunks: float, beyond: float = 0.0) -> bool:
+    """True if the compression bands accept a text of ``size`` bytes, a share ``beyond`` of them not ASCII."""
     band = next((b for b in reversed(WHOLE) if size >= b.least), None)
-    return band is None or band.low <= whole <= band.high and bad_chunks <= BAD_CHUNKS
+    return band is None or lowest(size, beyond) <= whole <= band.high and bad_chunks <= BAD_CHUNKS
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,7 +118,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 counts = base_counts(t)
                 failed = counts[0] < LEAST_WORDS or 100 * counts[4] > 50 * counts[0]
                 whole, bad = ratios(data, squeeze)
-                rows.append((*counts, failed, not failed and verdict(len(data), whole, bad), whole, bad))
+                rows.append((*counts, failed, not failed and verdict(len(data), whole, bad, beyond_ascii(data)), whole, bad))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],

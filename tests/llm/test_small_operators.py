@@ -1,9 +1,12 @@
 """Operators on one document at a time: plain functions against brute force, and odd tables through Spark."""
 
+import base64
 import hashlib
 import io
+import itertools
 import random
 import re
+import string
 
 import numpy as np
 import public_tokenizers as P
@@ -89,6 +92,60 @@ def test_rules_count_as_stated():
         assert compression_rules.verdict(len(data), *compression_rules.ratios(data, squeeze)) is kept
 
 
+PROSE = ("The lot was held at the second lithography step because three wafers showed a ring of low yield near the edge. The engineer on duty "
+         "compared the maps with those of last week, found the same ring on two older lots, and asked for the chuck to be cleaned before the "
+         "next run. Nobody had touched the recipe since March, so a drift of the heater seemed more likely than a mistake in the settings. ")
+
+
+def accepted(data):
+    squeeze = zstandard.ZstdCompressor(level=compression_rules.LEVEL)
+    return compression_rules.verdict(len(data), *compression_rules.ratios(data, squeeze), compression_rules.beyond_ascii(data))
+
+
+def noise_of(kind, size, r):
+    if kind == "ascii":
+        return "".join(r.choices(string.printable[:95], k=size)).encode()
+    data = base64.b64encode(r.randbytes(size))
+    step = {"base64": size, "lines": 76, "words": 12}[kind]
+    return b"\n".join(data[i : i + step] for i in range(0, len(data), step))[:size]
+
+
+@pytest.mark.parametrize("size", [200, 290, 310, 480, 520, 690, 720, 990, 1010, 1500, 2040, 3000, 4000, 8000, 15_000, 17_000, 70_000])
+def test_noise_is_rejected_in_every_length_class(size):
+    r = random.Random(size)
+    for kind in ("base64", "lines", "words", "ascii"):
+        assert not any(accepted(noise_of(kind, size, r)) for _ in range(5)), kind
+
+
+def fresh_prose(size, r):
+    """Sentences over a vocabulary with word frequencies like those of prose."""
+    syllables = ["".join(p) for p in itertools.product("bdfgklmnprst", "aeiou")]
+    vocabulary = ["".join(r.choices(syllables, k=r.choice((1, 2, 2, 3)))) for _ in range(3000)]
+    words = r.choices(vocabulary, weights=[1 / (i + 3) for i in range(3000)], k=size)
+    return " ".join(words).encode()[:size]
+
+
+@pytest.mark.parametrize("size", [200, 310, 520, 990, 2040, 3000, 8000, 34_000])
+def test_prose_is_kept_in_every_length_class(size):
+    r = random.Random(size)
+    assert all(accepted(fresh_prose(size, r)) for _ in range(5))
+    assert size > len(PROSE) or accepted(PROSE[:size].encode())
+
+
+def test_text_that_is_mostly_noise_is_rejected():
+    r = random.Random(3)
+    mixed = b"\n".join([fresh_prose(8500, r), noise_of("lines", 25_500, r)])
+    assert not accepted(mixed)
+    assert compression_rules.ratios(mixed, zstandard.ZstdCompressor(level=3))[1] > 0.6
+
+
+def test_short_text_of_another_script_is_kept():
+    text = ("如果您选择此选项，浏览器会在您离开页面之前询问是否保存更改。管理员可以为所有用户停用该功能，届时设置页面会显示相应的提示。"
+            "请确认网络连接正常，然后重新加载网页；如果问题仍然存在，请联系贵组织的技术支持人员，并提供错误代码和发生时间。"
+            "为保护隐私，系统不会记录密码、地址或付款信息。").encode()
+    assert 300 < len(text) and accepted(text) and accepted(text[:300])
+
+
 def test_bins_and_bound():
     r = np.random.default_rng(1)
     for n in (0, 1, 5, 400):
