@@ -29,6 +29,8 @@ class Band(NamedTuple):
 #: fixed cost and are not judged.
 WHOLE = (Band(200, 3.2), Band(1000, 3.6), Band(4000, 4.2), Band(16_000, 5.0), Band(64_000, 6.0))
 CHUNK = Band(2048, 5.0)
+#: Chunks of texts shorter than one of those.
+SHORT = Band(512, 3.2)
 #: Lowest ratios by length, read between the lengths on a log scale. For ASCII, they lie over what random base64 and random
 #: printable text reach (1.06, 1.11, 1.20, 1.24, 1.27, 1.29, 1.31, 1.33, 1.34). Prose in scripts of several bytes a letter
 #: compresses no better than that when short (Chinese 0.96, 0.97, 1.11, 1.18, 1.28, -, 1.51, -, 2.31), and has its own.
@@ -78,18 +80,22 @@ def lowest(size: int, beyond: float) -> float:
     return ascii_low + (wide - ascii_low) * min(1.0, 2 * beyond)
 
 
-def ratios(data: bytes, squeeze: zstandard.ZstdCompressor, chunk: int = CHUNK.least) -> tuple[float, float]:
-    """Ratio of the whole text, and the share of its full chunks whose ratio is outside the band."""
+def ratios(data: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float, float]:
+    """Ratio of the whole text, and the share of its chunks whose ratio is outside the band.
+
+    The last chunk ends with the text and may overlap the one before, so that all bytes lie in a chunk. Texts of under
+    512 bytes have none.
+    """
     if not data:
         return 1.0, 0.0
     whole = len(data) / len(squeeze.compress(data))
-    low = lowest(chunk, 0.0)
-    bad = n = 0
-    for at in range(0, len(data) - chunk + 1, chunk):
-        r = chunk / len(squeeze.compress(data[at : at + chunk]))
-        bad += not low <= r <= CHUNK.high
-        n += 1
-    return whole, bad / n if n else 0.0
+    size, high = CHUNK if len(data) >= CHUNK.least else SHORT
+    begins = [*range(0, len(data) - size, size), len(data) - size] if len(data) >= size else []
+    bad = 0
+    for at in begins:
+        part = data[at : at + size]
+        bad += not lowest(size, beyond_ascii(part)) <= size / len(squeeze.compress(part)) <= high
+    return whole, bad / len(begins) if begins else 0.0
 
 
 def verdict(size: int, whole: float, bad_chunks: float, beyond: float = 0.0) -> bool:
@@ -102,8 +108,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """One row per document with its counts, its ratios and whether it is kept.
 
     A null or empty text has no words, fails the base rule and is not kept. Null keys and repeated rows stay as they
-    are; other columns are not looked at. A text is compressed as a whole and in chunks of 2048 bytes; the last,
-    shorter chunk counts in the whole ratio only.
+    are; other columns are not looked at. A text is compressed as a whole and in chunks of 2048 bytes (512 in
+    shorter texts), of which the last one ends with the text.
     """
     keyed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = keyed.schema["key"].dataType.simpleString()

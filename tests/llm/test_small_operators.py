@@ -139,6 +139,15 @@ def test_text_that_is_mostly_noise_is_rejected():
     assert compression_rules.ratios(mixed, zstandard.ZstdCompressor(level=3))[1] > 0.6
 
 
+@pytest.mark.parametrize("good, bad", [(2060, 2000), (2100, 1500), (1000, 600), (500, 500), (4096, 2047)])
+def test_noise_or_repetition_in_the_tail_is_rejected(good, bad):
+    r = random.Random(good)
+    prose = fresh_prose(good + bad, r)
+    assert accepted(prose)
+    for tail in (noise_of("base64", bad, r), noise_of("words", bad, r), (b"spam " * bad)[:bad]):
+        assert not accepted(prose[:good] + tail)
+
+
 def test_short_text_of_another_script_is_kept():
     text = ("如果您选择此选项，浏览器会在您离开页面之前询问是否保存更改。管理员可以为所有用户停用该功能，届时设置页面会显示相应的提示。"
             "请确认网络连接正常，然后重新加载网页；如果问题仍然存在，请联系贵组织的技术支持人员，并提供错误代码和发生时间。"
