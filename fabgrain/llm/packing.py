@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +18,8 @@ from fabgrain.session import durable
 
 #: Pieces that one partition packs; large enough that the rounding of each partition's bound hardly counts.
 PER_PARTITION = 50_000
-ROUNDS = 3
+
+log = logging.getLogger(__name__)
 
 
 def cut(docs: DataFrame, tokenizer_path: str, pattern: str, room: int, end_id: int, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -99,45 +101,65 @@ def best_fit(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, places, np.array(left, np.int64)
 
 
-def pack(items: DataFrame, room: int, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, room: int, per_partition: int = PER_PARTITION) -> tuple[DataFrame, DataFrame]:
     """``items`` with ``sequence_id`` and ``offset``; its column ``length`` holds 1 to ``room``. Read several times: store it.
 
     Each partition packs its items best-fit decreasing and computes a lower bound for them. Where the packing meets the
     bound, it is certified optimal and final. The other partitions keep their full bins, exchange the items of the
-    rest, and pack again, in as many partitions as those need, until all are certified or the rounds are used up.
-    Items of full length are sequences of their own.
+    rest, and pack again, in as many partitions as those need, until all are certified or a round leaves as many items
+    in no fewer bins; then the packing before it stays. Items of full length are sequences of their own.
+
+    The second table has the bounds of all other sequences, as ``partition`` (``sequence_id`` without its low 32 bits),
+    ``certified``, ``sequences`` and ``lower_bound``; full bins that a partition kept are a certified row of their own.
     """
     first_id = 1 << 62
     done = [items.where(F.col("length") == room).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(first_id))
             .withColumn("offset", F.lit(0).cast("long"))]
     rest = items.where(F.col("length") < room)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    number = rest.count()
-    for turn in range(rounds):
-        if not number:
-            break
-        last = turn == rounds - 1
+    number, fewest, base = rest.count(), None, 0
+    bounds = [items.sparkSession.createDataFrame([], "partition bigint, certified boolean, sequences bigint, lower_bound bigint")]
+    held = None
+
+    def bounds_of(packed: DataFrame) -> DataFrame:
+        return packed.groupBy(F.shiftright("sequence_id", 32).alias("partition"), (~F.col("_open")).alias("certified")).agg(
+            F.count_if(F.col("offset") == 0).alias("sequences"), F.max("_bound").alias("lower_bound"))
+
+    while number:
+        shares = max(1, -(-number // per_partition))
 
         def run(group: pa.Table) -> pa.Table:
             lengths = group.column("length").to_numpy().astype(np.int64)
             order = np.lexsort((group.column("_tie").to_numpy(), lengths))
             group, lengths = group.take(pa.array(order)), lengths[order]
             bins, places, left = best_fit(lengths, room)
-            certified = len(left) == lower_bound(lengths, room)
-            open_bins = np.zeros(len(left), bool) if certified else left > 0
-            share = int(group.column("_share")[0].as_py())
-            return (group.append_column("sequence_id", pa.array(bins + ((turn << 58) | (share << 32))))
-                    .append_column("offset", pa.array(places)).append_column("_open", pa.array(open_bins[bins])))
+            bound = lower_bound(lengths, room)
+            open_bins = np.zeros(len(left), bool) if len(left) == bound else left > 0
+            is_open = open_bins[bins]
+            bound_of = np.where(is_open, lower_bound(lengths[is_open], room), (~open_bins).sum())
+            share = base + int(group.column("_share")[0].as_py())
+            return (group.append_column("sequence_id", pa.array(bins + (share << 32))).append_column("offset", pa.array(places))
+                    .append_column("_open", pa.array(is_open)).append_column("_bound", pa.array(bound_of)))
 
-        shares = max(1, -(-number // per_partition))
         dealt = rest.withColumn("_tie", F.xxhash64(*items.columns)).withColumn(
-            "_share", F.pmod(F.xxhash64("_tie", F.lit(turn)), F.lit(shares)).cast("int"))
+            "_share", F.pmod(F.xxhash64("_tie", F.lit(base)), F.lit(shares)).cast("int"))
         packed = durable(dealt.groupBy("_share").applyInArrow(
-            run, fields + ", _tie bigint, _share int, sequence_id bigint, offset bigint, _open boolean").drop("_tie", "_share"))
-        done.append((packed if last else packed.where("not _open")).drop("_open"))
-        rest = packed.where("_open").drop("_open", "sequence_id", "offset")
-        number = 0 if last else rest.count()
-    return functools.reduce(DataFrame.unionByName, done)
+            run, fields + ", _tie bigint, _share int, sequence_id bigint, offset bigint, _open boolean, _bound bigint").drop("_tie", "_share"))
+        left_over, bins = packed.where("_open").agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+        if held is not None and left_over == number and bins >= fewest:
+            break
+        done.append(packed.where("not _open").drop("_open", "_bound"))
+        bounds.append(bounds_of(packed.where("not _open")))
+        held = packed.where("_open")
+        rest = held.drop("_open", "_bound", "sequence_id", "offset")
+        number, fewest, base = left_over, bins, base + shares
+    if number:
+        open_bounds = bounds_of(held)
+        n, found, least = open_bounds.agg(F.count("*"), F.sum("sequences"), F.sum("lower_bound")).first()
+        log.warning("%d partitions are not certified: %d sequences, lower bound %d", n, found, least)
+        done.append(held.drop("_open", "_bound"))
+        bounds.append(open_bounds)
+    return functools.reduce(DataFrame.unionByName, done), functools.reduce(DataFrame.unionByName, bounds)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, room: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,5 +169,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, room: int
     empty table gives no rows. Other columns are not looked at.
     """
     items = durable(cut(docs, tokenizer_path, pattern, room, end_id, key, text, with_ids=False))
-    return pack(items, room).select(F.col("key").alias(key), "piece", "start", F.col("length").cast("long").alias("length"),
+    return pack(items, room)[0].select(F.col("key").alias(key), "piece", "start", F.col("length").cast("long").alias("length"),
                                     "ids_crc32", "sequence_id", "offset")

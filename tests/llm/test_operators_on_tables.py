@@ -226,3 +226,27 @@ def test_source_words_decide_where_window_hashes_agree(spark, bits):
     texts += [t + " tail" for t in texts[10:20]] + [texts[3] + " " + texts[7]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.remove_repeats(docs, bits=bits).collect()} == window_brute_force(texts)
+
+
+def test_packing_goes_on_while_open_pieces_fall_and_gives_its_bounds(spark):
+    r = np.random.default_rng(2)
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(r.integers(20, 101, 2000))], "id long, length int").repartition(4).localCheckpoint()
+    packed, bounds = packing.pack(items, 100, per_partition=40)
+    rows, bounds = packed.collect(), bounds.collect()
+    assert sorted(x.id for x in rows) == list(range(2000))
+    bins = defaultdict(list)
+    for x in rows:
+        bins[x.sequence_id].append((x.offset, x.length))
+    for parts in bins.values():
+        ends = [a + n for a, n in sorted(parts)]
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 100
+    short = {k for k, parts in bins.items() if parts[0][1] < 100}
+    counted = defaultdict(int)
+    for k in short:
+        counted[k >> 32] += 1
+    given = defaultdict(int)
+    for b in bounds:
+        given[b.partition] += b.sequences
+        assert b.lower_bound <= b.sequences and (not b.certified or b.lower_bound == b.sequences)
+    assert given == counted
+    assert len({b.partition for b in bounds}) > -(-sum(x.length < 100 for x in rows) // 40)
