@@ -10,12 +10,15 @@ from fabgrain.llm import (
     byte_bpe,
     compression_rules,
     exact_dedup,
+    filter_audit,
     ngram_join,
     packing,
     quality_cnn,
     secret_scan,
     substring_dedup,
+    text_sketches,
     token_store,
+    vector_codes,
     warc,
 )
 from fabgrain.llm.common import table
@@ -123,3 +126,72 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.groups(table(spark, folder, "documents"))
+
+
+@query("op11_filter_audit", r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+marks AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, (len(w) < 50)::INT + 2 * (100 * list_unique(w) < 65 * len(w))::INT
+         + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (first IS NOT NULL AND (doc_id IS NULL OR doc_id > first))::INT AS mask,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM texts LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, s::INT AS s, 1 << (instr('ABCDE', o[s]) - 1) AS own,
+                 coalesce(list_sum(list_transform(range(1, s), lambda i: 1 << (instr('ABCDE', o[i]) - 1))), 0)::BIGINT AS before
+          FROM orders, (SELECT unnest(range(1, 6)) AS s))
+SELECT part, o AS filter_order, s AS step,
+       coalesce(sum(n) FILTER (mask & before = 0 AND mask & own = 0), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // nullif(bit_count(mask), 0)) FILTER (mask & own <> 0), 0)::BIGINT AS shapley
+FROM counts, steps GROUP BY part, o, s
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd rounds as a chain of common table expressions, with whole numbers throughout."""
+    chain = ""
+    for k in range(rounds + 1):
+        chain += f""",
+near{k} AS (
+  SELECT r, p, x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * 256 + e) AS best
+  FROM pieces JOIN book{k} USING (p) GROUP BY r, p, x)"""
+        if k < rounds:
+            chain += f""",
+sums{k} AS (
+  SELECT p, best % 256 AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM near{k}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM pieces))) AS i)
+  GROUP BY ALL),
+means{k} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM sums{k} GROUP BY p, e),
+book{k + 1} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN means{k} m USING (p, e))"""
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, v, row_number() OVER (ORDER BY vec_id, v) AS r
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+pieces AS (SELECT r, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+book0 AS (SELECT p, r - 1 AS e, x AS c FROM pieces WHERE r <= 256){chain},
+coded AS (SELECT r, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM near{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c[i]::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) FROM (SELECT p, e, c, unnest(range(1, len(c) + 1)) AS i FROM book{rounds})) AS codebooks_sha256
+FROM coded JOIN kept USING (r)"""
+
+
+@query("op12_cover_tree_codes", _codes_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+@query("op13_paragraph_sketch")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return text_sketches.fingerprints(table(spark, folder, "documents"))
