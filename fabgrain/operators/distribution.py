@@ -123,6 +123,89 @@ def die_coverage(df: DataFrame, grid: int = GRID) -> DataFrame:
     )
 
 
+WORD_BITS = 64
+
+
+def _on_wafer(grid: int) -> list[int]:
+    """Places of the grid, row by row from 0, that lie on the wafer."""
+    centre, reach = (grid - 1) / 2, (RADIUS_SHARE * grid) ** 2
+    return [p for p in range(grid * grid) if (p % grid - centre) ** 2 + (p // grid - centre) ** 2 <= reach]
+
+
+def _words(places: list[int], grid: int) -> list[int]:
+    """A bitmap of the grid as signed 64-bit words."""
+    words = [0] * -(-grid * grid // WORD_BITS)
+    for p in places:
+        words[p // WORD_BITS] |= 1 << p % WORD_BITS
+    return [w - (1 << WORD_BITS) if w >> WORD_BITS - 1 else w for w in words]
+
+
+def coverage_bitmaps(df: DataFrame, grid: int = GRID) -> DataFrame:
+    """Per wafer and parameter one bitmap of the measured places, ``places``, and the rows that lie ``beyond`` the grid.
+
+    The state is of fixed size (15 words for a grid of 30), whatever the number of rows, and bitmaps of parts can be merged.
+    """
+    keys = ["lot_id", "wafer_id", "parameter"]
+    on_grid = F.col("x").between(1, grid) & F.col("y").between(1, grid)
+    place = F.when(on_grid, (F.col("y") - 1) * grid + F.col("x") - 1).cast("int")
+    rows = with_keys(df, [*keys, "x", "y"]).select(*keys, F.floor(place / WORD_BITS).cast("int").alias("_word"),
+                                                   F.call_function("shiftleft", F.lit(1).cast("long"), (place % WORD_BITS)).alias("_bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("_word") == i, F.col("_bit"))), F.lit(0).cast("long")) for i in range(-(-grid * grid // WORD_BITS))]
+    return rows.groupBy(*keys).agg(F.array(*words).alias("places"), F.count_if(F.col("_word").isNull()).alias("beyond"))
+
+
+def merge_bitmaps(parts: DataFrame, grid: int = GRID) -> DataFrame:
+    """One bitmap per wafer and parameter from those of any number of parts."""
+    words = [F.bit_or(F.get("places", F.lit(i))) for i in range(-(-grid * grid // WORD_BITS))]
+    return parts.groupBy("lot_id", "wafer_id", "parameter").agg(F.array(*words).alias("places"), F.sum("beyond").alias("beyond"))
+
+
+def bitmap_coverage(bitmaps: DataFrame, grid: int = GRID) -> DataFrame:
+    """:func:`die_coverage` from bitmaps; rows beyond the grid are counted as rows, not as positions."""
+    places = _on_wafer(grid)
+    wafer = F.lit(_words(places, grid))
+
+    def bits(words: Column) -> Column:
+        return F.aggregate(F.transform(words, lambda w: F.bit_count(w)), F.lit(0), lambda s, n: s + n).cast("long")
+
+    inside = F.zip_with("places", wafer, lambda a, b: a.bitwiseAND(b))
+    outside = F.zip_with("places", wafer, lambda a, b: a.bitwiseAND(F.bitwise_not(b)))
+    counted = bitmaps.select("lot_id", "wafer_id", "parameter", bits(inside).alias("measured_dies"), (bits(outside) + F.col("beyond")).alias("off_wafer"))
+    return counted.withColumn("expected_dies", F.lit(len(places)).cast("long")).withColumn("missing_dies", F.col("expected_dies") - F.col("measured_dies"))
+
+
+def bitmap_gaps(bitmaps: DataFrame, grid: int = GRID) -> DataFrame:
+    """:func:`missing_dies` from bitmaps: the wafer's places whose bit is not set."""
+    gone = F.filter(F.lit(_on_wafer(grid)), lambda p: F.call_function("getbit", F.get("places", F.floor(p / WORD_BITS).cast("int")), p % WORD_BITS) == 0)
+    missing = bitmaps.select("lot_id", "wafer_id", "parameter", F.explode(gone).alias("_place"))
+    return missing.select("lot_id", "wafer_id", "parameter", (F.col("_place") % grid + 1).cast("long").alias("x"), (F.floor(F.col("_place") / grid) + 1).cast("long").alias("y"))
+
+
+# Size of a quantile sketch, and its rank error for that size: at most this share of a group's rows, in 99 of 100 cases.
+SKETCH_SIZE = 400
+SKETCH_ERROR = 0.0075
+
+
+def wafer_sketches(df: DataFrame, size: int = SKETCH_SIZE) -> DataFrame:
+    """Count, extremes and a quantile sketch per wafer and parameter; stored, they answer for any grouping of wafers."""
+    keys = ["lot_id", "wafer_id", "parameter"]
+    return with_keys(df, [*keys, "value"]).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.kll_sketch_agg_double("value", F.lit(size)).alias("sketch"))
+
+
+def roll_up(sketches: DataFrame, keys: Sequence[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """The sketches of coarser groups, merged from those of finer ones."""
+    return sketches.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.kll_merge_agg_double("sketch", F.lit(size)).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """Values ``(share, value)`` below which about that share of a group's rows lie, without another look at the rows."""
+    points = F.array(*[F.struct(F.lit(q).alias("share"), F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("value")) for q in shares])
+    kept = [c for c in sketches.columns if c != "sketch"]
+    return sketches.select(*kept, F.inline(points))
+
+
 def missing_dies(df: DataFrame, grid: int = GRID) -> DataFrame:
     """Positions on the wafer that a wafer and parameter has no row for.
 
@@ -131,8 +214,6 @@ def missing_dies(df: DataFrame, grid: int = GRID) -> DataFrame:
     keys = ["lot_id", "wafer_id", "parameter"]
     on_grid = F.col("x").between(1, grid) & F.col("y").between(1, grid)
     place = ((F.col("y") - 1) * grid + F.col("x") - 1).cast("int")
-    centre, reach = (grid - 1) / 2, (RADIUS_SHARE * grid) ** 2
-    on_wafer = [p for p in range(grid * grid) if (p % grid - centre) ** 2 + (p // grid - centre) ** 2 <= reach]
     measured = with_keys(df, [*keys, "x", "y"]).groupBy(*keys).agg(F.collect_set(F.when(on_grid, place)).alias("_places"))
-    missing = measured.select(*keys, F.explode(F.array_except(F.lit(on_wafer), "_places")).alias("_place"))
+    missing = measured.select(*keys, F.explode(F.array_except(F.lit(_on_wafer(grid)), "_places")).alias("_place"))
     return missing.select(*keys, (F.col("_place") % grid + 1).cast("long").alias("x"), (F.floor(F.col("_place") / grid) + 1).cast("long").alias("y"))

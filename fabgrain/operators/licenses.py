@@ -76,8 +76,10 @@ def decode_key(df: DataFrame, key: str = "license_key") -> DataFrame:
     expiry = F.col("_e.payload.expiry")
     raw = F.get(F.split(F.col("_e.signature"), ":"), F.lit(2))
     signed = unbase64(raw).isNotNull()
-    stated = F.array_contains(F.json_object_keys(F.get_json_object(text, "$.payload")), "expiry")
-    timed = ~F.coalesce(stated, F.lit(False)) | (expiry.rlike(LOCAL_TIME) & expiry.try_cast("timestamp_ntz").isNotNull())
+    # only without a value, and where the name or an escaped one occurs, is the payload looked at once more
+    named = F.array_contains(F.json_object_keys(F.get_json_object(text, "$.payload")), "expiry")
+    absent = F.when(text.rlike(r'"expiry"|\\u'), ~F.coalesce(named, F.lit(False))).otherwise(F.lit(True))
+    timed = F.when(expiry.isNull(), absent).otherwise(expiry.rlike(LOCAL_TIME) & expiry.try_cast("timestamp_ntz").isNotNull())
     fine = F.col("_e.payload").isNotNull() & F.coalesce(signed, F.lit(False)) & timed
     return parsed.withColumns({"payload": F.col("_e.payload"), "well_formed": F.coalesce(fine, F.lit(False))}).drop("_e")
 

@@ -28,91 +28,111 @@ def bucket(word: Column, buckets: int = BUCKETS) -> Column:
     return F.coalesce(F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(buckets)), F.lit(0).cast("long"))
 
 
-def bucket_counts(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
-    """Word count per document and bucket, ``(key, bucket, tf)``.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often and in whatever loop it is used."""
+    return F.transform(F.array(value), body)[0]
 
-    Documents are spread by key as whole texts, which are smaller than their words; all grouping by
-    document that follows then needs no further shuffle.
+
+def count_vectors(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
+    """Word count per bucket, ``(key, counts)``: entries ``(bucket, tf)`` in bucket order.
+
+    Buckets are sorted and counted inside the row, so no text and no word is shuffled. A null or empty text has no entries.
     """
-    exploded = docs.select(key, text).repartition(key).select(key, F.explode(words(text)).alias("_word"))
-    grouped = exploded.where("_word <> ''").groupBy(key, bucket(F.col("_word"), buckets).alias("bucket"))
-    return grouped.agg(F.count("*").alias("tf"))
+    def ends(found: Column) -> Column:
+        """Where the runs of equal buckets end."""
+        n = F.size(found)
+        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(found, i) != F.get(found, i - 1)))
+
+    def counted(found: Column, end: Column) -> Column:
+        length = lambda e, i: (e - F.coalesce(F.get(end, i - 1), F.lit(0))).cast("long")
+        return F.transform(end, lambda e, i: F.struct(F.get(found, e - 1).alias("bucket"), length(e, i).alias("tf")))
 
+    hashed = F.sort_array(F.transform(F.filter(words(text), lambda w: w != ""), lambda w: bucket(w, buckets)))
+    counts = let(hashed, lambda found: F.when(F.size(found) > 0, let(ends(found), lambda end: counted(found, end))))
+    return docs.select(F.col(key), F.coalesce(counts, F.array().cast("array<struct<bucket:bigint,tf:bigint>>")).alias("counts"))
 
-def bucket_weights(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Inverse document frequency per bucket, ``(bucket, idf)``: at most one row per bucket."""
-    total = docs.agg(F.count("*").alias("n")).scalar()
-    per_bucket = counts.groupBy("bucket").agg(F.count("*").alias("docs"))
+
+def bucket_weights(counts: DataFrame) -> DataFrame:
+    """Inverse document frequency per bucket of :func:`count_vectors`, ``(bucket, idf)``: at most one row per bucket."""
+    total = counts.agg(F.count("*").alias("n")).scalar()
+    per_bucket = counts.select(F.explode("counts.bucket").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("docs"))
     return per_bucket.select("bucket", F.ln((total + 1) / (F.col("docs") + 1)).alias("idf"))
 
 
-def hashed_tfidf(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
-    """Unit-length hashed TF-IDF vectors as rows ``(key, bucket, weight)``.
+def _lookup(weights: DataFrame, buckets: int) -> Column:
+    """The weight of every bucket as one constant array; ``weights`` has at most ``buckets`` rows."""
+    idf = {r["bucket"]: r["idf"] for r in weights.collect()}
+    return F.split(F.lit(",".join(repr(idf.get(b, 0.0)) for b in range(buckets))), ",").cast("array<double>")
 
-    Weights of zero, from words every document has, are kept; a document of nothing else has none.
+
+def vectors_of(counts: DataFrame, weights: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """Unit-length hashed TF-IDF vectors, ``(key, vector)``: entries ``(bucket, weight)`` in bucket order.
+
+    Sums run in that order too, so equal texts get equal vectors to the last digit. Weights of zero, from words every document
+    has, are kept; the vector of a document of nothing else, or without words, is NULL.
     """
-    counts = bucket_counts(docs, key, text, buckets)
-    weights = F.broadcast(bucket_weights(counts, docs))  # at most ``buckets`` rows
-    raw = counts.join(weights, "bucket").select(key, "bucket", (F.col("tf") * F.col("idf")).alias("_w"))
-    # a document has at most ``buckets`` rows, which lie together already
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return raw.withColumn("_norm", norm).where("_norm > 0").select(key, "bucket", (F.col("_w") / F.col("_norm")).alias("weight"))
+    idf = _lookup(weights, buckets)
+    raw = F.transform("counts", lambda c: F.struct(c["bucket"].alias("bucket"), (c["tf"] * F.get(idf, c["bucket"])).alias("weight")))
 
+    def unit(entries: Column, length: Column) -> Column:
+        return F.when(length > 0, F.transform(entries, lambda e: F.struct(e["bucket"].alias("bucket"), (e["weight"] / length).alias("weight"))))
 
-#: Beyond this, values differ by the order of summation only.
-RANK_DECIMALS = 12
+    vector = let(raw, lambda entries: let(
+        F.sqrt(F.aggregate(entries, F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"])), lambda length: unit(entries, length)))
+    return counts.select(F.col(key), vector.alias("vector"))
 
 
-def nearest_text(docs: DataFrame, key: str, text: str, query: str, n: int = 3, buckets: int = BUCKETS) -> DataFrame:
-    """The ``n`` documents of highest cosine similarity to a query text, ``(key, similarity, rank)``.
+def hashed_tfidf(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
+    """The entries of :func:`vectors_of` as rows ``(key, bucket, weight)``. Counts are stored, as they are read twice."""
+    counts = keep(count_vectors(docs, key, text, buckets))
+    return vectors_of(counts, bucket_weights(counts), key, buckets).select(F.col(key), F.inline("vector"))
 
-    The query gets the documents' bucket weights. Each document folds its buckets into one norm and
-    one product, so a single pass over the counts and one top-k suffice. Similarity is compared
-    at ``RANK_DECIMALS``; ties go to the smaller key. Documents sharing no weighted word have similarity 0.
-    """
-    counts = bucket_counts(docs, key, text, buckets)
-    spark = docs.sparkSession
-    asked = bucket_counts(spark.createDataFrame([(0, query)], "q int, text string"), "q", "text", buckets)
-    weights = bucket_weights(counts, docs).join(F.broadcast(asked.select("bucket", F.col("tf").alias("q_tf"))), "bucket", "left")
-    weights = keep(weights.withColumn("q_weight", F.coalesce("q_tf", F.lit(0)) * F.col("idf")))
-    q_norm = F.lit(weights.agg(F.sqrt(F.sum(F.col("q_weight") ** 2))).first()[0] or 0.0)
-    weighted = counts.join(F.broadcast(weights.select("bucket", "idf", "q_weight")), "bucket")
-    w = F.col("tf") * F.col("idf")
-    per_doc = weighted.groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("_norm"), F.sum(w * F.col("q_weight")).alias("_dot"))
-    both = F.col("_norm") * q_norm
-    similarity = F.round(F.when(both > 0, F.col("_dot") / both).otherwise(0.0), RANK_DECIMALS)
-    best = per_doc.select(key, similarity.alias("similarity")).orderBy(F.desc("similarity"), key).limit(n)
-    return ranked(best, [F.desc("similarity"), F.col(key)])
 
+def document_vectors(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """Stored vectors and bucket weights of documents, which answer any number of questions."""
+    counts = keep(count_vectors(docs, key, text, buckets))
+    weights = keep(bucket_weights(counts))
+    return keep(vectors_of(counts, weights, key, buckets)), weights
 
-def document_vectors(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
-    """:func:`hashed_tfidf` as one row per document, ``(key, vector)``: a map from bucket to weight.
 
-    Made once and stored, together with :func:`bucket_weights`, these answer any number of questions.
-    """
-    entries = F.collect_list(F.struct("bucket", "weight"))  # at most ``buckets`` of a document
-    return hashed_tfidf(docs, key, text, buckets).groupBy(key).agg(F.map_from_entries(entries).alias("vector"))
+def question_vector(weights: DataFrame, query: str, buckets: int = BUCKETS) -> list[tuple[int, float]]:
+    """The question's buckets and their weights, of length 1 together, in bucket order; without weighted words, none."""
+    asked = weights.sparkSession.createDataFrame([(0, query)], "q int, text string")
+    counts = count_vectors(asked, "q", "text", buckets).select(F.inline("counts"))
+    found = sorted((r["bucket"], r["w"]) for r in counts.join(weights, "bucket").select("bucket", (F.col("tf") * F.col("idf")).alias("w")).collect())
+    length = sum(w * w for _, w in found) ** 0.5
+    return [(b, w / length) for b, w in found if w > 0] if length > 0 else []
+
+
+def question_product(entries: Column, question: Sequence[tuple[int, float]]) -> Column:
+    """Scalar product of a vector's entries with a question, added up in bucket order."""
+    if not question:
+        return F.lit(0.0)
+    asked = F.map_from_arrays(F.array(*[F.lit(b).cast("long") for b, _ in question]), F.array(*[F.lit(w) for _, w in question]))
+    shared = F.filter(entries, lambda e: e["bucket"].isin([b for b, _ in question]))
+    return F.coalesce(F.aggregate(shared, F.lit(0.0), lambda s, e: s + e["weight"] * F.try_element_at(asked, e["bucket"])), F.lit(0.0))
 
 
 def nearest_stored(
     vectors: DataFrame, weights: DataFrame, key: str, query: str, n: int = 3, vector: str = "vector", buckets: int = BUCKETS
 ) -> DataFrame:
-    """:func:`nearest_text` over stored :func:`document_vectors` and :func:`bucket_weights`: one scan and one top-k, no text.
+    """The ``n`` documents of highest cosine similarity to a query text, ``(key, similarity, rank)``.
 
-    A document without any weighted word has no vector and is not found.
+    The question gets the documents' bucket weights; one scan of the vectors and one top-k answer it. Ties go to the smaller
+    key. Documents sharing no weighted word, or without any, have similarity 0.
     """
-    spark = vectors.sparkSession
-    asked = bucket_counts(spark.createDataFrame([(0, query)], "q int, text string"), "q", "text", buckets)
-    found = asked.join(weights, "bucket").select("bucket", (F.col("tf") * F.col("idf")).alias("w")).collect()  # the question's own words
-    length = sum(r["w"] ** 2 for r in found) ** 0.5
-    similarity = F.lit(0.0)
-    if length > 0:
-        pairs = F.array(*[F.struct(F.lit(r["bucket"]).cast("long").alias("b"), F.lit(r["w"] / length).alias("w")) for r in found])
-        similarity = F.aggregate(pairs, similarity, lambda s, p: s + p["w"] * F.coalesce(F.try_element_at(vector, p["b"]), F.lit(0.0)))
-    best = vectors.select(key, F.round(similarity, RANK_DECIMALS).alias("similarity")).orderBy(F.desc("similarity"), key).limit(n)
+    similarity = question_product(F.col(vector), question_vector(weights, query, buckets))
+    best = vectors.select(key, similarity.alias("similarity")).orderBy(F.desc("similarity"), key).limit(n)
     return ranked(best, [F.desc("similarity"), F.col(key)])
 
 
+def nearest_text(docs: DataFrame, key: str, text: str, query: str, n: int = 3, buckets: int = BUCKETS) -> DataFrame:
+    """:func:`nearest_stored` for a single question: counts are stored, vectors are made while they are compared."""
+    counts = keep(count_vectors(docs, key, text, buckets))
+    weights = keep(bucket_weights(counts))
+    return nearest_stored(vectors_of(counts, weights, key, buckets), weights, key, query, n, buckets=buckets)
+
+
 def ranked(few: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Number the rows of a top-k result from 1."""
     return few.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
@@ -143,10 +163,10 @@ def nearest_vectors(
 ) -> DataFrame:
     """The ``n`` rows nearest to a query vector, ``(key, distance, rank)``: one scan and one top-k.
 
-    Distances are compared at ``RANK_DECIMALS``; ties go to the smaller key.
+    Distances are compared in full precision; equal ones go to the smaller key.
     """
     target = F.array(*[F.lit(float(v)) for v in query])
-    distance = F.round(METRICS[metric](F.col(vector), target), RANK_DECIMALS)
+    distance = METRICS[metric](F.col(vector), target)
     best = corpus.select(key, distance.alias("distance")).where("distance IS NOT NULL")
     return ranked(best.orderBy("distance", key).limit(n), [F.col("distance"), F.col(key)])
 

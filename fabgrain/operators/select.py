@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabgrain.functions.skew import attach, keep
-from fabgrain.session import durable
+from fabgrain.functions.rank_select import FEW_ROWS, Keys, start_of
+from fabgrain.functions.skew import attach
 from fabgrain.sources.measurements import DIE_KEYS, WAFER_KEYS, Measurements
 
 # Yield limit, report columns and page size, number of heat colours.
@@ -61,34 +61,40 @@ def zero_based(df: DataFrame) -> DataFrame:
 def heat_levels(df: DataFrame, keys: Sequence[str] = tuple(WAFER_KEYS)) -> DataFrame:
     """Place each value between its wafer's extremes on the colour scale.
 
-    Adds ``level`` (0 to 10) and ``colour``; a wafer of equal values has level 0.
+    Adds ``level`` (0 to 10) and ``colour``; a wafer of equal values has level 0. One scan and one shuffle: the extremes
+    are taken over the wafer's rows where they lie together.
     """
-    limits = keep(df.groupBy(*keys).agg(F.min("value").alias("_low"), F.max("value").alias("_high")))
+    whole = Window.partitionBy(*keys)
+    limits = df.withColumns({"_low": F.min("value").over(whole), "_high": F.max("value").over(whole)})
     share = (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
     level = F.when(F.col("_high") == F.col("_low"), 0).otherwise(
         F.least(F.lit(HEAT_LEVELS - 1), F.floor(share * HEAT_LEVELS))
     )
     colours = F.array(*[F.lit(c) for c in HEAT_COLOURS])
     return (
-        attach(df, limits, keys)
-        .withColumn("level", level.cast("int"))
+        limits.withColumn("level", level.cast("int"))
         .withColumn("colour", F.get(colours, F.col("level")))
         .drop("_low", "_high")
     )
 
 
-def sort_order(df: DataFrame, sort_by: str = "wafer_id", direction: str = "asc", tie: Sequence[str] = tuple(DIE_KEYS)) -> list[Column]:
-    """Ordering by one column, missing values last, made total by ``tie``.
+def sort_keys(df: DataFrame, sort_by: str = "wafer_id", direction: str = "asc", tie: Sequence[str] = tuple(DIE_KEYS)) -> list[tuple[str, bool]]:
+    """Sort columns and whether they ascend: one column, made total by ``tie``.
 
     An unknown column orders by ``tie`` alone; any direction but "asc" means descending.
     """
-    if sort_by not in df.columns:
-        first = []
-    elif direction == "asc":
-        first = [F.col(sort_by).asc_nulls_last()]
-    else:
-        first = [F.col(sort_by).desc_nulls_last()]
-    return first + [F.col(c).asc_nulls_last() for c in tie if c != sort_by and c in df.columns]
+    first = [(sort_by, direction == "asc")] if sort_by in df.columns else []
+    return first + [(c, True) for c in tie if c != sort_by and c in df.columns]
+
+
+def ordering(keys: Keys) -> list[Column]:
+    """The sort columns with missing values last both ways."""
+    return [F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last() for c, ascending in keys]
+
+
+def sort_order(df: DataFrame, sort_by: str = "wafer_id", direction: str = "asc", tie: Sequence[str] = tuple(DIE_KEYS)) -> list[Column]:
+    """The ordering of :func:`sort_keys`."""
+    return ordering(sort_keys(df, sort_by, direction, tie))
 
 
 def sort_rows(df: DataFrame, sort_by: str = "wafer_id", direction: str = "asc", tie: Sequence[str] = tuple(DIE_KEYS)) -> DataFrame:
@@ -97,16 +103,16 @@ def sort_rows(df: DataFrame, sort_by: str = "wafer_id", direction: str = "asc",
     return df.withColumn("_part", F.spark_partition_id()).orderBy(*order, "_part").drop("_part")
 
 
-def page(df: DataFrame, order: Sequence[Column], number: int = 1, limit: int = PAGE_ROWS, shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
-    """Rows ``[(number-1)*limit, number*limit)`` of the ordered table.
+def page(df: DataFrame, keys: Keys, number: int = 1, limit: int = PAGE_ROWS, shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
+    """Rows ``[(number-1)*limit, number*limit)`` of the table ordered by ``keys``, as :func:`sort_keys` gives them.
 
     Pages near the front are one top-k. Deeper pages go through :func:`deep_page`.
     """
     if number < 1 or limit < 1:
         raise ValueError("page number and limit count from 1")
     if number * limit <= shallow_rows:
-        return df.orderBy(*order).offset((number - 1) * limit).limit(limit)
-    return deep_page(df, order, (number - 1) * limit, number * limit)
+        return df.orderBy(*ordering(keys)).offset((number - 1) * limit).limit(limit)
+    return deep_page(df, keys, (number - 1) * limit, limit)
 
 
 def page_of(
@@ -116,35 +122,29 @@ def page_of(
     """One page of measurements; a product kept per lot joins the rows of the page, unless the order needs it."""
     late = m.lots is not None and sort_by != "product_id"
     rows = m.frame(*[c for c in m.available() if not (late and c == "product_id")])
-    order = sort_order(rows, sort_by, direction, tie)
-    chosen = page(rows, order, number, limit, shallow_rows)
-    return attach(chosen, m.lots, ["lot_id"]).orderBy(*order) if late else chosen
+    keys = sort_keys(rows, sort_by, direction, tie)
+    chosen = page(rows, keys, number, limit, shallow_rows)
+    return attach(chosen, m.lots, ["lot_id"]).orderBy(*ordering(keys)) if late else chosen
 
 
-def deep_page(df: DataFrame, order: Sequence[Column], start: int, end: int) -> DataFrame:
-    """Rows ``[start, end)`` of the order, without gathering the rows before them.
+def deep_page(df: DataFrame, keys: Keys, start: int, limit: int, few_rows: int = FEW_ROWS) -> DataFrame:
+    """``limit`` rows from the 0-based rank ``start`` on, at about the same cost for any rank.
 
-    Rows are split into ordered ranges and stored once; the counts per range tell which few ranges
-    the page touches, and only those are ranked.
+    The place of the first row is found by counting ranges of the sort columns (:func:`fabgrain.functions.rank_select.start_of`);
+    one top-k over the rows from there on gives the page. Rows with equal keys are told apart by a hash of the whole row, so
+    that pages neither overlap nor skip; which of several equal rows a page shows does not matter.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.withColumn("_part", F.spark_partition_id()).repartitionByRange(parts, *order, "_part").drop("_part")
-    ranged = durable(placed.withColumn("_range", F.spark_partition_id()))
-    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    touched = (
-        ranged.groupBy("_range")
-        .agg(F.count("*").alias("_size"))
-        .withColumn("_below", F.coalesce(F.sum("_size").over(below), F.lit(0)))
-        .where((F.col("_below") < end) & (F.col("_below") + F.col("_size") > start))
-    )
-    rank = F.col("_below") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return (
-        attach(ranged, keep(touched.select("_range", "_below")), ["_range"], "inner")
-        .withColumn("_rank", rank)
-        .where((F.col("_rank") >= start) & (F.col("_rank") < end))
-        .orderBy("_rank")
-        .drop("_range", "_below", "_rank")
-    )
+    own = "_row"
+    while own in df.columns:
+        own += "_"
+    hashed = df.withColumn(own, F.xxhash64(*df.columns))
+    full = [*keys, (own, True)]
+    found = start_of(hashed, full, start, few_rows)
+    if found.same is None:
+        return found.rows.orderBy(*ordering(full)).offset(found.skip).limit(limit).drop(own)
+    equal = max(0, min(limit, found.n_same - found.skip))
+    both = found.same.limit(equal).unionByName(found.rows.orderBy(*ordering(full)).limit(limit - equal))
+    return both.orderBy(*ordering(full)).drop(own)
 
 
 def page_after(df: DataFrame, columns: Sequence[str], last: Sequence, limit: int = PAGE_ROWS) -> DataFrame:

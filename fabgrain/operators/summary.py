@@ -43,26 +43,27 @@ def catalogue(df: DataFrame, lots: DataFrame | None = None) -> DataFrame:
 
 
 def wafer_map(df: DataFrame) -> DataFrame:
-    """Cells of every wafer and parameter, one row per die, with the wafer's minimum and maximum."""
-    rows = with_keys(df, WAFER_KEYS)
-    limits = keep(rows.groupBy(*WAFER_KEYS).agg(F.min("value").alias("min_value"), F.max("value").alias("max_value")))
-    return attach(rows.select(*WAFER_KEYS, "x", "y", "value"), limits, WAFER_KEYS)
+    """Cells of every wafer and parameter, one row per die, with the wafer's minimum and maximum; one scan, one shuffle."""
+    whole = Window.partitionBy(*WAFER_KEYS)
+    rows = with_keys(df, WAFER_KEYS).select(*WAFER_KEYS, "x", "y", "value")
+    return rows.withColumns({"min_value": F.min("value").over(whole), "max_value": F.max("value").over(whole)})
+
+
+WAFER_MEASURES = {
+    "avg_value": F.avg, "std_value": F.stddev_samp, "min_value": F.min, "max_value": F.max,
+}
 
 
 def wafer_summary(df: DataFrame) -> DataFrame:
     """Mean, sample spread, minimum and maximum of every wafer and parameter."""
-    return with_keys(df, WAFER_KEYS).groupBy(*WAFER_KEYS).agg(
-        F.avg("value").alias("avg_value"),
-        F.stddev_samp("value").alias("std_value"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-    )
+    return with_keys(df, WAFER_KEYS).groupBy(*WAFER_KEYS).agg(*[measure("value").alias(n) for n, measure in WAFER_MEASURES.items()])
 
 
 def lot_gallery(df: DataFrame) -> DataFrame:
-    """:func:`wafer_summary` on every die row, so that a thumbnail needs no second read."""
-    rows = with_keys(df, WAFER_KEYS)
-    return attach(rows.select(*WAFER_KEYS, "x", "y", "value"), keep(wafer_summary(df)), WAFER_KEYS)
+    """:func:`wafer_summary` on every die row, so that a thumbnail needs no second read; one scan, one shuffle."""
+    whole = Window.partitionBy(*WAFER_KEYS)
+    rows = with_keys(df, WAFER_KEYS).select(*WAFER_KEYS, "x", "y", "value")
+    return rows.withColumns({n: measure("value").over(whole) for n, measure in WAFER_MEASURES.items()})
 
 
 def box_plot(df: DataFrame, keys: Sequence[str] = tuple(WAFER_KEYS), hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -162,6 +163,60 @@ def status_summary(df: DataFrame, constant_yield: bool = True) -> DataFrame:
     )
 
 
+# Digits after the point that exact sums keep; values stay below 9e9 then.
+EXACT_DIGITS = 6
+
+
+def _whole(column: str) -> Column:
+    """A value in units of the last exact digit."""
+    return F.rint(F.col(column) * 10**EXACT_DIGITS).cast("decimal(18,0)")
+
+
+def _mean(total: Column, n: Column) -> Column:
+    return (total.cast("decimal(32,0)") * F.lit(f"1e-{EXACT_DIGITS}").cast(f"decimal({EXACT_DIGITS},{EXACT_DIGITS})")).cast("double") / n
+
+
+def _spread(n: Column, total: Column, squares: Column) -> Column:
+    """Sample spread from exact sums: squares are taken around a whole number near the mean, so nothing cancels."""
+    near = F.floor(total / n).cast("decimal(18,0)")
+    rest = (total - n * near).cast("double")
+    around = (squares - 2 * near * total + n * near * near).cast("double")
+    return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), around - rest * rest / n) / (n - 1)) / 10**EXACT_DIGITS)
+
+
+MOMENTS = {"n": F.sum, "total": F.sum, "squares": F.sum, "low": F.min, "high": F.max, "yields": F.sum, "yield_total": F.sum}
+
+
+def moments(df: DataFrame) -> DataFrame:
+    """Count, exact sums and extremes of every lot, wafer and parameter: all that the status of a wafer needs.
+
+    Values are kept to ``EXACT_DIGITS`` digits, so sums do not depend on any order, and moments of parts add up to those of
+    the whole.
+    """
+    value = _whole("value")
+    return with_keys(df, WAFER_KEYS).groupBy(*WAFER_KEYS).agg(
+        F.count("value").alias("n"), F.sum(value).alias("total"), F.sum((value * value).cast("decimal(36,0)")).alias("squares"),
+        F.min("value").alias("low"), F.max("value").alias("high"), F.count("yield").alias("yields"), F.sum(_whole("yield")).alias("yield_total"))
+
+
+def merge_moments(parts: DataFrame) -> DataFrame:
+    """One row per wafer and parameter from the moments of any number of parts."""
+    return parts.groupBy(*WAFER_KEYS).agg(*[merge(c).cast(parts.schema[c].dataType).alias(c) for c, merge in MOMENTS.items()])
+
+
+def add_part(rows: DataFrame, path: str, part: str) -> None:
+    """Store the moments of new rows beside those that are there; adding a part again replaces it."""
+    moments(rows).write.mode("overwrite").parquet(f"{path}/part={part}")
+
+
+def status_from_moments(parts: DataFrame) -> DataFrame:
+    """:func:`status_summary` with the mean of the yields, from stored moments alone: no measurement is read."""
+    n, total = F.col("n").cast("decimal(18,0)"), F.col("total")
+    return merge_moments(parts).select(
+        *WAFER_KEYS, _mean(total, F.col("n")).alias("mean"), _spread(n, total, F.col("squares")).alias("std"),
+        F.col("low").alias("min"), F.col("high").alias("max"), _mean(F.col("yield_total"), F.col("yields")).alias("yield"))
+
+
 def row_total(df: DataFrame) -> DataFrame:
     """Number of rows, as column ``total``."""
     return df.agg(F.count("*").alias("total"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabgrain.operators import distribution as dist
@@ -263,6 +266,18 @@ def _(spark, sf):
     return rows.withColumn("std", F.round("std", 2))
 
 
+@query("a9_incremental", from_m("""
+SELECT lot_id, wafer_id, parameter, avg(value) AS mean, round(stddev_samp(value), 2) AS std, min(value) AS min, max(value) AS max,
+       avg(yield) AS yield
+FROM m GROUP BY ALL"""))
+def _(spark, sf):
+    rows = measurements(spark, sf, ("l_orderkey",)).frame("lot_id", "wafer_id", "parameter", "value", "yield")
+    path = new_path(spark, "moments")
+    for part in range(3):
+        summ.add_part(rows.where(F.col("l_orderkey") % 3 == part), path, str(part))
+    return summ.status_from_moments(spark.read.parquet(path)).withColumn("std", F.round("std", 2))
+
+
 @query("a10_total", from_m("SELECT count(*) AS total FROM m WHERE wafer_id = 'W05'"))
 def _(spark, sf):
     return summ.row_total(sel.optional_filters(measurements(spark, sf), wafer_id="W05").frame("wafer_id"))
@@ -305,6 +320,19 @@ def _(spark, sf):
     return dist.empirical_cdf(measurements(spark, sf).frame("parameter", "value"), keys=["parameter"])
 
 
+@query("c1_sketched", from_m("""
+SELECT lot_id, parameter, count(value) AS n, min(value) AS low, max(value) AS high, 9::BIGINT AS points, true AS in_order
+FROM m WHERE value IS NOT NULL GROUP BY lot_id, parameter"""))
+def _(spark, sf):
+    # quantiles are approximate, so the check looks at their number and order; their rank error is tested
+    wafers = dist.wafer_sketches(measurements(spark, sf).frame("lot_id", "wafer_id", "parameter", "value"))
+    points = dist.sketched_quantiles(dist.roll_up(wafers, ["lot_id", "parameter"]), [i / 10 for i in range(1, 10)])
+    listed = F.array_sort(F.collect_list(F.struct("share", "value")))["value"]
+    return points.groupBy("lot_id", "parameter", "n", "low", "high").agg(listed.alias("v")).select(
+        "lot_id", "parameter", "n", "low", "high", F.size("v").cast("long").alias("points"),
+        ((F.array_sort("v") == F.col("v")) & (F.array_min("v") >= F.col("low")) & (F.array_max("v") <= F.col("high"))).alias("in_order"))
+
+
 @query("c2_histogram", from_m("""
 , b AS (SELECT lot_id, parameter, min(value) AS low, max(value) AS high FROM m GROUP BY ALL)
 SELECT lot_id, parameter, bin, low + (high - low) / 20 * (bin - 1) AS bin_low, low + (high - low) / 20 * (bin - 1) + (high - low) / 20 AS bin_high, count(*) AS rows
@@ -361,6 +389,29 @@ def _(spark, sf):
     return dist.die_coverage(measurements(spark, sf).frame("lot_id", "wafer_id", "parameter", "x", "y"))
 
 
+@query("c6_bitmap_coverage", from_m(f"""
+, spots AS (SELECT DISTINCT lot_id, wafer_id, parameter, x, y FROM m),
+grid AS (SELECT a.i AS x, b.i AS y FROM range(1, 31) a(i), range(1, 31) b(i))
+SELECT lot_id, wafer_id, parameter, count(*) FILTER ({ON_WAFER}) AS measured_dies, count(*) FILTER (NOT ({ON_WAFER})) AS off_wafer,
+       (SELECT count(*) FROM grid WHERE {ON_WAFER}) AS expected_dies,
+       (SELECT count(*) FROM grid WHERE {ON_WAFER}) - count(*) FILTER ({ON_WAFER}) AS missing_dies
+FROM spots GROUP BY lot_id, wafer_id, parameter"""))
+def _(spark, sf):
+    rows = measurements(spark, sf, ("l_orderkey",)).frame("lot_id", "wafer_id", "parameter", "x", "y")
+    parts = [dist.coverage_bitmaps(rows.where(F.col("l_orderkey") % 3 == part)) for part in range(3)]
+    return dist.bitmap_coverage(dist.merge_bitmaps(functools.reduce(DataFrame.unionByName, parts)))
+
+
+@query("c6_bitmap_gaps", from_m(f"""
+, spots AS (SELECT DISTINCT lot_id, wafer_id, parameter, x, y FROM m),
+grid AS (SELECT a.i AS x, b.i AS y FROM range(1, 31) a(i), range(1, 31) b(i)),
+wafers AS (SELECT DISTINCT lot_id, wafer_id, parameter FROM m)
+SELECT lot_id, wafer_id, parameter, x, y FROM wafers, grid WHERE {ON_WAFER}
+EXCEPT SELECT lot_id, wafer_id, parameter, x, y FROM spots"""))
+def _(spark, sf):
+    return dist.bitmap_gaps(dist.coverage_bitmaps(measurements(spark, sf).frame("lot_id", "wafer_id", "parameter", "x", "y")))
+
+
 @query("c6_missing_dies", from_m(f"""
 , spots AS (SELECT DISTINCT lot_id, wafer_id, parameter, x, y FROM m),
 grid AS (SELECT a.i AS x, b.i AS y FROM range(1, 31) a(i), range(1, 31) b(i)),

@@ -218,6 +218,20 @@ def _(spark, sf):
     return _plain(streams.drain(state.down_stream(heartbeats, "caller", 12 * HOUR), "t5"))
 
 
+@query("t6_busy_stream", T6_SQL + f"""
+, a AS (SELECT service, window_end AS w_end, window_end - to_hours((6 * row_number() OVER (PARTITION BY service ORDER BY window_end))::INTEGER) AS island
+        FROM w WHERE increase / 86400 > 3 AND {CLOSED}),
+i AS (SELECT service, min(w_end) AS active_from, max(w_end) AS active_until FROM a GROUP BY service, island)
+SELECT service, active_from, active_from + to_hours(12) AS fires_at FROM i WHERE active_until >= active_from + to_hours(12)""")
+def _(spark, sf):
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    samples = events.select("event_id", utc.alias("ts"), F.col("event_type").alias("service"), F.rint(F.col("value") * 100).alias("counter"))
+    with state.rocksdb(spark):
+        return _plain(streams.drain(state.busy_stream(samples, "service", "counter", "event_id", DAY, 6 * HOUR, 3.0, 12 * HOUR), "t6"))
+
+
 @query("t7_over_limit_stream", f"""
 WITH w AS (SELECT user_id AS caller, time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
                   count(*) AS requests, count(*) - 3 AS rejected FROM events GROUP BY ALL)

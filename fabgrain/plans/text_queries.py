@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fabgrain.functions.skew import keep
-from fabgrain.operators import chat, licenses, retrieval
+from fabgrain.operators import chat, licenses, retrieval, text_index, vector_search
 from fabgrain.operators import status_docs as docs
-from fabgrain.operators.summary import status_summary
+from fabgrain.operators.summary import moments, status_from_moments, status_summary
 from fabgrain.plans import driver_tables as drv
 from fabgrain.plans.driver_tables import LICENSES, MEASURED, measurements, table
 from fabgrain.plans.registry import query
+from fabgrain.session import new_path
+
 
 def _summary(spark, sf):
     rows = measurements(spark, sf).frame("lot_id", "wafer_id", "parameter", "value", "yield")
@@ -30,12 +32,16 @@ docs AS (
 )"""
 
 
+EXACT_SPREAD = """CASE WHEN count(value) > 1 THEN sqrt((count(value) * sum(value::HUGEINT * value::HUGEINT) - sum(value::HUGEINT) * sum(value::HUGEINT))::DOUBLE
+      / (count(value) * (count(value) - 1))) END"""
+
+
 @query("r1_sentences", f"""
-WITH {DOCUMENTS} SELECT id, regexp_replace(document, 'Std Dev is [0-9.]+', 'Std Dev is -') AS document FROM docs""")
+WITH {DOCUMENTS.replace("stddev_samp(value)", EXACT_SPREAD)} SELECT id, document FROM docs""")
 def _(spark, sf):
-    # the spread's last digits depend on the order of addition, so the check leaves them out
-    texts = docs.status_documents(_summary(spark, sf))
-    return texts.select("id", F.regexp_replace("document", r"Std Dev is [0-9.]+", "Std Dev is -").alias("document"))
+    # from exact sums on both sides, as the spread's last digits depend on the order of addition else
+    rows = measurements(spark, sf).frame("lot_id", "wafer_id", "parameter", "value", "yield")
+    return docs.status_documents(status_from_moments(moments(rows))).select("id", "document")
 
 
 @query("r2_metadata", f"""
@@ -61,6 +67,11 @@ weights AS (
 WORDS = words_sql("documents", "doc_id", "text")
 
 
+def _documents(spark, sf):
+    """The driver's documents are one file of few row groups, so they are dealt to all cores first."""
+    return table(spark, sf, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+
+
 def similar_sql(key: str, question: str, n: int) -> str:
     return f"""
 q AS (SELECT bucket, coalesce(count(w), 0) * any_value(idf) AS q_weight FROM weights LEFT JOIN (
@@ -76,7 +87,7 @@ WITH {WORDS}, n AS (SELECT doc_id, sqrt(sum((tf * idf) ** 2)) AS norm FROM count
 SELECT doc_id, bucket, round(tf * idf / norm, 6) AS weight
 FROM counts JOIN weights USING (bucket) JOIN n USING (doc_id) WHERE norm > 0""")
 def _(spark, sf):
-    vectors = retrieval.hashed_tfidf(table(spark, sf, "documents"), "doc_id", "text")
+    vectors = retrieval.hashed_tfidf(_documents(spark, sf), "doc_id", "text")
     return vectors.withColumn("weight", F.round("weight", 6))
 
 
@@ -85,14 +96,12 @@ QUESTION = "of the one that is on the with and by"
 
 @query("r4_nearest_text", f"WITH {WORDS}, {similar_sql('doc_id', QUESTION, 3)} SELECT * FROM best")
 def _(spark, sf):
-    return retrieval.nearest_text(table(spark, sf, "documents"), "doc_id", "text", QUESTION).withColumn("similarity", F.round("similarity", 6))
+    return retrieval.nearest_text(_documents(spark, sf), "doc_id", "text", QUESTION).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("r4_nearest_stored", f"WITH {WORDS}, {similar_sql('doc_id', QUESTION, 3)} SELECT * FROM best")
 def _(spark, sf):
-    texts = table(spark, sf, "documents")
-    vectors = keep(retrieval.document_vectors(texts, "doc_id", "text"))
-    weights = keep(retrieval.bucket_weights(retrieval.bucket_counts(texts, "doc_id", "text"), texts))
+    vectors, weights = retrieval.document_vectors(_documents(spark, sf), "doc_id", "text")
     return retrieval.nearest_stored(vectors, weights, "doc_id", QUESTION).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -120,6 +129,38 @@ def _(spark, sf):
     return rows.withColumn("distance", F.abs(F.round("distance", 6)))
 
 
+@query("r4_nearest_pivots", _nearest_sql("list_distance(embedding::DOUBLE[], q::DOUBLE[])"))
+def _(spark, sf):
+    path = new_path(spark, "pivots")
+    vector_search.build_pivots(table(spark, sf, "embeddings"), "vec_id", "embedding", path)
+    return vector_search.nearest_around_pivots(spark, path, _first_vector(spark, sf)).rows.withColumn("distance", F.round("distance", 6))
+
+
+def _many_sql(distance: str) -> str:
+    return f"""
+WITH d AS (
+  SELECT q.vec_id AS question, c.vec_id, round({distance}, 12) AS exact
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) c)
+SELECT question, vec_id, abs(round(exact, 6)) AS distance, row_number() OVER (PARTITION BY question ORDER BY exact, vec_id)::INTEGER AS rank
+FROM d QUALIFY rank <= 5"""
+
+
+def _many(spark, sf, metric):
+    vectors = table(spark, sf, "embeddings")
+    found = vector_search.nearest_join(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding", 5, metric)
+    return found.withColumn("distance", F.abs(F.round("distance", 6)))
+
+
+@query("r4_many_l2", _many_sql("list_distance(c.v, q.v)"))
+def _(spark, sf):
+    return _many(spark, sf, "l2")
+
+
+@query("r4_many_cosine", _many_sql("1 - list_cosine_similarity(c.v, q.v)"))
+def _(spark, sf):
+    return _many(spark, sf, "cosine")
+
+
 @query("r5_wafer_status", f"""
 WITH {STATUS} SELECT lot_id, wafer_id, parameter, mean, round(std, 2) AS std, min, max, yield FROM s WHERE wafer_id = 'W03'""")
 def _(spark, sf):
@@ -137,6 +178,18 @@ def _(spark, sf):
     return retrieval.search(texts, ISSUE).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("r6_indexed", f"""
+WITH {DOCUMENTS}, {words_sql('docs', 'id', 'document')}, {similar_sql('id', ISSUE.lower(), 5)}
+SELECT rank, id, document, similarity FROM best JOIN docs USING (id)""")
+def _(spark, sf):
+    texts = keep(docs.status_documents(_summary(spark, sf)).select("id", "document"))
+    vectors, weights = retrieval.document_vectors(texts, "id", "document")
+    path = new_path(spark, "index")
+    text_index.build_index(vectors, weights, "id", path)
+    found = text_index.ask(spark, path, ISSUE).rows
+    return texts.join(F.broadcast(found), "id").select("rank", "id", "document", F.round("similarity", 6).alias("similarity")).orderBy("rank")
+
+
 @query("r7_low_yield", f"""
 WITH {STATUS} SELECT lot_id, wafer_id, parameter, yield, round(std, 2) AS std FROM s WHERE coalesce(yield, 100) < 96.5""")
 def _(spark, sf):

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def test_report_without_product_column(measured):
 
 
 def test_pages_partition_the_sorted_rows(measured):
-    order = sel.sort_order(measured)
+    order = sel.sort_keys(measured)
     pages = [rows_of(sel.page(measured, order, n, 3)) for n in (1, 2, 3, 4)]
     assert [len(p) for p in pages] == [3, 3, 2, 0]
     assert sum(pages, []) == rows_of(sel.sort_rows(measured))
@@ -247,3 +248,58 @@ def test_ingest(spark):
 def test_concat_fills_absent_columns(spark):
     a = spark.createDataFrame([(1, "x")], "id int, s string")
     assert sorted(rows_of(tables.concat([a, a.select("id")])), key=str) == [(1, "x"), (1, None)]
+
+
+def test_moments_of_parts_add_up_exactly(spark, folder):
+    rng = np.random.default_rng(5)
+    rows = [("Lot1", f"W{i % 3}", "T", float(np.round(1000 + rng.normal() * 0.001, 6)), 90.0 + i % 5) for i in range(600)]
+    rows += [("Lot1", "W9", "T", None, None), ("Lot1", "W8", "T", 5.0, None), (None, "W1", "T", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "lot_id string, wafer_id string, parameter string, value double, yield double")
+    whole = summ.status_from_moments(summ.moments(df)).collect()
+    for i in range(3):
+        summ.add_part(df.where(F.pmod(F.xxhash64("value"), F.lit(3)) == i) if i else df.where("value IS NULL OR pmod(xxhash64(value), 3) = 0"), f"{folder}/m", str(i))
+    summ.add_part(df.where(F.pmod(F.xxhash64("value"), F.lit(3)) == 2), f"{folder}/m", "2")  # adding a part again replaces it
+    parts = spark.read.parquet(f"{folder}/m")
+    assert sorted(map(str, summ.status_from_moments(parts).collect())) == sorted(map(str, whole))
+    want = {r.wafer_id: r for r in summ.status_summary(df, constant_yield=False).collect()}
+    for r in whole:
+        w = want[r.wafer_id]
+        assert (r.min, r.max) == (w.min, w.max) and r["yield"] == (pytest.approx(w["yield"]) if w["yield"] is not None else None)
+        assert r.mean == (pytest.approx(w["mean"], rel=1e-12) if w["mean"] is not None else None)
+        values = [v for lot, wafer, _, v, _ in rows if wafer == r.wafer_id and v is not None and lot is not None]
+        assert r["std"] == (pytest.approx(np.std(values, ddof=1), rel=1e-6) if len(values) > 1 else None)
+
+
+def test_moments_need_no_measurement(spark, folder, measured):
+    summ.add_part(measured, f"{folder}/m", "a")
+    plan = summ.status_from_moments(spark.read.parquet(f"{folder}/m"))._jdf.queryExecution().executedPlan().toString()
+    assert "value" not in plan.replace("values", "") and f"{folder}/m" in plan
+
+
+def test_bitmaps_of_parts_equal_the_dies(spark):
+    rng = np.random.default_rng(6)
+    rows = [("L", f"W{i % 4}", "T", int(rng.integers(1, 31)), int(rng.integers(1, 31))) for i in range(900)] + [("L", "W1", "T", 0, 5), ("L", "W1", "T", 31, 31), ("L", "W7", "T", None, 3)]
+    df = spark.createDataFrame(rows, "lot_id string, wafer_id string, parameter string, x int, y int")
+    parts = dist.coverage_bitmaps(df.where("x % 2 = 0")).unionByName(dist.coverage_bitmaps(df.where("x % 2 = 1")))
+    merged = dist.merge_bitmaps(parts)
+    columns = ["wafer_id", "measured_dies", "off_wafer", "expected_dies", "missing_dies"]
+    assert sorted(rows_of(dist.bitmap_coverage(merged), *columns)) == sorted(rows_of(dist.die_coverage(df), *columns))
+    assert sorted(rows_of(dist.bitmap_gaps(merged))) == sorted(rows_of(dist.missing_dies(df)))
+    assert len(merged.first()["places"]) * 8 < 150
+
+
+def test_sketches_roll_up_within_their_rank_error(spark):
+    rng = np.random.default_rng(9)
+    values = {f"W{w}": rng.lognormal(w / 5, 1.0, 4000 + 500 * w) for w in range(10)}
+    rows = [("Lot%d" % (int(w[1:]) % 2), w, "T", float(v)) for w, vs in values.items() for v in vs]
+    df = spark.createDataFrame(rows, "lot_id string, wafer_id string, parameter string, value double").repartition(6)
+    sketches = dist.wafer_sketches(df)
+    for keys, groups in ((["lot_id"], lambda w: f"Lot{int(w[1:]) % 2}"), (["parameter"], lambda w: "T")):
+        rolled = dist.roll_up(sketches, keys)
+        points = dist.sketched_quantiles(rolled, [0.01, 0.25, 0.5, 0.75, 0.99])
+        for r in points.collect():
+            own = np.sort(np.concatenate([v for w, v in values.items() if groups(w) == r[keys[0]]]))
+            assert (r.n, r.low, r.high) == (len(own), own[0], own[-1])
+            assert abs(np.searchsorted(own, r.value, side="right") / len(own) - r.share) <= 3 * dist.SKETCH_ERROR
+        scans = [d._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") for d in (points, sketches)]
+        assert scans == [1, 1]

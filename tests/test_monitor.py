@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fabgrain.functions.timeslice import SECOND
 from fabgrain.operators import monitor as mon
 from fabgrain.streaming import requests as streams
 from fabgrain.streaming import state
@@ -261,3 +262,35 @@ def test_limiter_stream_counts_late_rows_at_their_time(spark, folder, slice_seco
     got = state.limiter_stream(stream, "event_id", limit=7, block_seconds=30, slice_seconds=slice_seconds)
     got = rows_of(streams.drain(got, "late", f"{folder}/late"), "event_id", "recent", "over_limit", "blocked")
     assert got == sorted(wanted) and 0 < sum(w[3] and not w[2] for w in wanted)
+
+
+def test_busy_stream_matches_batch(spark, folder):
+    """Samples in shuffled files, one file per batch, with restarts and pauses."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for process in ("a", "b"):
+        at_s, total = 0.0, 0.0
+        for i in range(900):
+            at_s += float(rng.choice([3, 15, 40])) + (2000 if i in (200, 500) else 0)
+            total = 0.0 if rng.random() < 0.01 else total + float(rng.integers(0, 60 if (i // 80) % 2 else 15))
+            rows.append((process, at(at_s), i, total))
+    order = np.arange(len(rows)) + rng.integers(0, 25, len(rows))  # a little out of order, within the delay
+    rows = [rows[i] for i in np.argsort([r[1].timestamp() for r in rows], kind="stable")]
+    rows = [rows[i] for i in np.argsort(order, kind="stable")]
+    schema = "process string, ts timestamp, n long, cpu double"
+    for part in range(4):
+        cut = rows[part * len(rows) // 4 : (part + 1) * len(rows) // 4]
+        spark.createDataFrame(cut, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with state.rocksdb(spark):
+        got = streams.drain(state.busy_stream(stream, "process", "cpu", "n", delay="30 minutes"), "busy", f"{folder}/busy")
+    newest = max(r[1] for r in rows) - timedelta(minutes=30)
+    wanted = mon.busy_alerts(spark.createDataFrame(rows, schema), ["process"], "cpu", ["ts", "n"]).where(F.col("fires_at") <= F.lit(newest))
+    assert rows_of(got) == rows_of(wanted, "process", "active_from", "fires_at") and wanted.count() > 2
+
+
+def test_one_callers_hour_spreads_over_groups(spark):
+    rows = [request(i, i * 3600 / 9000, caller="busy") for i in range(9000)] + [request(9000 + i, i * 3.6, caller=f"c{i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, REQUEST).select("event_id", "caller", F.unix_micros("ts").alias("at"))
+    sizes = [r["count"] for r in state.dealt(df, "caller", 660 * SECOND, 300 * SECOND, 4).groupBy("deal", "slice").count().collect()]
+    assert max(sizes) < 0.12 * sum(sizes)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fabgrain.functions.order_stats import order_statistics, quantiles
 from fabgrain.functions.skew import attach, keep
 from fabgrain.operators.distribution import cdf_ranks, empirical_cdf
-from fabgrain.operators.select import deep_page, page, sort_order
+from fabgrain.operators.select import deep_page, ordering, page, sort_keys
 from fabgrain.operators.summary import box_plot
 
 
@@ -89,11 +89,43 @@ def test_cdf_ranks_match_numpy(spark, n):
 
 def test_deep_pages_join_up_to_the_sorted_table(spark):
     df = spark.range(0, 1000, numPartitions=5).select((F.col("id") * 7 % 13).alias("wafer_id"), F.col("id").alias("x"))
-    order = sort_order(df, "wafer_id", "desc", ["x"])
-    wanted = [tuple(r) for r in df.orderBy(*order).collect()]
+    keys = sort_keys(df, "wafer_id", "desc", ["x"])
+    wanted = [tuple(r) for r in df.orderBy(*ordering(keys)).collect()]
     got = []
     for start in range(0, 1000, 300):
-        got += [tuple(r) for r in deep_page(df, order, start, start + 300).collect()]
+        got += [tuple(r) for r in deep_page(df, keys, start, 300, few_rows=20).collect()]
     assert got == wanted
-    shallow = [tuple(r) for r in page(df, order, 2, 30).collect()]
-    assert shallow == [tuple(r) for r in page(df, order, 2, 30, shallow_rows=10).collect()] == wanted[30:60]
+    shallow = [tuple(r) for r in page(df, keys, 2, 30).collect()]
+    assert shallow == [tuple(r) for r in page(df, keys, 2, 30, shallow_rows=10).collect()] == wanted[30:60]
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_deep_pages_of_any_values(spark, first):
+    """Missing values, NaN, text, a hot value, and rows that repeat."""
+    rows = [(None if i % 5 == 0 else float("nan") if i % 11 == 0 else float(i % 3), None if i % 7 == 0 else f"k{i * i % 50:02d}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "v double, name string, n int")
+    keys = [("v", first), ("name", not first), ("n", True)]
+    wanted = [str(tuple(r)) for r in df.orderBy(*ordering(keys)).collect()]
+    got = [str(tuple(r)) for start in range(0, 400, 80) for r in deep_page(df, keys, start, 80, few_rows=10).collect()]
+    assert got == wanted
+    assert deep_page(df, keys, 5000, 80, few_rows=10).count() == 0 and deep_page(df.limit(0), keys, 0, 5).count() == 0
+
+
+def test_deep_pages_of_equal_keys_show_every_row_once(spark):
+    same = spark.range(0, 500, numPartitions=4).select(F.lit(1).alias("v"), F.col("id"))
+    pages = [deep_page(same, [("v", True)], start, 100, few_rows=30).collect() for start in range(0, 500, 100)]
+    assert sorted(r["id"] for p in pages for r in p) == list(range(500))
+    copies = spark.range(0, 500, numPartitions=4).select(F.when(F.col("id") < 450, 1).otherwise(2).alias("v"))
+    pages = [[r["v"] for r in deep_page(copies, [("v", True)], start, 100, few_rows=30).collect()] for start in range(0, 500, 100)]
+    assert sum(pages, []) == [1] * 450 + [2] * 50
+
+
+def test_a_deep_page_is_one_top_k_and_writes_nothing(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: pytest.fail("a table was written"))
+    df = spark.range(0, 20_000, numPartitions=4).select((F.col("id") % 7).alias("v"), "id")
+    found = deep_page(df, [("v", True), ("id", False)], 9_000, 50, few_rows=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Exchange rangepartitioning" not in plan
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in df.orderBy("v", F.desc("id")).offset(9_000).limit(50).collect()]
