@@ -26,6 +26,7 @@ HEX = re.compile(r"[0-9a-f]+")
 #: Access tokens of a code host: 30 random characters, then their CRC-32 in six characters of base 62.
 GITHUB = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -113,7 +114,8 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` in code points, by start and then kind as in ``KINDS``.
 
     Per kind the leftmost non-overlapping matches of its pattern are taken, as a search over the whole text would; of
-    these, only those that pass the kind's rule (least length, checksum, decodable content) are returned.
+    these, only those that pass the kind's rule (least length, checksum, decodable content) are returned. Time is linear in
+    the text.
     """
     found = [(a, b, "hex") for a, b in _hex_spans(text)]
     hits: dict[str, set[int]] = {}
@@ -123,10 +125,14 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
         pattern, holds = RULES[kind]
         free = 0
         for at in sorted(starts):
-            if at >= free and (m := pattern.match(text, at)):
+            if at < free:
+                continue
+            if m := pattern.match(text, at):
                 free = m.end()
                 if holds(m):
                     found.append((at, free, kind))
+            elif kind == "jwt" and text.startswith("eyJ", at):  # what follows its run decides, and is the same for every later start in the run
+                free = JWT_RUN.match(text, at).end()
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
