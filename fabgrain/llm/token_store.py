@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from fabgrain.llm import pieces
 from fabgrain.llm.common import record, shuffle_partitions, strings
+from fabgrain.session import durable
 
 SHARD_IDS = 4 << 20
 KEYS_PER_BUCKET = 20_000
@@ -206,18 +207,21 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id:
     _write_index(spark, path)
 
 
-def directory(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, in its shard: ``key``, ``shard``, ``offset``, ``length`` and the checksum of its ids."""
-    schema = pa.schema([("key", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+def payload(spark: SparkSession, path: str, sums: bool = True) -> DataFrame:
+    """Per document, as the shards have it: ``key``, ``shard``, ``offset``, ``length`` and, with ``sums``, the checksum of its ids."""
+    kinds = [("key", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())] + [("ids_crc32", pa.int64())] * sums
+    schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
                 s = Shard(data.as_py())
-                sums = [zlib.crc32(s.read(o, n)) for o, n in zip(s.offsets.tolist(), s.lengths.tolist(), strict=True)]
-                yield record(schema, [s.keys, [s.number] * len(sums), s.offsets, s.lengths, sums])
+                columns = [s.keys, [s.number] * len(s.keys), s.offsets, s.lengths]
+                if sums:
+                    columns.append([zlib.crc32(s.read(o, n)) for o, n in zip(s.offsets.tolist(), s.lengths.tolist(), strict=True)])
+                yield record(schema, columns)
 
-    return _files(spark, f"{path}/shards").mapInArrow(run, "key bigint, shard bigint, offset bigint, length bigint, ids_crc32 bigint")
+    return _files(spark, f"{path}/shards").mapInArrow(run, ", ".join(f"{n} bigint" for n in schema.names))
 
 
 def _named(rows: DataFrame, buckets: int) -> DataFrame:
@@ -228,11 +232,15 @@ def _named(rows: DataFrame, buckets: int) -> DataFrame:
 
 def _write_index(spark: SparkSession, path: str) -> None:
     """Read the shards back, note what they hold, and index it."""
-    directory(spark, path).write.parquet(f"{path}/directory")
+    payload(spark, path, sums=False).write.parquet(f"{path}/directory")
     rows = spark.read.parquet(f"{path}/directory")
-    shards = rows.groupBy("shard").agg(F.count("*").alias("documents"), F.sum("length").alias("tokens"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
-    shards.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long"))).write.parquet(f"{path}/starts")
+    # Shards are numbered within the range of keys they were written from, so their starts add up within a range, and ranges
+    # among each other: one row per range.
+    shards = durable(rows.groupBy("shard").agg(F.count("*").alias("documents"), F.sum("length").alias("tokens")).withColumn("part", F.shiftright("shard", 32)))
+    upto = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = shards.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", upto(Window.orderBy("part")).alias("before"))
+    inside = shards.withColumn("inside", upto(Window.partitionBy("part").orderBy("shard")))
+    inside.join(parts, "part").select("shard", "documents", "tokens", (F.col("before") + F.col("inside")).alias("start")).write.parquet(f"{path}/starts")
 
     # Only keys that occur again need numbering; their rows are spread by key.
     again = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
@@ -253,10 +261,11 @@ def _write_index(spark: SparkSession, path: str) -> None:
 
 # -- reading -------------------------------------------------------------------------------------------------------
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+def lookup(spark: SparkSession, path: str, keys: DataFrame, all_there: bool = False) -> DataFrame:
     """``keys`` (columns ``key``, ``ordinal``) with ``shard``, ``offset`` and ``length``, found through the index.
 
-    A key that is not in the store gives no row, but for one in 2**32 whose fingerprint agrees by chance.
+    A key that is not in the store gives no row, but for one in 2**32 whose fingerprint agrees by chance; with
+    ``all_there`` it stops the query.
     """
     rows = spark.read.parquet(f"{path}/buckets").head()
     if rows is None:
@@ -270,11 +279,15 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 
     def find(wanted: pa.Table, index: pa.Table) -> pa.Table:
         out: list[tuple] = []
+        if all_there and wanted.num_rows and not index.num_rows:
+            raise ValueError(f"no index file for bucket {wanted.column('bucket')[0]}")
         if index.num_rows and wanted.num_rows:
             found = Index(index.column("content")[0].as_py())
             for k, o, name in zip(*(wanted.column(c).to_pylist() for c in ("key", "ordinal", "name")), strict=True):
                 if place := found.find(name.encode()):
                     out.append((k, o, *place))
+                elif all_there:
+                    raise ValueError(f"the index does not know document {name}")
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], schema=schema)
 
     files = _files(spark, f"{path}/index").mapInArrow(heads, "bucket int, content binary")
@@ -307,14 +320,18 @@ def fetch(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Every stored document: ``key``, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32``.
 
-    Each key goes through the index; the place found there must hold a document of the payload, whose ids are summed.
+    Each document that the shards' headers name goes through the index, and the ids at the place found there are read and
+    summed. A document that the index misses, or a place that does not hold it, stops the query.
     """
-    payload = spark.read.parquet(f"{path}/directory")  # read back from the shards when the index was made
-    places = payload.groupBy("key").agg(F.count("*").alias("n")).select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ordinal"))
-    found = lookup(spark, path, places)
+    named = spark.read.parquet(f"{path}/directory")  # as the shards' headers told when the index was made
+    places = named.groupBy("key").agg(F.count("*").alias("n")).select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ordinal"))
+    found = lookup(spark, path, places, all_there=True)
+    held = payload(spark, path).withColumnRenamed("key", "held")
     starts = spark.read.parquet(f"{path}/starts").select("shard", F.col("start").alias("shard_start"))
+    right = F.col("ids_crc32").isNotNull() & F.col("held").eqNullSafe(F.col("key"))
+    wrong = F.raise_error(F.concat(F.lit("the index gives a wrong place for document "), F.coalesce(F.col("key").cast("string"), F.lit("null"))))
     return (
-        found.join(payload.select("shard", "offset", "length", "ids_crc32"), ["shard", "offset", "length"])
-        .join(starts, "shard")
-        .select("key", (F.col("shard_start") + F.col("offset")).alias("start"), F.col("length").alias("n_tokens"), "ids_crc32")
+        found.join(held, ["shard", "offset", "length"], "left").join(starts, "shard", "left")
+        .select("key", (F.col("shard_start") + F.col("offset")).alias("start"), F.col("length").alias("n_tokens"),
+                F.when(right, F.col("ids_crc32")).otherwise(wrong.cast("long")).alias("ids_crc32"))
     )
