@@ -13,8 +13,11 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """Per centre ``u``, edges from its neighbours ``v`` to the smallest of them all."""
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """Per centre ``u``, edges from its neighbours ``v`` to the smallest of them all.
+
+    The smallest ones are stored, so that Spark can split the join where one centre has very many neighbours.
+    """
+    least = durable(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     return pairs.join(least, "u")
 
 
@@ -29,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = _signature(now)
     while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = durable(_star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         down = _star(large)
         small = down.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = durable(small.where("a <> b").distinct())

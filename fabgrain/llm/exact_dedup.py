@@ -162,8 +162,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", piece: int
         first.where("text is not null").select(*FP, "share", "number", "text").repartition(*FP).sortWithinPartitions(*FP)
         .mapInArrow(_classes(FP, schema2), "n_bytes bigint, h1 bigint, h2 bigint, share int, number int, group int, text string").drop("text")
     )
-    members = first.drop("text").join(second, [*FP, "share", "number"])
-    sums = members.groupBy(*FP, "group").agg(F.max("key").alias("keep_id"), F.count("*").alias("group_size"))
+    # Both sides of the last join are stored, so that Spark can split it where one text has very many copies.
+    members = durable(first.drop("text").join(durable(second), [*FP, "share", "number"]))
+    sums = durable(members.groupBy(*FP, "group").agg(F.max("key").alias("keep_id"), F.count("*").alias("group_size")))
     joined = members.join(sums, [*FP, "group"])
     keepers = joined.where(F.col("key").eqNullSafe(F.col("keep_id"))).withColumn(
         "kept", F.row_number().over(Window.partitionBy(*FP, "group").orderBy("share")) == 1)

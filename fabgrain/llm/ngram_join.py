@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ PERCENT = 75
 #: Counters of the frequency sketch that orders n-grams from rare to common. Any order gives the same result; a rough
 #: one only means more candidates, so the sketch has this size for any corpus.
 SKETCH = 1 << 21
+#: Tasks whose counters are added up at once.
+FAN_IN = 64
 #: N-grams that one task puts into tries at once; larger clusters are worked off in blocks.
 BLOCK_GRAMS = 500_000
 
@@ -177,7 +180,7 @@ def _with_partners(classes: DataFrame, percent: int) -> DataFrame:
 def _sketch(classes: DataFrame) -> np.ndarray:
     """How many sets have an n-gram in each of ``SKETCH`` slots; of fixed size, so it may pass through the driver."""
     blocks, per = 16, SKETCH // 16
-    schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("block", pa.int32()), ("part", pa.int64()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
@@ -185,14 +188,25 @@ def _sketch(classes: DataFrame) -> np.ndarray:
             for g in b.column(0):
                 np.add.at(total, (np.frombuffer(g.as_buffer(), np.uint64) % np.uint64(SKETCH)).astype(np.int64), 1)
         if total.any():
-            yield record(schema, [range(blocks), [total[i * per : (i + 1) * per].tobytes() for i in range(blocks)]])
+            task = TaskContext.get().partitionId()
+            yield record(schema, [range(blocks), [task] * blocks, [total[i * per : (i + 1) * per].tobytes() for i in range(blocks)]])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.int64) for c in group.column("counts").to_pylist())
-        return pa.table({"block": group.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
+        total = np.zeros(per, np.int64)
+        for c in group.column("counts"):
+            total += np.frombuffer(c.as_buffer(), np.int64)
+        part = group.column("part")[0].as_py() // FAN_IN
+        return pa.table([pa.array([group.column("block")[0].as_py()], pa.int32()), pa.array([part]), pa.array([total.tobytes()], pa.binary())], schema=schema)
+
+    # Counters of the tasks are added up as a tree: a group has FAN_IN of them, however many tasks there are.
+    summed, tasks = classes.select("grams").mapInArrow(count, "block int, part long, counts binary"), classes.select("grams").rdd.getNumPartitions()
+    while True:
+        summed = summed.groupBy("block", F.floor(F.col("part") / FAN_IN)).applyInArrow(add, "block int, part long, counts binary")
+        if tasks <= FAN_IN:
+            break
+        tasks = -(-tasks // FAN_IN)
     out = np.zeros(SKETCH, np.int64)
-    for r in classes.select("grams").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+    for r in summed.collect():
         out[r["block"] * per : (r["block"] + 1) * per] = np.frombuffer(r["counts"], np.int64)
     return out
 
@@ -216,7 +230,7 @@ def _clusters(classes: DataFrame, percent: int) -> DataFrame:
                 yield record(schema, [g[first].astype(np.int64), np.full(len(first), rep)])
 
     postings = durable(classes.select("key", "size", "grams").mapInArrow(rare, "gram bigint, rep bigint"))
-    centres = postings.groupBy("gram").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").drop("most")
+    centres = durable(postings.groupBy("gram").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").drop("most"))
     return components(postings.join(centres, "gram").select(F.col("rep").alias("a"), "b").where("a <> b").distinct())
 
 
@@ -261,7 +275,7 @@ def _cluster_links(classes: DataFrame, clusters: DataFrame, percent: int, block_
     found = components(first)
     several = durable(placed.where("blocks > 1").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
     parts = several.groupBy("cluster", "root").agg(F.count("*").alias("n"))
-    main = parts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    main = durable(parts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
     rest = several.join(main, "cluster").where("root <> main")
     amount = rest.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block_grams)).cast("int").alias("asks"))
     asked = rest.join(amount, "cluster").select(
@@ -292,7 +306,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     marks = durable(repeated.shared(rows, extract).select("key", "size", "shared"))
     hopeful = marks.where(f"key is not null and size > 0 and 100 * shared >= {percent} * size").select("key").distinct()
     sets = durable(_sets(rows.join(hopeful.hint("merge"), "key", "left_semi")))  # their number follows the corpus
-    reps = sets.groupBy("fp").agg(F.min("key").alias("key"))
+    reps = durable(sets.groupBy("fp").agg(F.min("key").alias("key")))  # as one set may have very many copies, see below
     classes = durable(_with_partners(sets.join(reps, ["fp", "key"], "left_semi"), percent))
     links = _cluster_links(classes, _clusters(classes, percent), percent, block_grams)
 

@@ -21,6 +21,8 @@ from fabgrain.llm.common import record, shuffle_partitions, strings
 
 CHUNK_HASHES = 1 << 20
 CHUNK_DOCS = 60_000
+#: Hashes that a bucket gathers, about.
+BUCKET_BYTES = 1 << 26
 
 Extract = Callable[[str], tuple[np.ndarray, int, str]]
 
@@ -75,7 +77,8 @@ def shared(docs: DataFrame, extract: Extract, listed: bool = False) -> DataFrame
     rows too; ``marks`` holds them as packed 64-bit integers if ``listed``, else it is null. The rows must come in the
     same order whenever they are read, as they do from files.
     """
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * shuffle_partitions(docs.sparkSession), -(-n_bytes // (BUCKET_BYTES // 4)))  # of two bytes of text, one hash of 8 at most
     width = np.uint64 if listed else np.uint32
     schema = pa.schema([(n, t) for n, t, _ in _ROWS])
 

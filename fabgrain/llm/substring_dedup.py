@@ -25,6 +25,8 @@ from fabgrain.llm.common import hashed, record, windows, words_of
 from fabgrain.session import durable
 
 WINDOW = 50
+#: Claims on one source that are checked together, about.
+CLAIMS = 1000
 #: Hash of no words.
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -182,8 +184,11 @@ def _with_spans(found: DataFrame, spans: DataFrame) -> DataFrame:
 def _false_claims(found: DataFrame, cut: DataFrame) -> DataFrame:
     """Claims whose words are not those at the source coordinates they name."""
     claim = F.struct("start", "n", "digest")
-    told = cut.select(F.explode("claims").alias("c")).select("c.*").distinct()
-    asked = told.groupBy("source", "source_id").agg(F.collect_list(claim).alias("claims"))
+    told = durable(cut.select(F.explode("claims").alias("c")).select("c.*").distinct())
+    # A source that very many texts claim is read once per CLAIMS of them.
+    number = durable(told.groupBy("source", "source_id").agg(F.ceil(F.count("*") / CLAIMS).cast("int").alias("groups")))
+    group = F.pmod(F.xxhash64("start", "n", "digest"), F.col("groups"))
+    asked = durable(told.join(number, ["source", "source_id"]).groupBy("source", "source_id", group.alias("group")).agg(F.collect_list(claim).alias("claims")))
     schema = pa.schema([("source", pa.int64()), ("source_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +246,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
         return np.unique(anchors(hashed(words), window)), len(words), joined_sha(words)
 
     seen = durable(repeated.shared(rows, extract, listed=True))
-    least = seen.where(f"size >= {window}").groupBy("note").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    least = durable(seen.where(f"size >= {window}").groupBy("note").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most"))
     seen = durable(seen.join(least, "note", "left").withColumn("copy", F.coalesce(F.col("key") > F.col("least"), F.lit(False)))
                    .select("key", "size", "note", "copy", "shared", "marks"))
 
@@ -255,7 +260,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                     .select("anchor", "path_id", "path", F.col("first.key").alias("source"), F.col("first.text_id").alias("source_id"),
                             F.col("first.place").alias("source_place"), "last"))
     # An anchor with one path does not branch: all edges of the path start in the same documents.
-    branching = paths.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    branching = durable(paths.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     source = ["source", "source_id", "source_place"]
     straight = paths.where("source < last").join(branching, "anchor", "left_anti").select(
         "anchor", "path_id", F.lit(0).cast("long").alias("at"), (F.length("path") / 8).cast("long").alias("n"), *source)
