@@ -1,5 +1,6 @@
 """Operators on whole tables against brute force, with odd rows and empty tables."""
 
+import pathlib
 import re
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fabgrain.llm import byte_bpe, components, compression_rules, exact_dedup, ngram_join, packing, quality_cnn, secret_scan, substring_dedup, token_store, warc
 from fabgrain.llm.common import hashed, windows
-from fabgrain.session import new_path
+from fabgrain.session import durable, new_path
 
 BYTE = (P.path("byte_bpe_50k.json"), P.PATTERN)
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -157,6 +158,21 @@ def test_store_lookup_and_fetch(spark):
     found = token_store.lookup(spark, path, spark.createDataFrame([(7, 0), (150, 0), (999, 0)], "key long, ordinal long"))
     ids = {r.key: np.frombuffer(r.ids, "<u4")[-1] for r in token_store.fetch(spark, path, found).collect()}
     assert ids == {7: 1, 150: 1}
+    assert {(r.key, r.n_tokens) for r in token_store.documents(spark, path).collect()} == {(i, r.length) for i, r in enumerate(token_store.payload(spark, path).orderBy("key").collect())}
+
+
+@pytest.mark.parametrize("damage", ["missing", "other"])
+def test_a_damaged_index_stops_the_store(spark, damage):
+    docs = spark.createDataFrame([(i, f"word number {i} " * (i % 5 + 1)) for i in range(60)], "doc_id long, text string")
+    path, other = new_path(spark, "tokens"), new_path(spark, "tokens")
+    token_store.write(docs, path, P.path("word_bpe_49k.json"), WORD, end_id=1, shard_ids=50)
+    token_store.write(docs.withColumn("doc_id", 59 - F.col("doc_id")), other, P.path("word_bpe_49k.json"), WORD, end_id=1, shard_ids=50)
+    files = {p: [f for f in sorted(pathlib.Path(p, "index").iterdir()) if f.name.startswith("part-") and f.stat().st_size > 2] for p in (path, other)}
+    for mine, theirs in zip(files[path], files[other], strict=True):
+        mine.with_name("." + mine.name + ".crc").unlink(missing_ok=True)
+        mine.write_bytes(b"") if damage == "missing" else mine.write_bytes(theirs.read_bytes())
+    with pytest.raises(Exception, match="index|struct|buffer|unpack"):
+        token_store.documents(spark, path).collect()
 
 
 def test_archives(spark):
@@ -167,11 +183,32 @@ def test_archives(spark):
     got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.payload_table(spark, path).collect())
     assert got == [("1", 1500, "revisit", 2), ("2", 1500, "response", None), ("2", 1500, "response", None), ("3", 5, "response", None),
                    ("4", 5, "response", None), ("5", 0, "response", None), ("None", 1500, "revisit", 2)]
+    assert warc.read_archives(spark, path).where("payload_digest IS NULL").count() == 0
     empty = new_path(spark, "warc")
     warc.write_archives(pages.limit(0), empty)
     assert warc.payload_table(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("texts", [("A" * 1500, "B" * 1600, "A" * 1500), ("B" * 1600, "A" * 1500, "A" * 1500)])
+def test_pages_that_repeat_an_id_with_other_payloads(spark, texts):
+    pages = spark.createDataFrame([(5, "u", texts[0]), (5, "u", texts[1]), (3, "u", texts[2])], "page_id long, url string, html string")
+    path = new_path(spark, "warc")
+    warc.write_archives(pages.coalesce(1), path)
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.payload_table(spark, path).collect())
+    assert got == [(3, 1500, "revisit", 5), (5, 1500, "response", None), (5, 1600, "response", None)]
+
+
+def test_archives_are_cut_by_bytes(spark):
+    r = np.random.default_rng(0)
+    pages = spark.createDataFrame([(i, "u" * (3 << 20) if i == 7 else None, r.bytes(20_000).hex()) for i in range(60)], "page_id long, url string, html string")
+    path = new_path(spark, "warc")
+    warc.write_archives(pages.coalesce(2), path, archive_bytes=200_000)
+    sizes = [f.stat().st_size for f in pathlib.Path(path).iterdir() if f.name.startswith("part-")]
+    assert len(sizes) >= 5 and max(sizes) <= 200_001
+    back = {x.key: (x.url, bytes(x.payload).decode()) for x in warc.read_archives(spark, path).collect()}
+    assert back == {p.page_id: (p.url or "", p.html) for p in pages.collect()}
+
+
 def test_filters_keep_columns_whose_names_the_operators_use_too(spark, odd_docs):
     taken = ["_gone", "_k", "_sha", "_SHA0", "key", "note", "size", "kept", "component_id", "length", "spans"]
     wide = odd_docs
@@ -230,7 +267,8 @@ def test_source_words_decide_where_window_hashes_agree(spark, bits):
 
 def test_packing_goes_on_while_open_pieces_fall_and_gives_its_bounds(spark):
     r = np.random.default_rng(2)
-    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(r.integers(20, 101, 2000))], "id long, length int").repartition(4).localCheckpoint()
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(r.integers(20, 101, 2000))], "id long, length int").repartition(4)
+    items = durable(items)
     packed, bounds = packing.pack(items, 100, per_partition=40)
     rows, bounds = packed.collect(), bounds.collect()
     assert sorted(x.id for x in rows) == list(range(2000))

@@ -7,6 +7,8 @@ import itertools
 import random
 import re
 import string
+import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -189,6 +191,83 @@ def test_archive_round_trip_and_damage():
         warc.read_record(iter([broken]))
 
 
+def test_a_header_beyond_the_limit_is_refused(monkeypatch):
+    long = warc.record_bytes(1, "u" * (2 << 20), b"x", None, False, "x")
+    assert warc.read_record(iter([long[i : i + 9999] for i in range(0, len(long), 9999)])).headers["WARC-Target-URI"] == "u" * (2 << 20)
+    monkeypatch.setattr(warc, "MOST_HEADER", 1000)
+    with pytest.raises(ValueError, match="page 1"):
+        warc.record_bytes(1, "u" * 1000, b"x", None, False, "x")
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "EyJ", "eyJa.", "eyJa.eyJ", "password ", "password=", "secret: ", "token='", "AKIA", "akia", "ghp_", "npm_0", "0123456789abcdef" * 2, "-----BEGIN ", "-----BEGIN A PRIVATE KEY-----A"])
+def test_secrets_take_linear_time(unit):
+    def seconds(n):
+        text = unit * (n // len(unit))
+        start = time.perf_counter()
+        secret_scan.spans_of(text)
+        return time.perf_counter() - start
+
+    assert seconds(2_000_000) < 4
+
+
+def test_tokens_within_runs_equal_a_plain_search():
+    part = base64.urlsafe_b64encode(b'{"a":1}').decode().rstrip("=")
+    assert part.startswith("eyJ")
+    for text in (f"eyJ{part}.{part}.x", f"EyJ{part}.{part}.x", f"eyJ eyJ.{part}.{part}.{part}", f"EYJeyJ_{part}.{part}.y eyJ", f"{part}.{part}", f"{part}.{part}.", f"{part}.eyJ.{part}.{part}."):
+        want = [(m.start(), m.end(), "jwt") for m in secret_scan.JWT.finditer(text) if secret_scan.RULES["jwt"][1](m)]
+        assert [s for s in secret_scan.spans_of(text) if s[2] == "jwt"] == want, text
+
+
+def slow_score(model, data):
+    """The network byte by byte and filter by filter."""
+    size = quality_cnn.CHUNK
+    n = quality_cnn.n_chunks(len(data))
+    pooled = []
+    for c in range(n):
+        part = [*data[c * quality_cnn.STEP : c * quality_cnn.STEP + size]]
+        part += [256] * (size - len(part))
+        grams = Counter(tuple(part[i : i + 8]) for i in range(size - 7))
+        inputs = [[*model.embed[b], float(i + 8 <= size and grams[tuple(part[i : i + 8])] > 1 and b < 256)] for i, b in enumerate(part)]
+        responses = []
+        for f in range(quality_cnn.FILTERS):
+            best = max(sum(float(x) * float(w) for x, w in zip(sum(inputs[p : p + quality_cnn.WIDTH], []), model.filters[:, f], strict=True))
+                       for p in range(0, size - quality_cnn.WIDTH + 1, quality_cnn.STRIDE))
+            responses.append(max(0.0, best + float(model.bias[f])))
+        pooled.append(responses)
+    features = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)])
+    hidden = np.maximum(features @ model.w1 + model.b1, 0)
+    return 1 / (1 + np.exp(-(hidden @ model.w2 + model.b2[0])))
+
+
+@pytest.mark.parametrize("text", ["", "a short text, a short text", "words and words " * 50])
+def test_network_equals_a_plain_convolution(text):
+    model = quality_cnn.initial(3)
+    assert quality_cnn.scores(model, [text])[0] == pytest.approx(slow_score(model, text.encode()), abs=1e-4)
+
+
+def test_training_follows_the_gradient():
+    """One small step changes the loss as the difference quotient says it should."""
+    r = random.Random(4)
+    texts = ["".join(r.choices("abc xyz", k=n)) for n in (0, 30, 700, 5000)]
+    labels = [1, 0, 1, 0]
+    one, other = (quality_cnn.train(texts, labels, epochs=1, at_once=4, block=b) for b in (3, 1000))
+    for a, b in zip(one, other, strict=True):
+        assert np.allclose(a, b, atol=1e-5)
+    def loss(m): p = quality_cnn.scores(m, texts); return -sum(np.log(p[i] if y else 1 - p[i]) for i, y in enumerate(labels))  # noqa: E702, E704
+    assert loss(quality_cnn.train(texts, labels, epochs=40, at_once=4)) < loss(quality_cnn.initial())
+    assert quality_cnn.train(texts, [1] * 4) is None and quality_cnn.train([], []) is None
+
+
+def test_chunks_come_in_blocks():
+    r = np.random.default_rng(1)
+    data = [r.bytes(n) for n in (0, 5, 512, 513, 5000, 100)]
+    whole = [quality_cnn.chunks(d) for d in data]
+    for at_once in (1, 4, 1000):
+        got = list(quality_cnn.chunk_blocks(data, at_once))
+        assert np.concatenate([o for o, _ in got]).tolist() == [i for i, c in enumerate(whole) for _ in c]
+        assert (np.concatenate([c for _, c in got]) == np.concatenate(whole)).all() and all(len(c) <= at_once for _, c in got)
+
+
 def test_network_learns_and_covers_whole_texts():
     r = random.Random(2)
     words = ["the", "and", "thing", "of", "other", "ren", "sto"]

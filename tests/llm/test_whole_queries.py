@@ -1,6 +1,8 @@
 """The registered text queries and the pipeline over whole small tables, against plain Python."""
 
+import base64
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -74,10 +76,49 @@ def test_byte_pairs(spark, texts):
     assert not got
 
 
+def between(x, points):
+    """Straight lines through ``points``, flat beyond both ends."""
+    if x <= points[0][0]:
+        return points[0][1]
+    for (a, p), (b, q) in zip(points, points[1:], strict=False):
+        if x <= b:
+            return p + (q - p) * (x - a) / (b - a)
+    return points[-1][1]
+
+
+def accepted(data):
+    """The compression bands as the README states them: low limits by length and script, high limits by length, chunks that cover
+    the text, and a quarter of bad chunks at most."""
+    def ratio(x):
+        return len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+
+    def low(x):
+        sizes = [200, 300, 500, 700, 1000, 1500, 2048, 4000, 16000]
+        plain, wide = [1.085, 1.13, 1.215, 1.26, 1.295, 1.315, 1.42, 1.45, 1.6], [0.95, 0.95, 1.05, 1.1, 1.2, 1.3, 1.42, 1.45, 1.6]
+        p, w = (between(math.log(len(x)), [(math.log(s), v) for s, v in zip(sizes, limits, strict=True)]) for limits in (plain, wide))
+        beyond = sum(b > 127 for b in x) / len(x)
+        return p + (w - p) * min(1, 2 * beyond)
+
+    if len(data) < 200:
+        bad_whole = False
+    else:
+        high = 3.2 if len(data) < 1000 else 3.6 if len(data) < 4000 else 4.2 if len(data) < 16000 else 5.0 if len(data) < 64000 else 6.0
+        bad_whole = not low(data) <= ratio(data) <= high
+    size, high = (2048, 5.0) if len(data) >= 2048 else (512, 3.2)
+    parts = []
+    if len(data) >= size:
+        at = 0
+        while at + size < len(data):
+            parts.append(data[at : at + size])
+            at += size
+        parts.append(data[-size:])
+    bad = sum(not low(x) <= ratio(x) <= high for x in parts)
+    return not bad_whole and 4 * bad <= len(parts)
+
+
 def test_compression_rules(spark, texts):
     got = {r.doc_id: r for r in rows(spark, "op5_compression_rules")}
     assert got.keys() == texts.keys()
-    squeeze = zstandard.ZstdCompressor(level=compression_rules.LEVEL)
     for k, text in texts.items():
         words, data = words_of(text), text.encode()
         grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -85,15 +126,29 @@ def test_compression_rules(spark, texts):
         repeated = len({i + d for i, g in enumerate(grams) if often[g] > 1 for d in range(3)})
         lines = [x for x in text.split("\n") if words_of(x)]
         failed = len(words) < 50 or 100 * repeated > 50 * len(words)
-        whole = len(data) / len(squeeze.compress(data)) if data else 1.0
-        parts = [data[i : i + 2048] for i in range(0, len(data), 2048) if i + 2048 <= len(data)]
-        bad = sum(not 1.05 <= 2048 / len(squeeze.compress(x)) <= 5.0 for x in parts) / len(parts) if parts else 0.0
-        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeated,
-                failed, not failed and compression_rules.verdict(len(data), whole, bad))
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeated, failed, not failed and accepted(data))
         r = got[k]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == want, k
 
 
+def test_compression_rules_on_hard_texts(spark):
+    """Texts at the limits, where a change of a chunk or a limit changes the verdict."""
+    r = np.random.default_rng(12)
+    words = ["".join(r.choice(list("abcdefghijklmnop"), r.integers(2, 9))) for _ in range(4000)]
+    texts = []
+    for n in (60, 120, 300, 700, 3000):
+        for share in (0.0, 0.1, 0.3, 0.5, 0.7, 0.9):
+            own = [str(w) for w in r.choice(words, n)]
+            cut = int(n * share)
+            texts += [" ".join(own[:cut] + [base64.b64encode(r.bytes(9)).decode() for _ in range(n - cut)]),
+                      " ".join(own[:cut] + [f"{own[0]}{i % 97}" for i in range(n - cut)]), " ".join(own[:cut] + ["é" + chr(0x4E00 + int(x)) for x in r.integers(0, 3000, n - cut)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.base_failed, x.kept) for x in compression_rules.judge(docs).collect()}
+    wrong = [k for k, t in enumerate(texts) if got[k][1] != (not got[k][0] and accepted(t.encode()))]
+    kept = sum(x[1] for x in got.values())
+    assert not wrong and 10 < kept < len(texts) - 10
+
+
 def all_spans(text):
     """Every kind's pattern over the whole text, without keywords."""
     rules = {**secret_scan.RULES, "hex": (secret_scan.HEX, lambda m: len(m[0]) >= 24)}
@@ -146,6 +201,42 @@ def test_packing(spark, texts):
     check_packing(rows(spark, "op8_certified_packing"), pieces(texts))
 
 
+def labelled(spark, texts, labels):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_long_documents_are_learned_from_whole(spark):
+    good = ["the and of thing other ren sto " * 1800 for _ in range(14)]
+    bad = ["*** $$$ 000 ### qqq " * 2800 for _ in range(14)]
+    docs, labels = labelled(spark, good + bad, [(i, int(i < 14), 0) for i in range(28)])
+    drawn = quality_cnn.sample(docs, labels).collect()
+    usable = [i for i in range(28) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r.k for r in drawn) == usable and min(len(r.t) for r in drawn) > 50_000
+    model = quality_cnn.fit(docs, labels)
+    p = quality_cnn.scores(model, [good[0], bad[0]])
+    assert p[0] > p[1] + 0.02  # learned in fourteen steps
+    few = quality_cnn.sample(docs, labels, most_bytes=200_000).collect()  # the bound draws fewer of them, not shorter ones
+    assert {r.y for r in few} == {0, 1} and len(few) < len(drawn) and {r.k for r in few} < {r.k for r in drawn}
+    assert len(quality_cnn.sample(docs, labels, most_bytes=1).collect()) == 2
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0)], [(1, 0, 0), (2, 0, 0)], [(1, 1, 0), (1, 0, 0), (2, None, 0), (2, 7, 0)], [(900, 1, 0), (901, 0, 0)]])
+def test_without_both_labels_nothing_is_rejected(spark, caplog, labels):
+    docs, table_ = labelled(spark, ["one", "two", "three", None], labels)
+    model = quality_cnn.fit(docs, table_)
+    assert model is None and "every text scores 0.5" in caplog.text
+    assert {(r.score, r.predicted) for r in quality_cnn.score(docs, model).collect()} == {(0.5, 1)}
+    assert quality_cnn.keep_good(docs, model).count() == 4
+
+
+def test_conflicting_and_repeated_rows_are_not_learned_twice(spark):
+    docs, labels = labelled(spark, [f"text {i}" for i in range(9)], [(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, 1), (3, None, 0), (4, 0, 0), (None, 0, 0), (8, 0, 1)])
+    docs = docs.unionByName(spark.createDataFrame([(4, "another"), (None, "none")], "doc_id long, text string"))
+    usable = {k: t for k, t in {2: ("text 2", 1), 4: ("another", 0), 8: ("text 8", 0)}.items() if zlib.crc32(str(k).encode()) % 5}
+    assert {r.k: (r.t, r.y) for r in quality_cnn.sample(docs, labels).collect()} == usable
+
+
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="driver tables not found")
 def test_quality_of_held_out_documents(spark):
     docs, labels = table(spark, LARGER, "documents"), table(spark, LARGER, "labels")
