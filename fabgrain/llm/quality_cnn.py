@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model | None:
         trained = train([t for _, _, t in rows], [y for _, y, _ in rows])
         yield pa.RecordBatch.from_arrays([pa.array([None if trained is None else pickle.dumps(tuple(trained))], pa.binary())], names=["model"])
 
-    trained = [r["model"] for r in sample(docs, labels, **options).coalesce(1).mapInArrow(run, "model binary").collect() if r["model"]]
+    trained = [r["model"] for r in sample(docs, labels, **options).repartition(1).mapInArrow(run, "model binary").collect() if r["model"]]
     if not trained:
         logging.getLogger(__name__).warning("no labelled documents of both kinds to learn from: every text scores 0.5")
         return None
