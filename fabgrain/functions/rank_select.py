@@ -67,7 +67,9 @@ def start_of(df: DataFrame, keys: Keys, rank: int, few_rows: int = FEW_ROWS, cut
         while True:
             ranged = rows.where(within)
             # the number of cuts that come before a value, so that a cut is the last value of its part
-            part = sum((_cut_before(column, v, ascending) for v in _sample(ranged, column, cuts)), F.lit(0))
+            # the first value is a cut too, so that every round after the first makes the range smaller
+            values = _sample(ranged, column, cuts) + ([] if low is None else [low])
+            part = sum((_cut_before(column, v, ascending) for v in values), F.lit(0))
             counted = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most")).collect()
             before = 0
             for r in sorted(counted, key=lambda r: r["part"]):

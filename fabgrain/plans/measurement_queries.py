@@ -87,6 +87,22 @@ def _(spark, sf):
     return tables.upsert(stored, incoming, "id", "version")
 
 
+@query("s5_upsert_bucketed", """
+WITH latest AS (
+  SELECT o_custkey * 2 AS id, o_orderpriority AS document, o_orderkey AS version FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1
+)
+SELECT c_custkey AS id, c_mktsegment AS document, -1::BIGINT AS version FROM customer WHERE c_custkey NOT IN (SELECT id FROM latest)
+UNION ALL SELECT id, document, version FROM latest""")
+def _(spark, sf):
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("document"), F.lit(-1).cast("long").alias("version"))
+    path = new_path(spark, "documents")
+    stored = tables.store_bucketed(rows, path.rpartition("/")[2].replace("-", "_"), path, "id", 8)
+    incoming = table(spark, sf, "orders").select(
+        (F.col("o_custkey") * 2).alias("id"), F.col("o_orderpriority").alias("document"), F.col("o_orderkey").alias("version"))
+    return tables.upsert_bucketed(stored, incoming, "id", "version", 8)
+
+
 @query("s6_ingest_missing", """
 SELECT c_custkey AS id, CASE WHEN c_acctbal < 5000 THEN 'stored' ELSE 'incoming' END AS origin FROM customer""")
 def _(spark, sf):

@@ -88,6 +88,30 @@ def upsert(target: DataFrame, incoming: DataFrame, key: str, version: str) -> Da
     return target.join(latest.select(key), key, "left_anti").unionByName(latest)
 
 
+def store_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Store rows as table ``name`` under ``path``, in files by the hash of ``key``: one per bucket, each sorted by it.
+
+    The catalogue must know the table to read it by buckets; a session without a shared one knows its own tables only.
+    """
+    rows = df.repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def upsert_bucketed(target: DataFrame, incoming: DataFrame, key: str, version: str, buckets: int) -> DataFrame:
+    """:func:`upsert` into a table of :func:`store_bucketed`: only the incoming rows are shuffled, to the buckets of the target.
+
+    The result lies in the same buckets, so that it can be stored again without a shuffle. Keys are not null and occur once in
+    the target.
+    """
+    rest = [F.col(c).desc_nulls_last() for c in incoming.columns if c not in (key, version)]
+    newest = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), *rest)
+    latest = incoming.repartition(buckets, key).withColumn("_rank", F.row_number().over(newest)).where("_rank = 1")
+    new = latest.select(F.col(key), F.struct(*[c for c in target.columns if c != key]).alias("_new"))
+    both = target.join(new.hint("merge"), key, "full_outer")
+    return both.select(*[F.col(c) if c == key else F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in target.columns])
+
+
 def ingest_missing(target: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Add incoming rows whose key the target lacks; an empty target takes them all."""
     return target.unionByName(incoming.join(target.select(key), key, "left_anti"))

@@ -303,3 +303,15 @@ def test_sketches_roll_up_within_their_rank_error(spark):
             assert abs(np.searchsorted(own, r.value, side="right") / len(own) - r.share) <= 3 * dist.SKETCH_ERROR
         scans = [d._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") for d in (points, sketches)]
         assert scans == [1, 1]
+
+
+def test_bucketed_upsert_moves_incoming_rows_only(spark, folder):
+    rows = spark.range(500).select("id", F.concat(F.lit("old"), F.col("id")).alias("document"), F.lit(0).alias("version"))
+    incoming = spark.createDataFrame([(i * 3 % 700, f"new{i}", i) for i in range(400)] + [(5, None, 900), (5, "late", 3)], "id long, document string, version int")
+    stored = tables.store_bucketed(rows, "bucketed_documents", f"{folder}/t", "id", 4)
+    got = tables.upsert_bucketed(stored, incoming, "id", "version", 4)
+    assert sorted(map(str, rows_of(got))) == sorted(map(str, rows_of(tables.upsert(rows, incoming, "id", "version"))))
+    plan = tables.upsert_bucketed(stored, incoming, "id", "version", 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    assert plan.index("Scan parquet") < plan.index("Exchange hashpartitioning")  # the exchange is on the incoming side
+    spark.sql("DROP TABLE bucketed_documents")
