@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabgrain.llm import exact_dedup, ngram_join, packing, quality_cnn, secret_scan
-from fabgrain.llm.common import table
+from fabgrain.llm.common import bounded_batches, table
 from fabgrain.session import durable
 
 #: Sequence length and the id that ends a document.
@@ -20,6 +20,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are scored like others, repeated rows share their fate, an empty table stays empty. Without labels
     of both kinds every document stays.
     """
+    bounded_batches(spark)
     model = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
     return quality_cnn.keep_good(docs, model)
 
@@ -29,6 +30,7 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text equals an empty one, a null id is smaller than any other, an empty table stays empty.
     """
+    bounded_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
@@ -38,6 +40,7 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Texts without words, and rows with a null id, are linked with nothing and stay; rows that repeat the smallest id all stay; an
     empty table stays empty.
     """
+    bounded_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
@@ -46,6 +49,7 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null, with a null ``n_chars``; an empty one stays empty. Every row is looked at for itself.
     """
+    bounded_batches(spark)
     masked = secret_scan.mask_secrets(docs)
     return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
 
@@ -56,6 +60,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one piece of the end id alone; rows that repeat an id, or have none, are packed like others; an
     empty table has no pieces.
     """
+    bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ROOM, END_ID)
 
 

@@ -83,6 +83,17 @@ def free_names(docs: DataFrame, *names: str) -> list[str]:
     return [n if n.lower() not in taken else n + "_" * longest for n in names]
 
 
+#: Rows that a task hands to its Python worker at once; whole texts are long, and both sides hold a batch of them.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's batches have at most ``BATCH_ROWS`` rows, instead of the usual 10,000."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(setting))
+    spark.conf.set(setting, str(min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
