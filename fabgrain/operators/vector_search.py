@@ -17,8 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from fabgrain.operators.retrieval import l2, ranked
 
-#: Rows of a block on each side of a join, and questions that are compared with a block at a time.
-QUESTION_ROWS, CORPUS_ROWS, AT_ONCE = 4096, 32768, 256
+#: Rows of a block on each side of a join, and questions and rows of a block that are compared at a time.
+QUESTION_ROWS, CORPUS_ROWS, AT_ONCE, ROWS_AT_ONCE = 4096, 32768, 256, 2048
 PIVOTS = 32
 #: Error of a distance by matrix product, or by the triangle inequality, relative to the lengths of the vectors.
 SLACK = 1e-9
@@ -61,7 +61,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def best_of_block(questions: np.ndarray, corpus: np.ndarray, keys: list, n: int, metric: str) -> Iterator[tuple[int, int, float]]:
     """For each question its ``n`` nearest rows: place of the question, place of the row, distance.
 
-    A matrix product finds all rows that can be among them, whatever its rounding; those are compared exactly.
+    Matrix products with a few rows at a time find all rows that can be among them, whatever their rounding; those are
+    compared exactly.
     """
     if questions.shape[1] != corpus.shape[1]:
         raise ValueError("questions and rows have different lengths")
@@ -70,16 +71,33 @@ def best_of_block(questions: np.ndarray, corpus: np.ndarray, keys: list, n: int,
     else:
         x, y = questions, corpus
     y2 = (y * y).sum(1)
+    by_key = np.empty(len(keys), np.int64)  # each row's place among the keys
+    by_key[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
     for start in range(0, len(x), AT_ONCE):
         part = x[start : start + AT_ONCE]
-        near = (part * part).sum(1)[:, None] + y2[None] - 2 * (part @ y.T)
-        nth = np.partition(near, n - 1, axis=1)[:, n - 1] if n < len(y) else np.full(len(part), np.inf)
-        margin = SLACK * ((part * part).sum(1) + y2.max(initial=0) + 1)
-        for i, (row, limit) in enumerate(zip(near, nth + margin, strict=True)):
-            close = np.flatnonzero(~(row > limit))
-            away = EXACT[metric](questions[start + i][None], corpus[close])
-            order = sorted((d, keys[c], int(c)) for d, c in zip(away.tolist(), close.tolist(), strict=True) if d == d)[:n]
-            yield from ((start + i, c, d) for d, _, c in order)
+        x2 = (part * part).sum(1)
+        margin = SLACK * (x2 + y2.max(initial=0) + 1)
+        least = np.empty((len(part), 0))  # of the rows so far; their n-th distance only falls
+        asked, close = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        for at in range(0, len(y), ROWS_AT_ONCE):
+            near = part @ y[at : at + ROWS_AT_ONCE].T
+            near *= -2
+            near += x2[:, None]
+            near += y2[None, at : at + ROWS_AT_ONCE]
+            least = np.concatenate([least, np.partition(near, n - 1, axis=1)[:, :n] if n < near.shape[1] else near], axis=1)
+            if n < least.shape[1]:
+                least = np.partition(least, n - 1, axis=1)[:, :n]
+            limit = least.max(1) if least.shape[1] == n else np.full(len(part), np.inf)
+            q, c = np.nonzero(~(near > (limit + margin)[:, None]))
+            asked.append(q.astype(np.int32))
+            close.append((c + at).astype(np.int32))
+        asked, close = np.concatenate(asked), np.concatenate(close)
+        close = close[np.argsort(asked, kind="stable")]
+        borders = np.concatenate([[0], np.cumsum(np.bincount(asked, minlength=len(part)))]).tolist()
+        for i, rows in enumerate(close[a:z] for a, z in zip(borders, borders[1:], strict=False)):
+            away = EXACT[metric](questions[start + i][None], corpus[rows])
+            order = np.lexsort((by_key[rows], away))[:n]
+            yield from ((start + i, c, d) for c, d in zip(rows[order].tolist(), away[order].tolist(), strict=True) if d == d)
 
 
 def nearest_join(

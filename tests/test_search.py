@@ -1,6 +1,7 @@
 """Questions over indexes, many questions at once, and vectors around pivots: always the rows of a full scan."""
 
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -106,6 +107,23 @@ def test_many_questions_equal_a_scan_each(spark, vectors, metric, blocks):
         assert sorted(by[q]) == want
 
 
+@pytest.mark.parametrize("metric", ["l2"])
+def test_memory_of_a_block_does_not_grow_with_the_pairs(metric):
+    r = np.random.default_rng(4)
+    questions, corpus = r.normal(size=(256, 8)), r.normal(size=(vector_search.CORPUS_ROWS, 8))
+    corpus[5000:9000] = questions[7]  # copies that tie, more than a few rows at a time
+    keys = r.permutation(len(corpus)).tolist()
+    tracemalloc.start()
+    found = list(vector_search.best_of_block(questions, corpus, keys, 5, metric))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000  # all pairs at once are 67 MB a copy
+    for q in (0, 7, 255):
+        away = vector_search.EXACT[metric](questions[q][None], corpus).tolist()
+        want = sorted(zip(away, keys, range(len(corpus)), strict=True))[:5]
+        assert [(c, d) for p, c, d in found if p == q] == [(c, d) for d, _, c in want]
+
+
 def test_no_questions_or_no_rows(spark, vectors):
     assert vector_search.nearest_join(vectors.limit(0), vectors, "id", "v").count() == 0
     assert vector_search.nearest_join(vectors, vectors.limit(0), "id", "v").count() == 0
