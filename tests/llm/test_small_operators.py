@@ -50,6 +50,30 @@ def test_pieces_equal_whole_texts(name, pattern, folds):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name,pattern,folds", [
+    ("byte_bpe_50k.json", P.PATTERN, False),
+    ("word_bpe_49k.json", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", True)])
+def test_only_what_touches_other_characters_takes_the_slow_way(name, pattern, folds):
+    library, encoder = Tokenizer.from_file(P.path(name)), pieces.Encoder(P.path(name), pattern, folds)
+    library.encode_special_tokens = True
+    slow, within = [], encoder.within
+    encoder.within = lambda piece: slow.append(piece) or within(piece)
+    r = random.Random(9)
+    parts = ["ab", "'s", "'", "7", "é", "日本", "²", "_", "!", " ", " ", "  ", "\n", "\u3000", "\xa0", "\u0301", "ß's", "\x85", "İ", "Ab"]
+    texts = ["".join(r.choices(parts, k=r.randrange(20))) for _ in range(2000)] + ["the quick 'brown' fox's 12 é jumps\n over\u3000it", "é" * 500]
+    for text, ids in zip(texts, encoder.packed(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert slow and not any(p.isascii() for p in slow) and all(len(p) <= pieces.LONGEST for p in encoder)
+
+
+def test_forgotten_pieces_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    encoder = pieces.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    texts = ["a b c d e é f g a b é h", "h g f", "", "a b c"]
+    assert list(encoder.packed(texts)) == list(pieces.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN).packed(texts))
+    assert len(encoder) <= 3 and len(encoder.old) <= 3
+
+
 def brute_base(text):
     found = []
     for kind, pattern, holds in (
