@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabgrain.llm import pieces as encoders
 from fabgrain.llm.common import free_names, record, strings, text_or_empty
 from fabgrain.session import durable
 
@@ -68,6 +69,7 @@ def fingerprints(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     size = F.octet_length("text")
 
     def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders.forget()
         for b in parts:
             marks = [fingerprint(t.encode("utf-8", "surrogatepass")) for t in strings(b.column("text"))]
             cols = [pa.array(c, pa.int64()) for c in zip(*marks, strict=True)] if marks else [pa.array([], pa.int64())] * 3
@@ -108,6 +110,7 @@ def same_text(a: str, b: str, chunk: int = CHUNK) -> bool:
 def _classes(key_columns: list[str], schema: pa.Schema):
     """Number the different texts under each key, over rows sorted by key; a text is passed on at its first row only."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders.forget()
         at, held = None, []
         for b in parts:
             keys = list(zip(*(b.column(c).to_pylist() for c in key_columns), strict=True))

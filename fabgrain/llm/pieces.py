@@ -102,3 +102,8 @@ class Encoder(dict):
 def load(path: str, pattern: str, folds: bool = False) -> Encoder:
     """One per Python worker."""
     return Encoder(path, pattern, folds)
+
+
+def forget() -> None:
+    """Free the encoders of this Python worker, which Spark hands on to the tasks of the next operator."""
+    load.cache_clear()

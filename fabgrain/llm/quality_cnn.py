@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabgrain.llm import pieces
 from fabgrain.llm.common import strings, text_or_empty
 from fabgrain.session import durable
 
@@ -250,6 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model | None:
     text scores 0.5, so that none is rejected.
     """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.forget()
         rows = sorted((k, y, t) for b in parts for k, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2)), strict=True))
         trained = train([t for _, _, t in rows], [y for _, y, _ in rows])
         yield pa.RecordBatch.from_arrays([pa.array([None if trained is None else pickle.dumps(tuple(trained))], pa.binary())], names=["model"])
@@ -291,6 +293,7 @@ def keep_good(docs: DataFrame, model: Model | None, text: str = "text", threshol
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.forget()
         for b in parts:
             for s in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
                 yield s.filter(pa.array(scores(shared.value, strings(s.column(place))) >= threshold))

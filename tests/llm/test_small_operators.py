@@ -17,7 +17,7 @@ import tiktoken
 import zstandard
 from tokenizers import Tokenizer
 
-from fabgrain.llm import byte_bpe, compression_rules, packing, pieces, quality_cnn, secret_scan, token_store, warc
+from fabgrain.llm import byte_bpe, compression_rules, exact_dedup, packing, pieces, quality_cnn, secret_scan, token_store, warc
 
 STRANGE = ["", " ", "a", "  a  b ", "x\n\n y\t \r\nz", "don't IT'S we'll 'x", "日本語 çéß İstanbul ΟΔΟΣ", "1234 5.6,7 ...!? --", "a   b\x1c \x1dc",
            "é café ̀", "<|endoftext|> <|startoftext|>", "\U0001f600\U0001f600 ok", "a" * 3000, "ab" * 700 + " " * 50 + "\n" * 9, "The The THE."]
@@ -74,6 +74,11 @@ def test_forgotten_pieces_are_encoded_again(monkeypatch):
     assert len(encoder) <= 3 and len(encoder.old) <= 3
 
 
+def test_the_next_operator_frees_the_encoders():
+    pieces.load(P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert not list(exact_dedup._classes(["key"], None)(iter([]))) and pieces.load.cache_info().currsize == 0
+
+
 def brute_base(text):
     found = []
     for kind, pattern, holds in (
