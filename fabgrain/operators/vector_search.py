@@ -17,8 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from fabgrain.operators.retrieval import l2, ranked
 
-#: Rows of a block on each side of a join, and questions and rows of a block that are compared at a time.
-QUESTION_ROWS, CORPUS_ROWS, AT_ONCE, ROWS_AT_ONCE = 4096, 32768, 256, 2048
+#: Rows of a block on each side of a join; questions and rows of a block that are compared at a time, and pairs, exactly.
+QUESTION_ROWS, CORPUS_ROWS, AT_ONCE, ROWS_AT_ONCE, PAIRS_AT_ONCE = 4096, 32768, 256, 2048, 4096
 PIVOTS = 32
 #: Error of a distance by matrix product, or by the triangle inequality, relative to the lengths of the vectors.
 SLACK = 1e-9
@@ -41,63 +41,86 @@ def exact_l2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(_summed((a - b) ** 2))
 
 
-def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """NaN where either length is zero."""
+def exact_lengths(a: np.ndarray) -> np.ndarray:
+    return np.sqrt(_summed(a * a))
+
+
+def exact_cosine(a: np.ndarray, b: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """NaN where either length is zero. ``lengths`` is the product of both, where it is known."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        return 1 - _summed(a * b) / (np.sqrt(_summed(a * a)) * np.sqrt(_summed(b * b)))
+        return 1 - _summed(a * b) / (exact_lengths(a) * exact_lengths(b) if lengths is None else lengths)
 
 
 EXACT = {"l2": exact_l2, "cosine": exact_cosine}
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _stored(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A row per vector, in the type of its components."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = set(np.diff(column.offsets.to_numpy()).tolist())
     if len(sizes) > 1:
         raise ValueError("vectors have different lengths")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), sizes.pop() if sizes else 0)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), sizes.pop() if sizes else 0)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return _stored(column).astype(np.float64)
+
+
+def _first_of_each(asked: np.ndarray, close: np.ndarray, away: np.ndarray, by_key: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Of rows ``close`` to questions ``asked``, the ``n`` nearest to each, in order."""
+    order = np.lexsort((by_key[close], away, asked))
+    asked = asked[order]
+    kept = np.arange(len(asked)) - np.searchsorted(asked, asked) < n
+    order = order[kept]
+    return asked[kept], close[order], away[order]
 
 
 def best_of_block(questions: np.ndarray, corpus: np.ndarray, keys: list, n: int, metric: str) -> Iterator[tuple[int, int, float]]:
     """For each question its ``n`` nearest rows: place of the question, place of the row, distance.
 
-    Matrix products with a few rows at a time find all rows that can be among them, whatever their rounding; those are
-    compared exactly.
+    Rows are taken a few at a time, and only those in double precision. A matrix product finds all that can be among the
+    nearest so far, whatever its rounding; those are compared exactly, and ``n`` per question kept, however many tie.
     """
     if questions.shape[1] != corpus.shape[1]:
         raise ValueError("questions and rows have different lengths")
-    if metric == "cosine":
-        x, y = (m / np.maximum(np.sqrt((m * m).sum(1)), 1e-300)[:, None] for m in (questions, corpus))
-    else:
-        x, y = questions, corpus
-    y2 = (y * y).sum(1)
+
+    def scaled(m: np.ndarray) -> np.ndarray:
+        return m / np.maximum(np.sqrt((m * m).sum(1)), 1e-300)[:, None] if metric == "cosine" else m
+
+    questions = questions.astype(np.float64, copy=False)
+    x = scaled(questions)
+    x2 = (x * x).sum(1)
+    x_length = exact_lengths(questions)
+    longest = np.float64(0)  # squared, of the rows so far
+    least = np.full((len(x), n), np.inf)  # of the rows so far; their n-th distance only falls
     by_key = np.empty(len(keys), np.int64)  # each row's place among the keys
     by_key[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
-    for start in range(0, len(x), AT_ONCE):
-        part = x[start : start + AT_ONCE]
-        x2 = (part * part).sum(1)
-        margin = SLACK * (x2 + y2.max(initial=0) + 1)
-        least = np.empty((len(part), 0))  # of the rows so far; their n-th distance only falls
-        asked, close = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
-        for at in range(0, len(y), ROWS_AT_ONCE):
-            near = part @ y[at : at + ROWS_AT_ONCE].T
+    best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)) for _ in range(0, len(x), AT_ONCE)]
+    for at in range(0, len(corpus), ROWS_AT_ONCE):
+        rows = corpus[at : at + ROWS_AT_ONCE].astype(np.float64, copy=False)
+        y = scaled(rows)
+        y2 = (y * y).sum(1)
+        y_length = exact_lengths(rows)
+        longest = np.maximum(longest, y2.max())
+        for k, start in enumerate(range(0, len(x), AT_ONCE)):
+            part = slice(start, start + AT_ONCE)
+            near = x[part] @ y.T
             near *= -2
-            near += x2[:, None]
-            near += y2[None, at : at + ROWS_AT_ONCE]
-            least = np.concatenate([least, np.partition(near, n - 1, axis=1)[:, :n] if n < near.shape[1] else near], axis=1)
-            if n < least.shape[1]:
-                least = np.partition(least, n - 1, axis=1)[:, :n]
-            limit = least.max(1) if least.shape[1] == n else np.full(len(part), np.inf)
-            q, c = np.nonzero(~(near > (limit + margin)[:, None]))
-            asked.append(q.astype(np.int32))
-            close.append((c + at).astype(np.int32))
-        asked, close = np.concatenate(asked), np.concatenate(close)
-        close = close[np.argsort(asked, kind="stable")]
-        borders = np.concatenate([[0], np.cumsum(np.bincount(asked, minlength=len(part)))]).tolist()
-        for i, rows in enumerate(close[a:z] for a, z in zip(borders, borders[1:], strict=False)):
-            away = EXACT[metric](questions[start + i][None], corpus[rows])
-            order = np.lexsort((by_key[rows], away))[:n]
-            yield from ((start + i, c, d) for c, d in zip(rows[order].tolist(), away[order].tolist(), strict=True) if d == d)
+            near += x2[part, None]
+            near += y2
+            ahead = np.concatenate([least[part], np.partition(near, n - 1, axis=1)[:, :n] if n < near.shape[1] else near], axis=1)
+            least[part] = np.partition(ahead, n - 1, axis=1)[:, :n]
+            limit = least[part].max(1) + SLACK * (x2[part] + longest + 1)
+            asked, close = np.nonzero(~(near > limit[:, None]))
+            for i in range(0, len(asked), PAIRS_AT_ONCE):
+                q, c = asked[i : i + PAIRS_AT_ONCE] + start, close[i : i + PAIRS_AT_ONCE]
+                away = exact_l2(questions[q], rows[c]) if metric == "l2" else exact_cosine(questions[q], rows[c], x_length[q] * y_length[c])
+                known = away == away
+                found = q[known], c[known] + at, away[known]
+                best[k] = _first_of_each(*map(np.concatenate, zip(best[k], found, strict=True)), by_key, n)
+    for part in best:
+        yield from zip(*(column.tolist() for column in part), strict=True)
 
 
 def nearest_join(
@@ -126,7 +149,7 @@ def nearest_join(
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         keys, names = right.column("key").to_pylist(), left.column("key").to_pylist()
-        found = list(best_of_block(_matrix(left.column("v")), _matrix(right.column("v")), keys, n, metric))
+        found = list(best_of_block(_stored(left.column("v")), _stored(right.column("v")), keys, n, metric))
         columns = [[names[q] for q, _, _ in found], [keys[c] for _, c, _ in found], [d for _, _, d in found]]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 

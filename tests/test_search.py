@@ -124,6 +124,37 @@ def test_memory_of_a_block_does_not_grow_with_the_pairs(metric):
         assert [(c, d) for p, c, d in found if p == q] == [(c, d) for d, _, c in want]
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_memory_of_a_block_does_not_grow_with_ties(metric):
+    r = np.random.default_rng(5)
+    corpus = r.normal(size=(vector_search.CORPUS_ROWS, 32)).astype(np.float32)
+    questions = np.repeat(corpus[:1], 256, axis=0).astype(np.float64)
+    corpus[::4] = corpus[0]  # each question ties with 8192 rows
+    keys = r.permutation(len(corpus)).tolist()
+    tracemalloc.start()
+    found = list(vector_search.best_of_block(questions, corpus, keys, 5, metric))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24_000_000  # all ties are 8 to 17 MB in each of several arrays, the block in double precision 8 a copy
+    want = sorted(range(0, len(corpus), 4), key=keys.__getitem__)[:5]
+    assert [(q, c) for q, c, _ in found] == [(q, c) for q in range(256) for c in want]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("n", [1, 6, 500])
+def test_rows_of_a_block_a_few_at_a_time(metric, n, monkeypatch):
+    for name, size in (("AT_ONCE", 3), ("ROWS_AT_ONCE", 7), ("PAIRS_AT_ONCE", 4)):
+        monkeypatch.setattr(vector_search, name, size)
+    corpus = np.delete(VECTORS, 17, 0).astype(np.float32)
+    questions, keys = corpus[195:215], np.random.default_rng(6).permutation(len(corpus)).tolist()
+    found = list(vector_search.best_of_block(questions, corpus, keys, n, metric))
+    want = []
+    for q, v in enumerate(questions.astype(np.float64)):
+        away = vector_search.EXACT[metric](v[None], corpus.astype(np.float64)).tolist()
+        want += [(q, c, d) for d, _, c in sorted(zip(away, keys, range(len(corpus)), strict=True))[:n]]
+    assert found == want
+
+
 def test_no_questions_or_no_rows(spark, vectors):
     assert vector_search.nearest_join(vectors.limit(0), vectors, "id", "v").count() == 0
     assert vector_search.nearest_join(vectors, vectors.limit(0), "id", "v").count() == 0
