@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabgrain.session import durable
+from fabgrain.session import discard, durable
 
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).head())
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """Per centre ``u``, edges from its neighbours ``v`` to the smallest of them all.
+def _star(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per centre ``u``, edges from its neighbours ``v`` to the smallest of them all; and the table of the smallest ones.
 
     The smallest ones are stored, so that Spark can split the join where one centre has very many neighbours.
     """
     least = durable(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-    return pairs.join(least, "u")
+    return pairs.join(least, "u"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,16 +26,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links all larger neighbours of a node to its smallest neighbour, and then all smaller ones, until nothing
     changes; then every edge leads to the root. A node with many neighbours is only ever aggregated and joined by key.
-    Edges are stored after each round.
+    Edges are stored after each round, and those of the round before go.
     """
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _signature(now)
     while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = durable(_star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        down = _star(large)
+        up, least_up = _star(both)
+        large = durable(up.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        down, least_down = _star(large)
         small = down.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = durable(small.where("a <> b").distinct())
+        old, now = now, durable(small.where("a <> b").distinct())
+        discard(old, large, least_up, least_down)
         after = _signature(now)
         if after == before:
             break

@@ -8,22 +8,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fabgrain.llm import repeated
 from fabgrain.llm.common import free_names, hashed, mixed, record, strings, windows
 from fabgrain.llm.components import components
-from fabgrain.session import durable
+from fabgrain.session import discard, durable
 
 WORDS = 5
 PERCENT = 75
-#: Counters of the frequency sketch that orders n-grams from rare to common. Any order gives the same result; a rough
-#: one only means more candidates, so the sketch has this size for any corpus.
-SKETCH = 1 << 21
-#: Tasks whose counters are added up at once.
-FAN_IN = 64
+#: Bits of the filter of keys, in pieces of ``FILTER_PIECE``: of fixed size, too. With more keys than bits it lets most rows
+#: through, and the join behind it decides alone.
+FILTER_BITS, FILTER_PIECE = 1 << 26, 1 << 16
 #: N-grams that one task puts into tries at once; larger clusters are worked off in blocks.
 BLOCK_GRAMS = 500_000
 
@@ -154,84 +151,99 @@ def linked(sizes: list[int], sets: list[np.ndarray], queries: list[int] | None =
     return labels
 
 
+def fingerprint(grams: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(grams.tobytes())
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).alias("slot")
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A bit for the hash of each key."""
+    schema = pa.schema([("piece", pa.int64()), ("bits", pa.binary())])
+
+    def gather(group: pa.Table) -> pa.Table:
+        bits = np.zeros(FILTER_PIECE, bool)
+        slots = group.column("slot").to_numpy()
+        bits[slots % FILTER_PIECE] = True
+        return pa.table([pa.array([slots[0] // FILTER_PIECE]), pa.array([np.packbits(bits).tobytes()], pa.binary())], schema=schema)
+
+    pieces = keys.select(_slot()).distinct().groupBy(F.floor(F.col("slot") / FILTER_PIECE)).applyInArrow(gather, "piece bigint, bits binary")
+    out = np.zeros((FILTER_BITS // FILTER_PIECE, FILTER_PIECE // 8), np.uint8)
+    for r in pieces.collect():
+        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _texts_of(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """``key`` and ``text`` of the rows whose key is in ``reps``, with its ``fp`` there.
+
+    A filter leaves out most other rows before the join, so that their texts are not shuffled.
+    """
+    bits = rows.sparkSession.sparkContext.broadcast(_filter(reps))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots = b.column("slot").to_numpy()
+            kept = b.filter(pa.array((bits.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool))).select(["key", "text"])
+            if kept.num_rows:
+                yield kept
+
+    likely = rows.where("key is not null").select("key", "text", _slot()).mapInArrow(run, "key bigint, text string")
+    return likely.join(reps.hint("merge"), "key")  # their number follows the corpus
+
+
 def _sets(rows: DataFrame) -> DataFrame:
+    """``key``, ``size``, ``fp`` and ``grams`` of the rows whose set has the fingerprint ``fp``."""
     schema = pa.schema([("key", pa.int64()), ("size", pa.int64()), ("fp", pa.string()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
                 grams = [shingles(t) for t in strings(s.column(1))]
-                data = [g.tobytes() for g in grams]
-                yield record(schema, [s.column(0), [len(g) for g in grams], [xxhash.xxh3_128_hexdigest(d) for d in data], data])
+                found = [(key, len(g), fp, g.tobytes()) for key, fp, g in zip(s.column(0).to_pylist(), s.column(2).to_pylist(), grams, strict=True) if fingerprint(g) == fp]
+                if found:
+                    yield record(schema, list(zip(*found, strict=True)))
 
-    return rows.select("key", "text").mapInArrow(run, "key bigint, size bigint, fp string, grams binary")
+    return rows.select("key", "text", "fp").mapInArrow(run, "key bigint, size bigint, fp string, grams binary")
 
 
 def _with_partners(classes: DataFrame, percent: int) -> DataFrame:
-    """The sets of which enough n-grams occur in other sets too, as ``key``, ``size`` (of the whole set) and those ``grams``."""
+    """The sets of which enough n-grams occur in other sets too, as ``key``, ``size`` (of the whole set), those ``grams`` and how ``often``."""
     def extract(grams: bytes) -> tuple[np.ndarray, int, str]:
         g = np.frombuffer(grams, np.uint64)
         return g, len(g), ""
 
-    marks = repeated.shared(durable(classes).select("key", F.col("grams").alias("text")), extract, listed=True)
-    return marks.where(f"100 * shared >= {percent} * size").select("key", "size", F.col("marks").alias("grams"))
-
-
-def _sketch(classes: DataFrame) -> np.ndarray:
-    """How many sets have an n-gram in each of ``SKETCH`` slots; of fixed size, so it may pass through the driver."""
-    blocks, per = 16, SKETCH // 16
-    schema = pa.schema([("block", pa.int32()), ("part", pa.int64()), ("counts", pa.binary())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for b in batches:
-            for g in b.column(0):
-                np.add.at(total, (np.frombuffer(g.as_buffer(), np.uint64) % np.uint64(SKETCH)).astype(np.int64), 1)
-        if total.any():
-            task = TaskContext.get().partitionId()
-            yield record(schema, [range(blocks), [task] * blocks, [total[i * per : (i + 1) * per].tobytes() for i in range(blocks)]])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(per, np.int64)
-        for c in group.column("counts"):
-            total += np.frombuffer(c.as_buffer(), np.int64)
-        part = group.column("part")[0].as_py() // FAN_IN
-        return pa.table([pa.array([group.column("block")[0].as_py()], pa.int32()), pa.array([part]), pa.array([total.tobytes()], pa.binary())], schema=schema)
-
-    # Counters of the tasks are added up as a tree: a group has FAN_IN of them, however many tasks there are.
-    summed, tasks = classes.select("grams").mapInArrow(count, "block int, part long, counts binary"), classes.select("grams").rdd.getNumPartitions()
-    while True:
-        summed = summed.groupBy("block", F.floor(F.col("part") / FAN_IN)).applyInArrow(add, "block int, part long, counts binary")
-        if tasks <= FAN_IN:
-            break
-        tasks = -(-tasks // FAN_IN)
-    out = np.zeros(SKETCH, np.int64)
-    for r in summed.collect():
-        out[r["block"] * per : (r["block"] + 1) * per] = np.frombuffer(r["counts"], np.int64)
+    sets = durable(classes)
+    marks = repeated.shared(sets.select("key", F.col("grams").alias("text")), extract, listed=True, counted=True)
+    out = durable(marks.where(f"100 * shared >= {percent} * size").select("key", "size", F.col("marks").alias("grams"), "often"))
+    discard(sets)
     return out
 
 
 def _clusters(classes: DataFrame, percent: int) -> DataFrame:
     """Candidate clusters: two sets that reach the similarity share one of their rarest n-grams, and so a cluster.
 
-    A set of n elements needs ceil(percent n / 100) common ones, so only its n - that + 1 rarest are looked at.
+    A set of n elements needs ceil(percent n / 100) common ones, so only its n - that + 1 rarest are looked at. Any order of
+    all n-grams gives the same result, but a rough one links strangers by n-grams that are common, up to one cluster of most
+    of a corpus; so n-grams are counted, all of them.
     """
-    counts = classes.sparkSession.sparkContext.broadcast(_sketch(classes).astype(np.uint32))
     schema = pa.schema([("gram", pa.int64()), ("rep", pa.int64())])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rep, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                g = np.frombuffer(data.as_buffer(), np.uint64)
-                often = counts.value[(g % np.uint64(SKETCH)).astype(np.int64)]
+            for rep, n, data, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                g, often = np.frombuffer(data.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.uint16)
                 # N-grams of this set alone are the rarest of all; they take up places but have no partner.
                 first = np.lexsort((g, often))[: max(0, n + percent * -n // 100 + 1 - (n - len(g)))]
-                first = first[often[first] > 1]
                 yield record(schema, [g[first].astype(np.int64), np.full(len(first), rep)])
 
-    postings = durable(classes.select("key", "size", "grams").mapInArrow(rare, "gram bigint, rep bigint"))
+    postings = durable(classes.select("key", "size", "grams", "often").mapInArrow(rare, "gram bigint, rep bigint"))
     centres = durable(postings.groupBy("gram").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").drop("most"))
-    return components(postings.join(centres, "gram").select(F.col("rep").alias("a"), "b").where("a <> b").distinct())
+    found = components(postings.join(centres, "gram").select(F.col("rep").alias("a"), "b").where("a <> b").distinct())
+    discard(postings, centres)
+    return found
 
 
 def _links(percent: int, cross: bool):
@@ -270,10 +282,12 @@ def _cluster_links(classes: DataFrame, clusters: DataFrame, percent: int, block_
     everywhere = F.when(F.col("key") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = durable(placed.withColumn("block", F.explode(everywhere)).groupBy(_task("block")).applyInArrow(_links(percent, False), "a bigint, b bigint"))
     if not large.head(1):
+        discard(members, large)
         return first
 
     found = components(first)
     several = durable(placed.where("blocks > 1").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    discard(members, large)
     parts = several.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     main = durable(parts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
     rest = several.join(main, "cluster").where("root <> main")
@@ -301,16 +315,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     def extract(t: str) -> tuple[np.ndarray, int, str]:
         g = shingles(t)
-        return g, len(g), ""
+        return g, len(g), fingerprint(g)
 
-    marks = durable(repeated.shared(rows, extract).select("key", "size", "shared"))
+    marks = durable(repeated.shared(rows, extract).select("key", "size", F.col("note").alias("fp"), "shared"))
     hopeful = marks.where(f"key is not null and size > 0 and 100 * shared >= {percent} * size").select("key").distinct()
-    sets = durable(_sets(rows.join(hopeful.hint("merge"), "key", "left_semi")))  # their number follows the corpus
-    reps = durable(sets.groupBy("fp").agg(F.min("key").alias("key")))  # as one set may have very many copies, see below
-    classes = durable(_with_partners(sets.join(reps, ["fp", "key"], "left_semi"), percent))
+    members = durable(marks.join(hopeful.hint("merge"), "key", "left_semi").select("key", "fp").distinct())  # their number follows the corpus
+    reps = durable(members.groupBy("fp").agg(F.min("key").alias("key")))  # as one set may have very many copies, see below
+    classes = _with_partners(_sets(_texts_of(rows, reps)), percent)
     links = _cluster_links(classes, _clusters(classes, percent), percent, block_grams)
+    discard(classes)
 
-    members = sets.select("key", "fp").distinct().join(reps.withColumnRenamed("key", "rep"), "fp").select("key", "rep")
+    members = members.join(reps.withColumnRenamed("key", "rep"), "fp").select("key", "rep")
     twice = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")  # one key with several texts
     joined = components(links.unionByName(members.join(twice, "key", "left_semi").select(F.col("key").alias("a"), F.col("rep").alias("b"))))
     roots = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").groupBy("key").agg(

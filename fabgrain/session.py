@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER_SETTING = "spark.checkpoint.dir"
+#: Whether the shuffle files of an execution go when it ends; else they stay until the driver collects its garbage.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
@@ -49,8 +51,26 @@ def new_path(spark: SparkSession, name: str) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Store ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
-    The table outlives executors, is computed once, and its files tell its size to the optimizer.
+    The table outlives executors, is computed once, and its files tell its size to the optimizer. The shuffle files that it
+    was made from go as soon as it is written.
     """
-    path = new_path(df.sparkSession, "stored")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = new_path(spark, "stored"), spark.conf.get(CLEANUP_SETTING, None)
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        df.select("*").write.parquet(path)  # a frame takes the setting when it is made
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_SETTING)
+        else:
+            spark.conf.set(CLEANUP_SETTING, before)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Remove tables that ``durable`` gave, once nothing reads them any more."""
+    for df in stored:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
