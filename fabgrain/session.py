@@ -58,7 +58,7 @@ def durable(df: DataFrame) -> DataFrame:
     path, before = new_path(spark, "stored"), spark.conf.get(CLEANUP_SETTING, None)
     spark.conf.set(CLEANUP_SETTING, "true")
     try:
-        df.select("*").write.parquet(path)  # a frame takes the setting when it is made
+        df.select("*").write.parquet(path)  # a new frame, as it is made with the setting
     finally:
         if before is None:
             spark.conf.unset(CLEANUP_SETTING)

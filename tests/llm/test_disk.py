@@ -6,6 +6,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fabgrain.llm import components, ngram_join, repeated
 from fabgrain.session import discard, durable, shared_folder
 
@@ -46,16 +47,29 @@ def test_components_leave_one_table(spark):
     assert len(stored_tables(spark) - before) == 1
 
 
-def test_near_copies_leave_no_texts_and_no_ngrams(spark):
+def copies(spark):
     words = np.random.default_rng(3).integers(0, 10**9, 30_000).astype(str)
     texts = [" ".join(words[i // 2 * 1000 : i // 2 * 1000 + 999 + i % 2]) for i in range(60)]
-    docs = durable(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    before = stored_tables(spark)
+    return durable(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def stored_bytes(spark, names):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    return sum(f.stat().st_size for n in names for f in (folder / n).glob("*.parquet"))
+
+
+def test_near_copies_leave_no_texts_and_no_ngrams(spark):
+    docs, before = copies(spark), stored_tables(spark)
     got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
     assert got == {i: i // 2 * 2 for i in range(60)}
-    folder = Path(shared_folder(spark).removeprefix("file:"))
-    left = sum(f.stat().st_size for n in stored_tables(spark) - before for f in (folder / n).glob("*.parquet"))
-    assert left < 0.2 * 8 * 60 * 1000
+    assert stored_bytes(spark, stored_tables(spark) - before) < 0.2 * 8 * 60 * 1000
+
+
+def test_third_stage_leaves_no_texts_and_no_ngrams(spark):
+    docs, before = copies(spark), stored_tables(spark)
+    kept = corpus_pipeline.no_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 2))
+    assert stored_bytes(spark, stored_tables(spark) - before) < 0.2 * 8 * 60 * 1000
 
 
 def packed(sets):
