@@ -12,13 +12,17 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).head())
 
 
-def _star(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per centre ``u``, edges from its neighbours ``v`` to the smallest of them all; and the table of the smallest ones.
+def _least(pairs: DataFrame) -> DataFrame:
+    """Per centre ``u``, as ``m``, the smallest of it and its neighbours ``v``; stored, so that Spark can split a join with it."""
+    return durable(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+
+
+def _star(pairs: DataFrame, least: DataFrame | None = None) -> DataFrame:
+    """Per centre ``u``, edges from its neighbours ``v`` to the smallest of them all.
 
     The smallest ones are stored, so that Spark can split the join where one centre has very many neighbours.
     """
-    least = durable(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-    return pairs.join(least, "u"), least
+    return pairs.join(_least(pairs) if least is None else least, "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,9 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = _signature(now)
     while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        up, least_up = _star(both)
-        large = durable(up.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        down, least_down = _star(large)
+        least_up = _least(both)
+        large = durable(_star(both, least_up).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least_down = _least(large)
+        down = _star(large, least_down)
         small = down.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
         old, now = now, durable(small.where("a <> b").distinct())
         discard(old, large, least_up, least_down)
